@@ -31,11 +31,13 @@ def attach_positions(steps: DataFrame, positions: DataFrame) -> DataFrame:
 
 def recalculate_positions(
     steps: DataFrame, positions: DataFrame, ref_step: int = 0, nm_per_px: float = NM_PER_PX,
+    missing_reference: str = "error",
 ) -> DataFrame:
     """C1 + C2 + B5: re-derive actual positions from the mosaic; adds ``updated``.
 
-    The reference is each run's first record with ``step = ref_step``; a run
-    without one, or whose reference image has no position, is an error.
+    The reference is each run's first record with ``step = ref_step``.  A run
+    without one, or whose reference image has no position, is an error, or is
+    left out with ``missing_reference="drop"``.
     """
     joined = attach_positions(steps, positions)
     is_ref = F.col("step") == ref_step
@@ -43,10 +45,11 @@ def recalculate_positions(
     ref = joined.groupBy("run_id").agg(
         F.count_if(is_ref).alias("__refs"),
         F.min_by(F.struct("x_target_abs", "y_target_abs", "position"), order).alias("__ref"))
-    ok = F.assert_true(
-        (F.col("__refs") > 0) & F.col("__ref.position").isNotNull(),
-        F.concat(F.lit("no located reference record in run "), F.col("run_id")))
-    out = joined.join(ref, "run_id").where(ok.isNull())
+    located = (F.col("__refs") > 0) & F.col("__ref.position").isNotNull()
+    if missing_reference == "error":
+        located = F.assert_true(
+            located, F.concat(F.lit("no located reference record in run "), F.col("run_id"))).isNull()
+    out = joined.join(ref.where(located), "run_id")
     px, rpx = F.col("position"), F.col("__ref.position")
     new_x = mosaic_to_nm(px["x"], rpx["x"], F.col("__ref.x_target_abs"), -1, nm_per_px)
     new_y = mosaic_to_nm(px["y"], rpx["y"], F.col("__ref.y_target_abs"), 1, nm_per_px)
