@@ -11,21 +11,48 @@ _FINE = 4  # cells per radius
 
 def agreement_cluster(
     df: DataFrame, group: list[str], x: str, y: str, quality: str, weight: str, radius: float,
-    min_support: int, order: str,
+    min_support: int, order: str, pair_limit: int = 64,
 ) -> DataFrame:
     """Per group, the weighted mean of the points around its best-supported point.
 
     The best point has the most points within ``radius``, then the largest
-    quality sum, then the smallest ``order``.  Points first meet as fine-grid
-    cell totals: cells wholly inside or outside a cell's reach are only counted,
-    and a cell whose upper bound is under another's lower bound is out, so a
-    tight group of any size compares (almost) no points one by one.
+    quality sum, then the smallest ``order``.  Points are compared pair by pair
+    only where the largest group has at most ``pair_limit`` of them.
     """
-    cell = radius / _FINE
     pts = df.select(
         *group, F.col(x).alias("px"), F.col(y).alias("py"), F.col(quality).alias("q"), F.col(weight).alias("wt"),
-        F.col(order).alias("o")).withColumns({
-            "cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
+        F.col(order).alias("o"))
+    fullest = pts.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    supported = _by_pairs(pts, group, radius) if fullest <= pair_limit else _by_cells(pts, group, radius, min_support)
+    best = supported.groupBy(*group).agg(F.max_by(
+        F.struct("sx", "sy", "support"), F.struct(F.col("support"), F.col("quality"), -F.col("so"))).alias("s"))
+    best = best.where(F.col("s.support") >= min_support)
+    members = pts.join(best, group).where(
+        distance(F.col("px") - F.col("s.sx"), F.col("py") - F.col("s.sy")) <= radius)
+    return members.groupBy(*group).agg(
+        (F.sum(F.col("px") * F.col("wt")) / F.sum("wt")).alias("x"),
+        (F.sum(F.col("py") * F.col("wt")) / F.sum("wt")).alias("y"),
+        F.count("*").alias("support"), F.sum("q").alias("quality"))
+
+
+def _by_pairs(pts: DataFrame, group: list[str], radius: float) -> DataFrame:
+    """Support of every point from its group's pairs; groups are known to be small."""
+    seeds = pts.select(*group, F.col("px").alias("sx"), F.col("py").alias("sy"), F.col("o").alias("so"))
+    near = seeds.join(pts, group).where(
+        distance(F.col("px") - F.col("sx"), F.col("py") - F.col("sy")) <= radius)
+    return near.groupBy(*group, "so", "sx", "sy").agg(
+        F.count("*").alias("support"), F.round(F.sum("q"), 9).alias("quality"))
+
+
+def _by_cells(pts: DataFrame, group: list[str], radius: float, min_support: int) -> DataFrame:
+    """Support of the points that may be best, from fine-grid cell totals.
+
+    Cells wholly inside or outside a cell's reach are only counted, and a cell
+    whose upper bound is under another's lower bound is out, so a tight group of
+    any size compares (almost) no points one by one.
+    """
+    cell = radius / _FINE
+    pts = pts.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
     cells = pts.groupBy(*group, "cx", "cy").agg(F.count("*").alias("n"), F.sum("q").alias("q"))
 
     reach = _FINE + 1
@@ -57,15 +84,6 @@ def agreement_cluster(
         seeds.join(others, [*group, "ax", "ay"])
         .where(distance(F.col("px") - F.col("sx"), F.col("py") - F.col("sy")) <= radius)
         .groupBy(*group, "so").agg(F.count("*").alias("more"), F.sum("q").alias("more_q")))
-    total = seeds.join(extra, [*group, "so"], "left").withColumns({
-        "support": F.col("low") + F.coalesce("more", F.lit(0)),
-        "quality": F.round(F.col("low_q") + F.coalesce("more_q", F.lit(0.0)), 9)})
-    best = total.groupBy(*group).agg(F.max_by(
-        F.struct("sx", "sy", "support"), F.struct(F.col("support"), F.col("quality"), -F.col("so"))).alias("s"))
-    best = best.where(F.col("s.support") >= min_support)
-    members = pts.join(best, group).where(
-        distance(F.col("px") - F.col("s.sx"), F.col("py") - F.col("s.sy")) <= radius)
-    return members.groupBy(*group).agg(
-        (F.sum(F.col("px") * F.col("wt")) / F.sum("wt")).alias("x"),
-        (F.sum(F.col("py") * F.col("wt")) / F.sum("wt")).alias("y"),
-        F.count("*").alias("support"), F.sum("q").alias("quality"))
+    return seeds.join(extra, [*group, "so"], "left").select(
+        *group, "so", "sx", "sy", (F.col("low") + F.coalesce("more", F.lit(0))).alias("support"),
+        F.round(F.col("low_q") + F.coalesce("more_q", F.lit(0.0)), 9).alias("quality"))
