@@ -72,22 +72,32 @@ def _records(spark: SparkSession, files: DataFrame | None, path, separator: str)
 
 def read_steps(
     spark: SparkSession, path: str | list[str], mode: str = "strict", layout: str = "auto",
+    run_from: str = "file",
 ) -> DataFrame:
     """A1, A2, B1, B2: measurement logs as rows, ``run_id`` from the file name.
 
+    With ``run_from="folder"`` the files of one folder, in name order, are one
+    run, named by the folder (the part after ``=``).
+
     ``layout`` skips detection when every file is known to be ``jsonl`` or
     ``json`` (arrays or objects of flat records, split at closing braces).
     ``permissive`` skips malformed records: see :func:`skipped_records`.
     """
-    return _read(spark, path, mode, layout)[0]
+    return _read(spark, path, mode, layout, run_from)[0]
 
 
 def skipped_records(spark: SparkSession, path: str | list[str], layout: str = "auto") -> DataFrame:
     """A2: the malformed records a permissive read leaves out, with their file."""
-    return _read(spark, path, "permissive", layout)[1]
+    return _read(spark, path, "permissive", layout, "file")[1]
+
+
+def _run_of(file: Column, run_from: str) -> Column:
+    if run_from == "folder":
+        return F.regexp_extract(file, r"([^/=]*)/[^/]*$", 1)
+    return _stem(file)
 
 
-def _read(spark, path, mode, layout) -> tuple[DataFrame, DataFrame]:
+def _read(spark, path, mode, layout, run_from) -> tuple[DataFrame, DataFrame]:
     if layout == "auto":
         kinds = detect_layout(spark, path)
         lines = _parse(_records(spark, kinds.where("layout = 'jsonl'"), path, "\n"), mode)
@@ -97,8 +107,10 @@ def _read(spark, path, mode, layout) -> tuple[DataFrame, DataFrame]:
         good, bad = _parse(_records(spark, None, path, "\n" if layout == "jsonl" else "}"), mode)
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    rows = dense_position(good, ["file"], "piece", "source_index", chunk=F.col("block"))
-    rows = rows.select(_stem(F.col("file")).alias("run_id"), "source_index",
+    good = good.withColumn("run_id", _run_of(F.col("file"), run_from))
+    keys = ["run_id"] if run_from == "folder" else ["run_id", "file"]
+    rows = dense_position(good, keys, "piece", "source_index", chunk=F.struct("file", "block"))
+    rows = rows.select("run_id", "source_index",
                        *[F.col(f"r.{n}").alias(n) for n in RAW_STEP.fieldNames()])
     rows = rows.withColumns({
         "step_text": F.col("step"), "confidence_text": F.col("confidence"),
@@ -106,7 +118,7 @@ def _read(spark, path, mode, layout) -> tuple[DataFrame, DataFrame]:
     return with_filename(normalise_steps(rows)), bad
 
 
-def read_positions(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_positions(spark: SparkSession, path: str | list[str], run_from: str = "file") -> DataFrame:
     """A3: position entries keyed by file name; anything but an object of objects is an error.
 
     ``entry`` follows the order in the file, so the last of two equal names can win.
@@ -120,7 +132,7 @@ def read_positions(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("p.confidence").isNotNull(), F.concat(F.lit("no numeric confidence: "), F.col("value")))
     rows = dense_position(rows.where(sound.isNull()), ["file"], "piece", "entry", chunk=F.col("block"))
     name = F.from_json(F.concat(F.lit('{"k":"'), F.regexp_extract("value", key, 1), F.lit('"}')), "k string")["k"]
-    return rows.select(_stem(F.col("file")).alias("run_id"), name.alias("filename"), "entry", "p.*")
+    return rows.select(_run_of(F.col("file"), run_from).alias("run_id"), name.alias("filename"), "entry", "p.*")
 
 
 def read_backlash(spark: SparkSession, path: str | list[str], layout: str = "flat") -> DataFrame:
