@@ -46,7 +46,7 @@ def square_waypoints(spark, folder):
 
 @query("circle_waypoints", f"""WITH {PLAN_SQL}, r AS (SELECT plans.*, t.t AS seq FROM plans, LATERAL (SELECT unnest(range(n+6)) AS t) t),
 s AS (SELECT *, CASE WHEN reps = 1 THEN -1 ELSE 1 END * (2*pi()*seq/(n+5)) AS a FROM r)
-SELECT plan_id, seq, x0 + CAST(trunc(round(size*997*cos(a), 7)) AS BIGINT) AS x_nm, y0 + CAST(trunc(round(size*997*sin(a), 7)) AS BIGINT) AS y_nm FROM s""")
+SELECT plan_id, seq, x0 + CAST(trunc(size*997*cos(a)) AS BIGINT) AS x_nm, y0 + CAST(trunc(size*997*sin(a)) AS BIGINT) AS y_nm FROM s""")
 def circle_waypoints(spark, folder):
     p = plans(spark, folder).select("plan_id", "x0", "y0", (F.col("n") + 5).alias("n"), (F.col("size") * 997).alias("radius_nm"),
                                     (F.col("reps") == 1).alias("clockwise"))
