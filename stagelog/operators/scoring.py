@@ -15,11 +15,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stagelog.functions.rows import distance
 from stagelog.operators.features import model_windows
 
-_NEEDED = ("tx", "ty", "ax", "ay")
+_FIELDS = ("tx", "ty", "ax", "ay")
 
 
-def _tensor(windows: pd.Series) -> np.ndarray:
-    return np.array([[[e[c] for c in _NEEDED] for e in w] for w in windows], dtype=float)
+def _flat(window: str = "window") -> Column:
+    """A window as one plain number array, which reaches Python as one buffer per row."""
+    return F.flatten(F.transform(window, lambda e: F.array(*[e[c] for c in _FIELDS])))
+
+
+def _tensor(flat: pd.Series) -> np.ndarray:
+    return np.stack(flat.to_list()).reshape(len(flat), -1, len(_FIELDS)) if len(flat) else np.empty((0, 1, 4))
 
 
 def score_windows(
@@ -34,7 +39,7 @@ def score_windows(
             scaled = ((_tensor(batch) - mean) / scale).astype(np.float32)
             yield pd.DataFrame(np.asarray(predict(scaled), dtype=float) * scale + mean, columns=["x", "y"])
 
-    out = windows.withColumn("__p", score("window"))
+    out = windows.withColumn("__p", score(_flat()))
     return out.withColumns({
         "x_predicted": F.col("__p.x") + F.col("ref_x"), "y_predicted": F.col("__p.y") + F.col("ref_y")}).drop("__p")
 
@@ -62,7 +67,7 @@ def best_command(
         for frame in frames:
             rows = []
             for tensor, ref, target in zip(
-                    _tensor(frame["window"]) if len(frame) else [], frame[["ref_x", "ref_y"]].to_numpy(float),
+                    _tensor(frame["window"]), frame[["ref_x", "ref_y"]].to_numpy(float),
                     frame[["x_target", "y_target"]].to_numpy(float)):
                 command = target + grid
                 full = np.repeat(tensor[None], len(grid), axis=0)
@@ -79,7 +84,7 @@ def best_command(
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema if f.name != "window"]
     schema = ", ".join([*fields, "x_command bigint", "y_command bigint", "error_nm bigint"])
-    return windows.mapInPandas(search, schema)
+    return windows.withColumn("window", _flat()).mapInPandas(search, schema)
 
 
 def best_command_expr(

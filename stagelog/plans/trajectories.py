@@ -1,7 +1,8 @@
 """Expansion of plan rows into waypoint rows.
 
-One plan row becomes an ``explode`` of a ``sequence`` inside one task; plans
-expand independently, without a shuffle.
+A plan becomes numbered pieces of at most ``PIECE`` points, the pieces are
+spread over the cluster (they are tiny), and each is exploded in place, so one
+plan with most of the points is many tasks' work and no array grows with it.
 """
 
 from __future__ import annotations
@@ -11,26 +12,28 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 _BIG = "bigint"
+PIECE = 1 << 16
 
 
-def _emit(plans: DataFrame, points: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Explode an array of (x, y) structs into numbered waypoints."""
-    return plans.select("plan_id", *keep, F.posexplode(points).alias("seq", "p")).select(
-        "plan_id", *keep, F.col("seq").cast(_BIG).alias("seq"),
-        F.col("p.x").cast(_BIG).alias("x_nm"), F.col("p.y").cast(_BIG).alias("y_nm"))
+def _numbered(plans: DataFrame, count: Column) -> DataFrame:
+    """One row per point of each plan, numbered by ``seq`` from 0; none for a count below one."""
+    n, piece = count.cast(_BIG), F.lit(PIECE).cast(_BIG)
+    starts = F.sequence(F.lit(0).cast(_BIG), F.col("__n") - 1, piece)
+    pieces = plans.withColumn("__n", n).where(F.col("__n") > 0).withColumn("__from", F.explode(starts))
+    spread = pieces.repartition("plan_id", "__from")
+    last = F.least(F.col("__from") + piece, F.col("__n")) - 1
+    return spread.withColumn("seq", F.explode(F.sequence(F.col("__from"), last))).drop("__n", "__from")
 
 
-def _index(count: Column) -> Column:
-    """[0, 1, …, count - 1], empty for a count below one."""
-    return F.when(count > 0, F.sequence(F.lit(0).cast(_BIG), count.cast(_BIG) - 1)).otherwise(
-        F.array().cast("array<bigint>"))
+def _points(rows: DataFrame, x: Column, y: Column) -> DataFrame:
+    return rows.select("plan_id", F.col("seq").cast(_BIG).alias("seq"), x.cast(_BIG).alias("x_nm"), y.cast(_BIG).alias("y_nm"))
 
 
-def _along(offset: Column) -> Column:
-    """A point at ``offset`` from the start along the plan's axis."""
-    on_x = F.col("axis") == "x"
-    return F.struct((F.col("x0") + F.when(on_x, offset).otherwise(0)).alias("x"),
-                    (F.col("y0") + F.when(on_x, 0).otherwise(offset)).alias("y"))
+def _along(rows: DataFrame, offset: Column) -> DataFrame:
+    """Points at ``offset`` from the start along the plan's axis."""
+    on_x, zero = F.col("axis") == "x", F.lit(0).cast(_BIG)
+    return _points(rows, F.col("x0") + F.when(on_x, offset).otherwise(zero),
+                   F.col("y0") + F.when(on_x, zero).otherwise(offset))
 
 
 def _ceil_div(a: Column, b: Column) -> Column:
@@ -40,40 +43,30 @@ def _ceil_div(a: Column, b: Column) -> Column:
 def sawtooth(plans: DataFrame) -> DataFrame:
     """n = ceil(range / step) steps out and n back, repeated; overshoots when not divisible."""
     n = _ceil_div(F.col("range_nm"), F.col("step_nm"))
-
-    def point(t: Column) -> Column:
-        phase = F.pmod(t, 2 * n)
-        return _along(F.when(phase < n, phase + 1).otherwise(2 * n - phase - 1) * F.col("step_nm"))
-
-    return _emit(plans, F.transform(_index(2 * n * F.col("reps")), point))
+    rows = _numbered(plans.withColumn("__m", n), 2 * n * F.col("reps"))
+    phase = F.pmod(F.col("seq"), 2 * F.col("__m"))
+    return _along(rows, F.when(phase < F.col("__m"), phase + 1).otherwise(2 * F.col("__m") - phase - 1) * F.col("step_nm"))
 
 
 def square(plans: DataFrame) -> DataFrame:
     """Four sides of ``n`` points each; a side that ``n`` does not divide is an error."""
     side, n = F.col("range_nm"), F.col("n")
-    step = F.expr("range_nm div n")
     checked = plans.where(F.assert_true(
         side % n == 0, F.lit("side length must be divisible by points per side")).isNull())
-
-    def point(t: Column) -> Column:
-        leg, d = F.floor(t / n), F.pmod(t, n) * step
-        x = F.when(leg == 0, 0).when(leg == 1, d).when(leg == 2, side).otherwise(side - d)
-        y = F.when(leg == 0, d).when(leg == 1, side).when(leg == 2, side - d).otherwise(0)
-        return F.struct((F.col("x0") + x).alias("x"), (F.col("y0") + y).alias("y"))
-
-    return _emit(checked, F.transform(_index(4 * n), point))
+    rows = _numbered(checked, 4 * n)
+    leg, d = F.expr("seq div n"), F.pmod(F.col("seq"), n) * F.expr("range_nm div n")
+    zero = F.lit(0).cast(_BIG)
+    x = F.when(leg == 0, zero).when(leg == 1, d).when(leg == 2, side).otherwise(side - d)
+    y = F.when(leg == 0, d).when(leg == 1, side).when(leg == 2, side - d).otherwise(zero)
+    return _points(rows, F.col("x0") + x, F.col("y0") + y)
 
 
 def circle(plans: DataFrame) -> DataFrame:
     """N + 1 points, the first repeated at the end; offsets truncated toward zero."""
     turn = F.when(F.coalesce(F.col("clockwise"), F.lit(False)), -1.0).otherwise(1.0)
-
-    def point(t: Column) -> Column:
-        angle = turn * (2.0 * math.pi * t / F.col("n"))
-        return F.struct((F.col("x0") + (F.col("radius_nm") * F.cos(angle)).cast(_BIG)).alias("x"),
-                        (F.col("y0") + (F.col("radius_nm") * F.sin(angle)).cast(_BIG)).alias("y"))
-
-    return _emit(plans, F.transform(_index(F.col("n") + 1), point))
+    angle = turn * (2.0 * math.pi * F.col("seq") / F.col("n"))
+    return _points(_numbered(plans, F.col("n") + 1), F.col("x0") + (F.col("radius_nm") * F.cos(angle)).cast(_BIG),
+                   F.col("y0") + (F.col("radius_nm") * F.sin(angle)).cast(_BIG))
 
 
 def _uniform(seed: int, salt: str) -> Column:
@@ -84,22 +77,19 @@ def _uniform(seed: int, salt: str) -> Column:
 
 def random_walk(plans: DataFrame, seed: int = 0, min_radius: int = 0) -> DataFrame:
     """I4: the start, then ``n`` independent jumps around it, radius uniform in [min_radius, radius_nm]."""
-    rows = plans.select("plan_id", "x0", "y0", "radius_nm", F.explode(_index(F.col("n") + 1)).alias("seq"))
     angle = _uniform(seed, "angle") * 2.0 * math.pi
     length = F.lit(float(min_radius)) + _uniform(seed, "radius") * (F.col("radius_nm") - min_radius)
-    moved = F.col("seq") > 0
-    return rows.select(
-        "plan_id", F.col("seq").cast(_BIG).alias("seq"),
-        (F.col("x0") + F.when(moved, (length * F.cos(angle)).cast(_BIG)).otherwise(0)).cast(_BIG).alias("x_nm"),
-        (F.col("y0") + F.when(moved, (length * F.sin(angle)).cast(_BIG)).otherwise(0)).cast(_BIG).alias("y_nm"))
+    moved, zero = F.col("seq") > 0, F.lit(0).cast(_BIG)
+    return _points(_numbered(plans, F.col("n") + 1),
+                   F.col("x0") + F.when(moved, (length * F.cos(angle)).cast(_BIG)).otherwise(zero),
+                   F.col("y0") + F.when(moved, (length * F.sin(angle)).cast(_BIG)).otherwise(zero))
 
 
 def poi_jumps(plans: DataFrame, seed: int = 0) -> DataFrame:
     """``n`` random picks from the plan's ``points`` (array of x, y structs)."""
-    rows = plans.select("plan_id", "points", F.explode(_index(F.col("n"))).alias("seq"))
     pick = F.floor(_uniform(seed, "pick") * F.size("points")).cast("int")
-    return rows.withColumn("p", F.get("points", pick)).select(
-        "plan_id", F.col("seq").cast(_BIG).alias("seq"), F.col("p.x").alias("x_nm"), F.col("p.y").alias("y_nm"))
+    rows = _numbered(plans, F.col("n")).withColumn("__p", F.get("points", pick))
+    return _points(rows, F.col("__p.x"), F.col("__p.y"))
 
 
 def major_minor(plans: DataFrame) -> DataFrame:
@@ -110,37 +100,39 @@ def major_minor(plans: DataFrame) -> DataFrame:
     zero = F.lit(0).cast(_BIG)
     offset = F.coalesce(F.col("first_offset"), zero) if "first_offset" in plans.columns else zero
 
-    def loop(pair: Column, number: Column) -> Column:
+    def legs(pair: Column, number: Column) -> Column:
         major, minor = pair["major"], pair["minor"]
         up = F.greatest(zero, _ceil_div(major + F.when(number == 0, offset).otherwise(zero), minor))
         low = F.least(up, -_ceil_div(major, minor))
-        down = up - low
-        back = F.greatest(zero, -low)
-        return F.transform(_index(up + down + back), lambda t: _along(minor * (
-            F.when(t < up, t + 1).when(t < up + down, up - (t - up) - 1)
-            .otherwise(low + (t - up - down) + 1))))
-
-    return _emit(plans, F.flatten(F.transform("pairs", loop)))
+        count = up + (up - low) + F.greatest(zero, -low)
+        return F.struct(minor.cast(_BIG).alias("minor"), up.alias("up"), low.alias("low"), count.alias("count"))
+
+    loops = plans.withColumn("__legs", F.transform("pairs", legs))
+    before = F.aggregate(F.slice("__legs", F.lit(1), F.col("__k")), zero, lambda a, leg: a + leg["count"])
+    numbered = loops.select("plan_id", "axis", "x0", "y0", "__legs", F.posexplode("__legs").alias("__k", "__leg")).select(
+        "plan_id", "axis", "x0", "y0", before.alias("__before"),
+        *[F.col("__leg")[c].alias(f"__{c}") for c in ("minor", "up", "low", "count")])
+    rows = _numbered(numbered, F.col("__count"))
+    t, up, low = F.col("seq"), F.col("__up"), F.col("__low")
+    down = up - low
+    place = F.when(t < up, t + 1).when(t < up + down, up - (t - up) - 1).otherwise(low + (t - up - down) + 1)
+    out = rows.withColumn("__o", place * F.col("__minor")).withColumn("seq", t + F.col("__before"))
+    return _along(out, F.col("__o"))
 
 
 def loop_warmup(plans: DataFrame) -> DataFrame:
     """One step of ``range_nm`` back along the axis, forward when ``reset``."""
     d = F.when(F.coalesce(F.col("reset"), F.lit(False)), F.col("range_nm")).otherwise(-F.col("range_nm"))
-    return _emit(plans, F.array(_along(d)))
+    return _along(plans.withColumn("seq", F.lit(0)), d)
 
 
 def spiral_warmup(plans: DataFrame, radius_start: int = 2000, radius_end: int = 3000) -> DataFrame:
     """I8: ``n`` points (at least 2) over two turns with linearly changing radius, truncated."""
-    n = F.col("n")
+    n, t = F.col("n"), F.col("seq")
     checked = plans.where(F.assert_true(n >= 2, F.lit("a spiral needs at least two points")).isNull())
-
-    def point(t: Column) -> Column:
-        angle = t / n * (4.0 * math.pi)
-        radius = F.lit(float(radius_start)) + F.lit(float(radius_end - radius_start)) * (t / (n - 1))
-        return F.struct((F.col("x0") + radius * F.cos(angle)).cast(_BIG).alias("x"),
-                        (F.col("y0") + radius * F.sin(angle)).cast(_BIG).alias("y"))
-
-    return _emit(checked, F.transform(_index(n), point))
+    angle = t / n * (4.0 * math.pi)
+    radius = F.lit(float(radius_start)) + F.lit(float(radius_end - radius_start)) * (t / (n - 1))
+    return _points(_numbered(checked, n), F.col("x0") + radius * F.cos(angle), F.col("y0") + radius * F.sin(angle))
 
 
 def linear_warmup(plans: DataFrame, distance: int = 3000, sign_x: int = 1, sign_y: int = -1) -> DataFrame:
@@ -150,13 +142,9 @@ def linear_warmup(plans: DataFrame, distance: int = 3000, sign_x: int = 1, sign_
     (-x, +y) over 2000 nm.
     """
     n = F.greatest(F.col("n"), F.lit(1))
-
-    def point(t: Column) -> Column:
-        left = F.when(n > 1, F.lit(1.0) - t / (n - 1)).otherwise(0.0)
-        return F.struct((F.col("x0") + F.lit(float(sign_x * distance)) * left).cast(_BIG).alias("x"),
-                        (F.col("y0") + F.lit(float(sign_y * distance)) * left).cast(_BIG).alias("y"))
-
-    return _emit(plans, F.transform(_index(n), point))
+    left = F.when(n > 1, F.lit(1.0) - F.try_divide(F.col("seq"), n - 1)).otherwise(0.0)
+    return _points(_numbered(plans, n), F.col("x0") + F.lit(float(sign_x * distance)) * left,
+                   F.col("y0") + F.lit(float(sign_y * distance)) * left)
 
 
 def angle_grid(plans: DataFrame) -> DataFrame:
@@ -170,8 +158,9 @@ def angle_grid(plans: DataFrame) -> DataFrame:
 
 def stepwise_lines(plans: DataFrame) -> DataFrame:
     """A start and a list of further offsets along the axis, one task per point."""
-    start = F.array(F.col("start").cast(_BIG))
-    return _emit(plans, F.transform(F.concat(start, F.col("offsets").cast("array<bigint>")), _along))
+    stops = F.concat(F.array(F.col("start").cast(_BIG)), F.col("offsets").cast("array<bigint>"))
+    rows = plans.select("plan_id", "axis", "x0", "y0", F.posexplode(stops).alias("seq", "__o"))
+    return _along(rows, F.col("__o"))
 
 
 def step_out_and_back(plans: DataFrame) -> DataFrame:
@@ -179,18 +168,12 @@ def step_out_and_back(plans: DataFrame) -> DataFrame:
 
     ``x_move`` and ``y_move`` are one step's components (see ``rotate_move``).
     """
-    n = F.col("n")
-
-    def reach(t: Column) -> Column:
-        return F.when(t < n, t + 1).when(t < 2 * n, 2 * n - t - 1).otherwise(0)
-
-    rows = plans.select("plan_id", "x0", "y0", "x_move", "y_move", "n", F.explode(_index(2 * n + 1)).alias("seq"))
-    k = reach(F.col("seq"))
-    last = F.col("seq") == 2 * n
+    n, t = F.col("n"), F.col("seq")
+    k = F.when(t < n, t + 1).when(t < 2 * n, 2 * n - t - 1).otherwise(0)
+    rows = _numbered(plans, 2 * n + 1)
+    step = F.when(t == 2 * n, "final").otherwise(t.cast("string"))
     return rows.select(
-        "plan_id", F.col("seq").cast(_BIG).alias("seq"),
-        F.when(last, "final").otherwise(F.col("seq").cast("string")).alias("step"),
-        (F.col("x0") + F.col("x_move") * k).cast(_BIG).alias("x_nm"),
+        "plan_id", "seq", step.alias("step"), (F.col("x0") + F.col("x_move") * k).cast(_BIG).alias("x_nm"),
         (F.col("y0") + F.col("y_move") * k).cast(_BIG).alias("y_nm"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,8 +23,7 @@ def use_rocksdb(spark: SparkSession) -> SparkSession:
 
 
 def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    frames = [r for r in rows if len(r)]
-    return pd.concat(frames).sort_values("source_index", kind="stable") if frames else pd.DataFrame()
+    return pd.concat(list(rows)).sort_values("source_index", kind="stable").reset_index(drop=True)
 
 
 class _Segments(StatefulProcessor):
@@ -35,18 +35,20 @@ class _Segments(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last, segment, length = self.state.get() if self.state.exists() else (-1, 0, 0)
-        out = []
-        for r in _ordered(rows).itertuples(index=False):
-            if r.source_index <= last:
-                out.append((key[0], r.source_index, r.step, r.position_confidence, None, None, False, True))
-                continue
-            last, conf = r.source_index, r.position_confidence
-            rejected = conf is None or pd.isna(conf) or conf < self.min_confidence
-            segment, length = (segment + 1, 0) if rejected else (segment, length + 1)
-            out.append((key[0], r.source_index, r.step, conf, segment, length, rejected, False))
-        self.state.update((last, segment, length))
-        yield pd.DataFrame(out, columns=_names(SEGMENT_ROWS)).astype(
-            {"segment": "Int64", "length": "Int64", "step": "Int64"})
+        frame = _ordered(rows)
+        late = frame["source_index"] <= last
+        live = frame[~late].copy()
+        conf = live["position_confidence"]
+        live["rejected"] = conf.isna() | (conf < self.min_confidence)
+        live["segment"] = segment + live["rejected"].cumsum()
+        kept = (~live["rejected"]).astype(int)
+        live["length"] = kept.groupby(live["segment"]).cumsum() + np.where(live["segment"] == segment, length, 0)
+        live.loc[live["rejected"], "length"] = 0
+        if len(live):
+            tail = live.iloc[-1]
+            self.state.update((int(tail["source_index"]), int(tail["segment"]), int(tail["length"])))
+        out = pd.concat([live.assign(late=False), frame[late].assign(rejected=False, late=True)])
+        yield _shaped(out.assign(run_id=key[0]), SEGMENT_ROWS)
 
     def close(self) -> None:
         pass
@@ -60,19 +62,26 @@ class _Drift(StatefulProcessor):
         self.state = handle.getValueState("drift", "last bigint, x bigint, y bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, x, y = self.state.get() if self.state.exists() else (-1, 0, 0)
-        out = []
-        for r in _ordered(rows).itertuples(index=False):
-            if r.source_index <= last:
-                out.append((key[0], r.source_index, r.x_target, r.y_target, None, None, True))
-                continue
-            last = r.source_index
-            out.append((key[0], last, r.x_target + x, r.y_target + y, x, y, False))
-            if r.task_type != "CORRECTION" or (self.mode != "accumulate" and not r.confidence >= self.min_conf):
-                continue
-            x, y = (-r.dx, -r.dy) if self.mode == "replace" else (x + r.dx, y + r.dy)
-        self.state.update((int(last), int(x), int(y)))
-        yield pd.DataFrame(out, columns=_names(DRIFT_ROWS)).astype({"drift_x": "Int64", "drift_y": "Int64"})
+        last, *drift = self.state.get() if self.state.exists() else (-1, 0, 0)
+        frame = _ordered(rows)
+        late = frame["source_index"] <= last
+        live = frame[~late].copy()
+        hit = live["task_type"] == "CORRECTION"
+        if self.mode != "accumulate":
+            hit &= live["confidence"] >= self.min_conf
+        for axis, start, moved in zip("xy", drift, ("dx", "dy")):
+            if self.mode == "replace":
+                after = (-live[moved]).where(hit).ffill().fillna(start)
+            else:
+                after = start + live[moved].where(hit, 0).cumsum()
+            live[f"drift_{axis}"] = after.shift(1, fill_value=start).astype("int64")
+            live[f"{axis}_drifted"] = live[f"{axis}_target"] + live[f"drift_{axis}"]
+            drift["xy".index(axis)] = int(after.iloc[-1]) if len(live) else start
+        if len(live):
+            self.state.update((int(live["source_index"].iloc[-1]), *drift))
+        old = frame[late]
+        old = old.assign(x_drifted=old["x_target"], y_drifted=old["y_target"], late=True)
+        yield _shaped(pd.concat([live.assign(late=False), old]).assign(run_id=key[0]), DRIFT_ROWS)
 
     def close(self) -> None:
         pass
@@ -123,6 +132,11 @@ def _names(schema: str) -> list[str]:
     return [f.split()[0] for f in schema.split(", ")]
 
 
+def _shaped(frame: pd.DataFrame, schema: str) -> pd.DataFrame:
+    whole = [f.split()[0] for f in schema.split(", ") if f.endswith("bigint")]
+    return frame.reindex(columns=_names(schema)).astype({c: "Int64" for c in whole})
+
+
 def _run(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
     return stream.groupBy("run_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
