@@ -127,13 +127,14 @@ def read_positions(spark: SparkSession, path: str | list[str], run_from: str = "
 
     ``entry`` follows the order in the file, so the last of two equal names can win.
     """
-    pieces = _pieces(spark, path, "}").where(~F.col("value").rlike(r"^[\s\x{FEFF}]*\{?\s*$"))
+    blank = F.col("value").rlike(r"^[\s\x{FEFF}]*\{?\s*$")
+    pieces = _pieces(spark, path, "}").where(~blank)
     key = r'^[\s\x{FEFF}]*[{,]\s*"((?:[^"\\]|\\.)*)"\s*:\s*(\{[\s\S]*)$'
     value = F.from_json(F.concat(F.regexp_extract("value", key, 2), F.lit("}")), POSITION_VALUE)
-    ok = F.assert_true(F.col("value").rlike(key), F.concat(F.lit("not a positions object: "), F.col("file")))
+    ok = F.assert_true(blank | F.col("value").rlike(key), F.concat(F.lit("not a positions object: "), F.col("file")))
     rows = pieces.where(ok.isNull()).withColumn("p", value)
     sound = F.assert_true(
-        F.col("p.confidence").isNotNull(), F.concat(F.lit("no numeric confidence: "), F.col("value")))
+        blank | F.col("p.confidence").isNotNull(), F.concat(F.lit("no numeric confidence: "), F.col("value")))
     rows = dense_position(rows.where(sound.isNull()), ["file"], "piece", "entry", chunk=F.col("block"))
     name = F.from_json(F.concat(F.lit('{"k":"'), F.regexp_extract("value", key, 1), F.lit('"}')), "k string")["k"]
     return rows.select(_run_of(F.col("file"), run_from).alias("run_id"), name.alias("filename"), "entry", "p.*")
@@ -147,10 +148,10 @@ def read_backlash(spark: SparkSession, path: str | list[str], layout: str = "fla
         return out.withColumn("conf", F.col("conf").try_cast("double"))
     if layout != "nested":
         raise ValueError(f"unknown layout {layout!r}")
-    objects = spark.read.option("lineSep", "\n}").text(path).select(run, F.trim("value").alias("value")).where(
-        ~F.col("value").rlike(r"^\s*$"))
-    task = F.from_json(F.concat("value", F.lit("\n}")), BACKLASH_NESTED, {"mode": "FAILFAST"})
-    tasks = objects.select("run_id", task.alias("t")).select("run_id", "t.*")
+    objects = spark.read.option("lineSep", "\n}").text(path).select(run, "value")
+    task = F.when(~F.col("value").rlike(r"^\s*$"), F.from_json(
+        F.concat("value", F.lit("\n}")), BACKLASH_NESTED, {"mode": "FAILFAST"}))
+    tasks = objects.select("run_id", task.alias("t")).where("t IS NOT NULL").select("run_id", "t.*")
     outer = [F.col(c).alias(f"task_{c}" if c not in ("task_id", "total_tasks", "steps") else c)
              for c in tasks.columns if c not in ("run_id", "sub_history")]
     rows = tasks.select("run_id", *outer, F.posexplode("sub_history").alias("seq", "s")).select(
