@@ -147,7 +147,7 @@ def connected_components(edges: DataFrame, by: tuple[str, ...] = ("run_id",)) ->
     repeated edges vanish, so the graph shrinks geometrically whatever its shape.
     """
     keys = list(by)
-    graph = cut_lineage(edges.where(F.col("i") != F.col("j")).select(*keys, "i", "j").distinct())
+    start = graph = cut_lineage(edges.where(F.col("i") != F.col("j")).select(*keys, "i", "j").distinct())
     labels = edges.select(*keys, F.explode(F.array("i", "j")).alias("tile_id")).distinct().withColumn(
         "label", F.col("tile_id"))
     rounds = 0
@@ -163,10 +163,13 @@ def connected_components(edges: DataFrame, by: tuple[str, ...] = ("run_id",)) ->
         chosen = cut_lineage(best.select(*keys, "v", F.least(F.col("b"), rank("v"))["id"].alias("rep")))
         for end in ("i", "j"):
             graph = graph.join(chosen.select(*keys, F.col("v").alias(end), F.col("rep").alias(f"r{end}")), [*keys, end])
-        graph = cut_lineage(graph.where(F.col("ri") != F.col("rj")).select(
+        older = [start, labels, chosen]
+        start = graph = cut_lineage(graph.where(F.col("ri") != F.col("rj")).select(
             *keys, F.least("ri", "rj").alias("i"), F.greatest("ri", "rj").alias("j")).distinct())
         labels = cut_lineage(labels.join(chosen.withColumnRenamed("v", "label"), [*keys, "label"], "left").select(
             *keys, "tile_id", F.coalesce("rep", "label").alias("label")))
+        for frame in older:
+            release(frame)
         rounds += 1
     names = labels.groupBy(*keys, "label").agg(F.min("tile_id").alias("component"))
     return labels.join(names, [*keys, "label"]).select(*keys, "tile_id", "component")

@@ -11,7 +11,7 @@ from stagelog.operators.graph import (
 from stagelog.operators.solve import solve_poses
 from stagelog.schema import (
     AGREE_PX, MAX_CORRECTION_NM, MAX_RESIDUAL_PX, MAX_SEEDS, MIN_NEIGHBOURS, NM_PER_PX, POSE_ANCHOR)
-from stagelog.session import cut_lineage
+from stagelog.session import cut_lineage, release
 
 _KEYS = ["run_id", "component"]
 
@@ -46,16 +46,19 @@ def _grow(seeds: DataFrame, tiles: DataFrame, links: DataFrame, k: int, agree_px
             .join(accepted.select(*_KEYS, F.col("tile_id").alias("src"), "x", "y"), [*_KEYS, "src"])
             .select(*_KEYS, F.col("dst").alias("tile_id"), "src", (F.col("x") + F.col("dx")).alias("ox"),
                     (F.col("y") + F.col("dy")).alias("oy"), "base_weight"))
+        offers = cut_lineage(offers)
         agreed = agreement_cluster(
-            cut_lineage(offers), [*_KEYS, "tile_id"], "ox", "oy", "base_weight", "base_weight", agree_px, k, "src")
+            offers, [*_KEYS, "tile_id"], "ox", "oy", "base_weight", "base_weight", agree_px, k, "src")
         wanted = at.select(*_KEYS, "tile_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
-        fresh = cut_lineage(
+        older, fresh = [offers, fresh, accepted], cut_lineage(
             agreed.join(wanted, [*_KEYS, "tile_id"])
             .where(distance(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")) <= limit_px)
             .select(*_KEYS, "tile_id", "x", "y"))
         if fresh.isEmpty():
             return accepted
         accepted = cut_lineage(accepted.unionByName(fresh))
+        for frame in older:
+            release(frame)
 
 
 def grow_components(

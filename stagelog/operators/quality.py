@@ -31,25 +31,26 @@ def attach_positions(steps: DataFrame, positions: DataFrame) -> DataFrame:
 
 def recalculate_positions(
     steps: DataFrame, positions: DataFrame, ref_step: int = 0, nm_per_px: float = NM_PER_PX,
-    missing_reference: str = "error",
+    missing_reference: str = "error", by: tuple[str, ...] = ("run_id",),
 ) -> DataFrame:
     """C1 + C2 + B5: re-derive actual positions from the mosaic; adds ``updated``.
 
     The reference is each run's first record with ``step = ref_step``.  A run
     without one, or whose reference image has no position, is an error, or is
-    left out with ``missing_reference="drop"``.
+    left out with ``missing_reference="drop"``.  A log of several trajectories,
+    each with its own reference, is divided with ``by``.
     """
     joined = attach_positions(steps, positions)
     is_ref = F.col("step") == ref_step
     order = F.when(is_ref, F.col("source_index"))
-    ref = joined.groupBy("run_id").agg(
+    ref = joined.groupBy(*by).agg(
         F.count_if(is_ref).alias("__refs"),
         F.min_by(F.struct("x_target_abs", "y_target_abs", "position"), order).alias("__ref"))
     located = (F.col("__refs") > 0) & F.col("__ref.position").isNotNull()
     if missing_reference == "error":
         located = F.assert_true(
             located, F.concat(F.lit("no located reference record in run "), F.col("run_id"))).isNull()
-    out = joined.join(ref.where(located), "run_id")
+    out = joined.join(ref.where(located), list(by))
     px, rpx = F.col("position"), F.col("__ref.position")
     new_x = mosaic_to_nm(px["x"], rpx["x"], F.col("__ref.x_target_abs"), -1, nm_per_px)
     new_y = mosaic_to_nm(px["y"], rpx["y"], F.col("__ref.y_target_abs"), 1, nm_per_px)
@@ -72,21 +73,29 @@ def _pearson(a: Column, b: Column) -> Column:
 
 
 def agreement_report(df: DataFrame, ref_step: int = 0, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """One row per run comparing commanded and measured displacement from the reference."""
-    ref = first_by(df.where(F.col("step") == ref_step), list(by), "source_index", {
-        "__rx": F.col("x_target_abs"), "__ry": F.col("y_target_abs")})
-    rows = df.where(~F.col("step").eqNullSafe(ref_step)).join(ref, list(by))
-    tx, ty = F.col("x_target_abs") - F.col("__rx"), F.col("y_target_abs") - F.col("__ry")
-    ax, ay = F.col("x_actual_abs") - F.col("__rx"), F.col("y_actual_abs") - F.col("__ry")
+    """One row per run comparing commanded and measured displacement from the reference.
+
+    Reference rows do not count; rows whose position was not updated do.  A run
+    with at most one counted row, or without a reference, is ``INSUFFICIENT``.
+    """
     d = "double"
-    stats = rows.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.count_if(tx.cast(d) * ax > 0).alias("x_agree"), F.count_if(ty.cast(d) * ay > 0).alias("y_agree"),
-        _pearson(tx.cast(d), ax.cast(d)).alias("x_r"), _pearson(ty.cast(d), ay.cast(d)).alias("y_r"),
-        F.avg(F.abs(tx - ax)).alias("x_mae"), F.avg(F.abs(ty - ay)).alias("y_mae"))
+    is_ref = F.col("step").eqNullSafe(ref_step)
+    ref = first_by(df.where(is_ref), list(by), "source_index", {
+        "__rx": F.col("x_target_abs"), "__ry": F.col("y_target_abs")})
+    rows = df.join(ref, list(by), "left")
+    delta = {
+        f"__{kind}{axis}": F.when(~is_ref, (F.col(f"{axis}_{name}_abs") - F.col(f"__r{axis}")).cast(d))
+        for axis in "xy" for kind, name in (("t", "target"), ("a", "actual"))}
+    rows = rows.withColumns(delta)
+    per_axis = []
+    for axis in "xy":
+        t, a = F.col(f"__t{axis}"), F.col(f"__a{axis}")
+        per_axis += [F.count_if(t * a > 0).alias(f"{axis}_agree"), _pearson(t, a).alias(f"{axis}_r"),
+                     F.avg(F.abs(t - a)).alias(f"{axis}_mae")]
+    stats = rows.groupBy(*by).agg(F.count("__tx").alias("n"), *per_axis)
     return stats.withColumns({
-        "x_agree_pct": 100.0 * F.col("x_agree") / F.col("n"),
-        "y_agree_pct": 100.0 * F.col("y_agree") / F.col("n"),
+        "x_agree_pct": F.try_divide(100.0 * F.col("x_agree"), F.col("n")),
+        "y_agree_pct": F.try_divide(100.0 * F.col("y_agree"), F.col("n")),
         "verdict": verdict(),
     })
 

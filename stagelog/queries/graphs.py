@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from stagelog import adapters as A
 from stagelog.functions.rows import predicted_overlap
@@ -101,8 +101,6 @@ def seed_triangles(spark, folder):
     """the 80 best triangles of each run."""
     kept, tri = G.cycle_filter(edges(spark, folder))
     kept, tri = cut_lineage(kept), cut_lineage(tri)
-    from pyspark.sql import Window
-
     ranked = Gr.triangle_quality(kept, tri).withColumn("quality", F.round("quality", 6)).withColumn(
         "place", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("quality"), "l", "m", "r")))
     return ranked.where("place <= 80").select("run_id", "l", "m", "r", "quality", F.col("place").cast(B).alias("place"))

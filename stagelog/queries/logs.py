@@ -71,14 +71,14 @@ def update_counts(spark, folder):
 
 def _agreement_sql(source: str) -> str:
     return f""", ref0 AS (SELECT run_id, x_target_abs AS rx, y_target_abs AS ry FROM {source} WHERE step = 0),
-d AS (SELECT run_id, CAST(x_target_abs-rx AS DOUBLE) AS tx, CAST(y_target_abs-ry AS DOUBLE) AS ty,
-  CAST(x_actual_abs-rx AS DOUBLE) AS ax, CAST(y_actual_abs-ry AS DOUBLE) AS ay FROM {source} JOIN ref0 USING (run_id) WHERE step <> 0),
-g AS (SELECT run_id, count(*) AS n, count(*) FILTER (tx*ax > 0) AS x_agree, count(*) FILTER (ty*ay > 0) AS y_agree,
+d AS (SELECT run_id, CASE WHEN step <> 0 THEN CAST(x_target_abs-rx AS DOUBLE) END AS tx, CASE WHEN step <> 0 THEN CAST(y_target_abs-ry AS DOUBLE) END AS ty,
+  CASE WHEN step <> 0 THEN CAST(x_actual_abs-rx AS DOUBLE) END AS ax, CASE WHEN step <> 0 THEN CAST(y_actual_abs-ry AS DOUBLE) END AS ay FROM {source} LEFT JOIN ref0 USING (run_id)),
+g AS (SELECT run_id, count(tx) AS n, count(*) FILTER (tx*ax > 0) AS x_agree, count(*) FILTER (ty*ay > 0) AS y_agree,
   coalesce(CASE WHEN stddev_pop(tx)*stddev_pop(ax) = 0 THEN 0 ELSE covar_pop(tx,ax)/(stddev_pop(tx)*stddev_pop(ax)) END, 0) AS x_r,
   coalesce(CASE WHEN stddev_pop(ty)*stddev_pop(ay) = 0 THEN 0 ELSE covar_pop(ty,ay)/(stddev_pop(ty)*stddev_pop(ay)) END, 0) AS y_r,
   avg(abs(tx-ax)) AS x_mae, avg(abs(ty-ay)) AS y_mae FROM d GROUP BY 1)
 SELECT run_id, n, x_agree, y_agree, round(x_r,6) AS x_r, round(y_r,6) AS y_r, round(x_mae,6) AS x_mae, round(y_mae,6) AS y_mae,
-  round(CAST(100 AS DOUBLE)*x_agree/n,6) AS x_agree_pct, round(CAST(100 AS DOUBLE)*y_agree/n,6) AS y_agree_pct,
+  CASE WHEN n > 0 THEN round(CAST(100 AS DOUBLE)*x_agree/n,6) END AS x_agree_pct, CASE WHEN n > 0 THEN round(CAST(100 AS DOUBLE)*y_agree/n,6) END AS y_agree_pct,
   CASE WHEN n <= 1 THEN 'INSUFFICIENT' WHEN x_r < 0.3 OR y_r < 0.3 THEN 'LOW' WHEN x_r > 0.8 AND y_r > 0.8 THEN 'GOOD' ELSE 'MODERATE' END AS verdict
 FROM g"""
 

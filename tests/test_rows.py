@@ -78,13 +78,15 @@ def test_agreement(frame):
     ramp = [(100 * i, -50 * i) for i in range(6)]
     rows = (run("perfect", [(x, y, x, y) for x, y in ramp]) + run("flat", [(5, y, 5, y) for _, y in ramp])
             + run("single", [(0, 0, 0, 0), (1, 1, 1, 1)]) + run("inverted", [(x, y, -x, y) for x, y in ramp])
-            + run("zero", [(0, 0, 0, 0)] * 4))
+            + run("zero", [(0, 0, 0, 0)] * 4) + run("alone", [(0, 0, 0, 0)]) + [("lost", 0, 5, 1, 1, 1, 1), ("lost", 1, 6, 1, 1, 1, 1)])
     out = {r.run_id: r for r in Q.agreement_report(frame(rows, AGREE)).collect()}
     p = out["perfect"]
     assert (p.n, p.x_agree, p.y_agree, p.verdict, p.x_mae) == (5, 5, 5, "GOOD", 0.0) and p.x_r == pytest.approx(1)
     assert out["flat"].x_r == 0.0 and out["flat"].verdict == "LOW"
     assert out["single"].verdict == "INSUFFICIENT"
     assert out["inverted"].verdict == "LOW" and out["inverted"].x_agree == 0
+    for run in ("alone", "lost"):
+        assert (out[run].n, out[run].verdict, out[run].x_mae) == (0, "INSUFFICIENT", None)
     assert (out["zero"].x_agree, out["zero"].verdict) == (0, "LOW")
 
 
