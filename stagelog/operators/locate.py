@@ -52,23 +52,50 @@ def _areas(blocks: DataFrame, block: int, tile_w: int, tile_h: int, blur: bool)
         build, "run_id string, ax bigint, ay bigint, total bigint, solid bigint, grey binary, opaque binary")
 
 
+def cut_blocks(images: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """One composite image per run (``w``, ``h``, ``pixels``, optional ``alpha``) as blocks, and its size."""
+    has_alpha = "alpha" in images.columns
+
+    def cut(frames):
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                rows, cols = -(-r.h // block), -(-r.w // block)
+                room = ((0, rows * block - r.h), (0, cols * block - r.w))
+                grey = np.pad(as_array(r.pixels, r.w, r.h), room)
+                solid = as_array(r.alpha, r.w, r.h) if has_alpha else np.full((r.h, r.w), 255, np.uint8)
+                solid = np.pad(solid, room)
+                for by in range(rows):
+                    for bx in range(cols):
+                        at = np.s_[by * block: (by + 1) * block, bx * block: (bx + 1) * block]
+                        out.append((r.run_id, bx, by, grey[at].tobytes(), solid[at].tobytes()))
+            yield pd.DataFrame(out, columns=["run_id", "bx", "by", "pixels", "alpha"])
+
+    kept = ["run_id", "w", "h", "pixels", *(["alpha"] if has_alpha else [])]
+    blocks = images.select(*kept).mapInPandas(cut, "run_id string, bx bigint, by bigint, pixels binary, alpha binary")
+    return blocks, images.select("run_id", F.col("w").cast("bigint").alias("cw"), F.col("h").cast("bigint").alias("ch"))
+
+
 def locate_tiles(
     tiles: DataFrame, blocks: DataFrame, block: int, tile_w: int, tile_h: int, blur: bool = True,
+    size: DataFrame | None = None,
 ) -> DataFrame:
     """H2: best place of every tile in its run's composite; null where the tile is larger.
 
     ``blocks`` are (run_id, bx, by, pixels, alpha) squares of side ``block`` as
-    composed; all tiles are ``tile_w`` × ``tile_h``.  Transparent pixels take the
+    composed; all tiles are ``tile_w`` × ``tile_h``.  ``size`` (run_id, cw, ch)
+    bounds the search where the last blocks are padded.  Transparent pixels take the
     mean of the opaque ones.  The first best place in row order wins.
     """
     areas = _areas(blocks, block, tile_w, tile_h, blur)
-    size = blocks.groupBy("run_id").agg(
-        ((F.max("bx") + 1) * block).alias("cw"), ((F.max("by") + 1) * block).alias("ch"))
+    if size is None:
+        size = blocks.groupBy("run_id").agg(
+            ((F.max("bx") + 1) * block).alias("cw"), ((F.max("by") + 1) * block).alias("ch"))
     fill = areas.groupBy("run_id").agg(F.floor(F.sum("total") / F.sum("solid")).cast("int").alias("fill"))
     counts = size.join(fill, "run_id").join(
         tiles.groupBy("run_id").agg((F.expr(f"max(tile_id) div {TILES_PER_BUNDLE}")).alias("last_t")), "run_id")
-    counts = counts.withColumn("nx", F.expr(f"cw div {block}")).withColumn(
-        "last_a", F.expr(f"(nx * (ch div {block}) - 1) div {AREAS_PER_BUNDLE}"))
+    counts = counts.withColumn("nx", F.ceil(F.col("cw") / block)).withColumn(
+        "last_a", F.expr(f"(nx * ceil(ch / {block}) - 1) div {AREAS_PER_BUNDLE}"))
     everywhere = F.sequence(F.lit(0).cast("bigint"), F.col("last_a"))
     left = tiles.select("run_id", "tile_id", "w", "h", "pixels").join(counts, "run_id").select(
         "run_id", F.expr(f"tile_id div {TILES_PER_BUNDLE}").alias("t"), F.explode(everywhere).alias("a"),

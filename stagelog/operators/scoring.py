@@ -1,7 +1,9 @@
 """Scoring windows with a user's predictor and searching the best command.
 
 ``predict`` is a Python callable: float32 array (batch, window, 4) of scaled
-relative (tx, ty, ax, ay) rows to (batch, 2) scaled relative positions.
+relative (tx, ty, ax, ay) rows to (batch, 2) scaled relative positions.  With
+``loader=True`` it takes no argument and returns such a callable; it is then
+called once per task, which suits a model that has to be loaded.
 """
 
 from __future__ import annotations
@@ -28,16 +30,17 @@ def _tensor(flat: pd.Series) -> np.ndarray:
 
 
 def score_windows(
-    windows: DataFrame, predict: Callable[[np.ndarray], np.ndarray], mean: float = 0.0, scale: float = 1.0,
+    windows: DataFrame, predict: Callable, mean: float = 0.0, scale: float = 1.0, loader: bool = False,
 ) -> DataFrame:
     """Scale, predict, undo the scale, and return absolute predicted positions."""
     schema = "x double, y double"
 
     @F.pandas_udf(schema)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = predict() if loader else predict
         for batch in batches:
             scaled = ((_tensor(batch) - mean) / scale).astype(np.float32)
-            yield pd.DataFrame(np.asarray(predict(scaled), dtype=float) * scale + mean, columns=["x", "y"])
+            yield pd.DataFrame(np.asarray(model(scaled), dtype=float) * scale + mean, columns=["x", "y"])
 
     out = windows.withColumn("__p", score(_flat()))
     return out.withColumns({
@@ -51,8 +54,8 @@ def command_windows(steps: DataFrame, window: int, **options) -> DataFrame:
 
 
 def best_command(
-    windows: DataFrame, predict: Callable[[np.ndarray], np.ndarray], step_nm: int = 100, lo: int = -50,
-    hi: int = 50, mean: float = 0.0, scale: float = 1.0,
+    windows: DataFrame, predict: Callable, step_nm: int = 100, lo: int = -50, hi: int = 50,
+    mean: float = 0.0, scale: float = 1.0, loader: bool = False,
 ) -> DataFrame:
     """The candidate command whose predicted position is nearest the target.
 
@@ -64,6 +67,7 @@ def best_command(
     grid = np.stack(np.meshgrid(offsets, offsets, indexing="ij"), -1).reshape(-1, 2).astype(float)
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = predict() if loader else predict
         for frame in frames:
             rows = []
             for tensor, ref, target in zip(
@@ -72,7 +76,7 @@ def best_command(
                 command = target + grid
                 full = np.repeat(tensor[None], len(grid), axis=0)
                 full[:, -1, :2] = command - ref
-                guess = np.asarray(predict(((full - mean) / scale).astype(np.float32)), dtype=float)
+                guess = np.asarray(model(((full - mean) / scale).astype(np.float32)), dtype=float)
                 guess = guess * scale + mean + ref
                 error = np.hypot(guess[:, 0] - target[0], guess[:, 1] - target[1])
                 k = int(np.argmin(error))

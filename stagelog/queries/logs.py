@@ -13,6 +13,7 @@ from stagelog.operators.cluster import agreement_cluster
 from stagelog.queries import query
 from stagelog.session import shared_folder
 from stagelog.sources import logs as L
+from stagelog.sources.sinks import write_positions, write_steps
 
 T = 0.3  # segmentation threshold that gives segments of mixed length
 B, D = "bigint", "double"
@@ -204,10 +205,8 @@ SELECT run_id, step AS source_index, step, x_target_abs, y_target_abs, x_actual_
 def log_replayed_from_lines(spark, folder):
     """A1, B1, B2: the log written as JSON lines and read through the log reader."""
     out = _new_folder(spark)
-    fields = ["step", "x_target_abs", "y_target_abs", "x_actual_abs", "y_actual_abs", "img_path"]
-    written = steps(spark, folder).select("run_id", "source_index", *fields, F.format_string("%.4f", "confidence").alias("confidence"))
-    written.repartitionByRange("run_id", "source_index").sortWithinPartitions("run_id", "source_index").drop(
-        "source_index").write.partitionBy("run_id").json(out)
+    written = steps(spark, folder).withColumn("confidence_text", F.format_string("%.4f", "confidence"))
+    write_steps(written, out)
     rows = L.read_steps(spark, out + "/*/*.json", layout="jsonl", run_from="folder")
     return rows.select("run_id", "source_index", "step", "x_target_abs", "y_target_abs", "x_actual_abs",
                        "y_actual_abs", "confidence", "filename")
@@ -217,15 +216,8 @@ def log_replayed_from_lines(spark, folder):
     "w, h,", "CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h,"))
 def position_map_read(spark, folder):
     """A3: position maps written as one JSON object per run and read back."""
-    p = positions(spark, folder)
-    ends = p.groupBy("run_id").agg(F.min("entry").alias("first"), F.max("entry").alias("last"))
-    key = F.concat(F.lit('"'), F.col("filename"), F.lit('": '))
-    body = F.to_json(F.struct("x", "y", "w", "h", "confidence"))
-    line = F.concat(F.when(F.col("entry") == F.col("first"), "{").otherwise(","), key, body,
-                    F.when(F.col("entry") == F.col("last"), "}").otherwise(""))
     out = _new_folder(spark)
-    p.join(ends, "run_id").select("run_id", "entry", line.alias("value")).repartitionByRange(
-        "run_id", "entry").sortWithinPartitions("run_id", "entry").drop("entry").write.partitionBy("run_id").text(out)
+    write_positions(positions(spark, folder), out)
     return L.read_positions(spark, out + "/*/*.txt", run_from="folder").drop("entry")
 
 

@@ -154,3 +154,11 @@ def test_locate(spark, scene):
     assert exact[1].confidence == 1.0
     small = L.locate_tiles(tiles, blocks.where("bx = 0 AND by = 0"), 256, SIDE, SIDE).collect()
     assert len(small) == 4 and all(r.x is None and r.confidence is None for r in small)
+
+
+def test_locate_in_an_image(spark, scene):
+    big, tiles, _ = scene
+    image = spark.createDataFrame([("a", 780, 770, big[:770, :780].tobytes())], "run_id string, w int, h int, pixels binary")
+    blocks, size = L.cut_blocks(image, 256)
+    got = {r.tile_id: (r.x, r.y) for r in L.locate_tiles(tiles, blocks, 256, SIDE, SIDE, blur=False, size=size).collect()}
+    assert got == dict(enumerate(POS))

@@ -122,5 +122,7 @@ def test_best_command(frame):
     assert (row.x_command, row.y_command, row.error_nm) == (130, 30, 0)
     tie = Sc.best_command(df, lambda t: t[:, -1, :2] * 0 + 7, step_nm=10, lo=-5, hi=5).first()
     assert (tie.x_command, tie.y_command) == (50, -50)
+    loaded = Sc.best_command(df, lambda: play, step_nm=10, lo=-5, hi=5, loader=True).first()
+    assert loaded == row
     scored = Sc.score_windows(df, lambda t: t[:, -1, :2] * 2, mean=5.0, scale=10.0).first()
     assert (scored.x_predicted, scored.y_predicted) == (195.0, -5.0)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from stagelog.sources import logs as L
+from stagelog.sources.sinks import write_positions, write_steps
 from stagelog.sources.tiles import decode_bmp, read_tiles
 
 
@@ -73,6 +74,21 @@ def test_positions(spark, tmp_path):
         L.read_positions(spark, str(tmp_path / "text.txt")).collect()
 
 
+def test_written_forms_read_back(spark, frame, tmp_path):
+    pos = frame([("r", f'odd "name" \\ {i}.bmp', i, i, -i, 10, 20, 0.5) for i in range(50)],
+                "run_id string, filename string, entry bigint, x bigint, y bigint, w bigint, h bigint, confidence double")
+    write_positions(pos, str(tmp_path / "p"))
+    back = L.read_positions(spark, str(tmp_path / "p/*/*.txt"), run_from="folder")
+    assert sorted(map(tuple, back.select(pos.columns).collect())) == sorted(map(tuple, pos.collect()))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "p" / "run_id=r").glob("*.txt")))
+    assert len(json.loads(text)) == 50
+    (tmp_path / "a.jsonl").write_text(LINES)
+    steps = L.read_steps(spark, str(tmp_path / "a.jsonl"))
+    write_steps(steps, str(tmp_path / "s"))
+    again = L.read_steps(spark, str(tmp_path / "s/*/*.json"), run_from="folder")
+    assert sorted(map(str, again.select(steps.columns).collect())) == sorted(map(str, steps.collect()))
+
+
 def test_backlash(spark, tmp_path):
     sub = [{"step": s, "r_target": 0.0, "x_target": 1, "y_target": 0, "x_move": 1, "y_move": 0, "dx_measured": 5,
             "dy_measured": 6, "conf": "0.9000", "img_path": "a", "meta_path": "b"} for s in (0, 1, "final")]
