@@ -14,6 +14,7 @@ from stagelog.schema import (
 from stagelog.session import cut_lineage, release
 
 _KEYS = ["run_id", "component"]
+_SEED = [*_KEYS, "seed"]
 
 
 def triangle_quality(edges: DataFrame, tri: DataFrame) -> DataFrame:
@@ -25,35 +26,34 @@ def triangle_quality(edges: DataFrame, tri: DataFrame) -> DataFrame:
 
 
 def _grow(seeds: DataFrame, tiles: DataFrame, links: DataFrame, k: int, agree_px: float, limit_px: float) -> DataFrame:
-    """Grow one seed triangle per (run, component) until no tile can be added."""
+    """Grow every seed triangle on its own until no tile can be added to any of them."""
     at = tiles.select(*_KEYS, "tile_id", "x", "y")
     first = seeds.join(at.withColumnRenamed("tile_id", "l"), [*_KEYS, "l"])
-    parts = [first.select(*_KEYS, F.col("l").alias("tile_id"), "x", "y")]
+    accepted = first.select(*_SEED, F.col("l").alias("tile_id"), "x", "y")
     for other in "mr":
         step = links.select(*_KEYS, F.col("src").alias("l"), F.col("dst").alias(other), "dx", "dy")
-        parts.append(first.join(step, [*_KEYS, "l", other]).select(
-            *_KEYS, F.col(other).alias("tile_id"), (F.col("x") + F.col("dx")).alias("x"),
+        accepted = accepted.unionByName(first.join(step, [*_KEYS, "l", other]).select(
+            *_SEED, F.col(other).alias("tile_id"), (F.col("x") + F.col("dx")).alias("x"),
             (F.col("y") + F.col("dy")).alias("y")))
-    accepted = cut_lineage(parts[0].unionByName(parts[1]).unionByName(parts[2]))
-    fresh = accepted
+    accepted = fresh = cut_lineage(accepted)
+    into = links.select(*_KEYS, "src", "dst", "dx", "dy", "base_weight")
     while True:
-        known = accepted.select(*_KEYS, F.col("tile_id").alias("dst"))
+        known = accepted.select(*_SEED, F.col("tile_id").alias("dst"))
         exposed = (
-            links.join(fresh.select(*_KEYS, F.col("tile_id").alias("src")), [*_KEYS, "src"], "left_semi")
-            .select(*_KEYS, "dst").distinct().join(known, [*_KEYS, "dst"], "left_anti"))
-        offers = (
-            links.join(exposed, [*_KEYS, "dst"], "left_semi")
-            .join(accepted.select(*_KEYS, F.col("tile_id").alias("src"), "x", "y"), [*_KEYS, "src"])
-            .select(*_KEYS, F.col("dst").alias("tile_id"), "src", (F.col("x") + F.col("dx")).alias("ox"),
+            fresh.select(*_SEED, F.col("tile_id").alias("src")).join(into.select(*_KEYS, "src", "dst"), [*_KEYS, "src"])
+            .select(*_SEED, "dst").distinct().join(known, [*_SEED, "dst"], "left_anti"))
+        offers = cut_lineage(
+            exposed.join(into, [*_KEYS, "dst"])
+            .join(accepted.select(*_SEED, F.col("tile_id").alias("src"), "x", "y"), [*_SEED, "src"])
+            .select(*_SEED, F.col("dst").alias("tile_id"), "src", (F.col("x") + F.col("dx")).alias("ox"),
                     (F.col("y") + F.col("dy")).alias("oy"), "base_weight"))
-        offers = cut_lineage(offers)
         agreed = agreement_cluster(
-            offers, [*_KEYS, "tile_id"], "ox", "oy", "base_weight", "base_weight", agree_px, k, "src")
+            offers, [*_SEED, "tile_id"], "ox", "oy", "base_weight", "base_weight", agree_px, k, "src")
         wanted = at.select(*_KEYS, "tile_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
         older, fresh = [offers, fresh, accepted], cut_lineage(
             agreed.join(wanted, [*_KEYS, "tile_id"])
             .where(distance(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")) <= limit_px)
-            .select(*_KEYS, "tile_id", "x", "y"))
+            .select(*_SEED, "tile_id", "x", "y"))
         if fresh.isEmpty():
             return accepted
         accepted = cut_lineage(accepted.unionByName(fresh))
@@ -61,10 +61,26 @@ def _grow(seeds: DataFrame, tiles: DataFrame, links: DataFrame, k: int, agree_px
             release(frame)
 
 
+def _attempted(seeds: DataFrame, grown: DataFrame) -> DataFrame:
+    """The seeds of a batch that are really tried: not inside the set of an earlier tried one."""
+    earlier = seeds.select(*_KEYS, F.col("seed").alias("by"))
+    inside = seeds.select(*_SEED, "l", "m", "r").join(earlier, _KEYS).where(F.col("by") < F.col("seed"))
+    for corner in "lmr":
+        inside = inside.join(grown.select(*_KEYS, F.col("seed").alias("by"), F.col("tile_id").alias(corner)),
+                             [*_KEYS, "by", corner], "left_semi")
+    covered = inside.groupBy(*_SEED).agg(F.collect_set("by").alias("by"))
+    none = F.array().cast("array<int>")
+    in_order = seeds.select(*_SEED).join(covered, _SEED, "left").groupBy(*_KEYS).agg(
+        F.sort_array(F.collect_list(F.struct("seed", F.coalesce("by", none).alias("by")))).alias("s"))
+    tried = F.aggregate("s", none, lambda done, e: F.when(F.arrays_overlap(done, e["by"]), done).otherwise(
+        F.concat(done, F.array(e["seed"]))))
+    return in_order.select(*_KEYS, F.explode(tried).alias("seed"))
+
+
 def grow_components(
     tiles: DataFrame, edges: DataFrame, triangles: DataFrame, k: int = MIN_NEIGHBOURS,
     agree_px: float = AGREE_PX, max_correction_nm: float = MAX_CORRECTION_NM, max_seeds: int = MAX_SEEDS,
-    max_residual: float = MAX_RESIDUAL_PX, nm_per_px: float = NM_PER_PX,
+    max_residual: float = MAX_RESIDUAL_PX, nm_per_px: float = NM_PER_PX, batch: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
     """The run's largest set of tiles that can be placed from one seed triangle.
 
@@ -72,7 +88,9 @@ def grow_components(
     that lies near its commanded place.  All runs and all connected parts grow
     together, one level of neighbours per round; the result does not depend on
     the order of edges.  Seeds are tried best first, skipping triangles inside a
-    set already grown, at most ``max_seeds`` per run.
+    set already grown, at most ``max_seeds`` per run: the best of each part
+    alone, then ``batch`` at a time, of which those inside another's set do not
+    count as tried.
     """
     edges = cut_lineage(edges)
     comp = cut_lineage(connected_components(edges))
@@ -83,19 +101,30 @@ def grow_components(
     links = cut_lineage(links.join(comp.withColumnRenamed("tile_id", "src"), ["run_id", "src"]))
     open_tri = cut_lineage(triangle_quality(edges, triangles).join(comp.withColumnRenamed("tile_id", "l"), ["run_id", "l"]))
     limit_px = max_correction_nm / nm_per_px
+    best_first = W.partitionBy(*_KEYS).orderBy(F.col("quality").desc(), "l", "m", "r")
     tries: list[DataFrame] = []
-    for attempt in range(max_seeds):
-        best = open_tri.groupBy(*_KEYS).agg(F.max_by(
-            F.struct("l", "m", "r", "quality"), F.struct(F.col("quality"), -F.col("l"), -F.col("m"), -F.col("r"))).alias("t"))
-        seeds = cut_lineage(best.select(*_KEYS, "t.*"))
+    for wave in range(max_seeds):
+        seeds = cut_lineage(
+            open_tri.withColumn("seed", F.row_number().over(best_first)).where(F.col("seed") <= (batch if wave else 1))
+            .select(*_SEED, "l", "m", "r", "quality"))
         if seeds.isEmpty():
             break
         grown = _grow(seeds, at, links, k, agree_px, limit_px)
-        tries.append(grown.join(seeds.select(*_KEYS, "quality"), _KEYS).withColumn("attempt", F.lit(attempt)))
-        inside = open_tri
-        for c in "lmr":
-            inside = inside.join(grown.select(*_KEYS, F.col("tile_id").alias(c)), [*_KEYS, c], "left_semi")
-        open_tri = cut_lineage(open_tri.join(inside.select("run_id", "l", "m", "r"), ["run_id", "l", "m", "r"], "left_anti"))
+        grown = cut_lineage(
+            grown.join(_attempted(seeds, grown), _SEED, "left_semi").join(seeds.select(*_SEED, "quality"), _SEED)
+            .withColumn("wave", F.lit(wave)))
+        tries.append(grown)
+        inside = open_tri.select(*_KEYS, "l", "m", "r").join(
+            grown.select(*_SEED, F.col("tile_id").alias("l")), [*_KEYS, "l"])
+        for corner in "mr":
+            inside = inside.join(grown.select(*_SEED, F.col("tile_id").alias(corner)), [*_SEED, corner], "left_semi")
+        spent = tries[0].select(*_KEYS, "wave", "seed").distinct()
+        for t in tries[1:]:
+            spent = spent.unionByName(t.select(*_KEYS, "wave", "seed").distinct())
+        spent = spent.groupBy(*_KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= max_seeds)
+        left = open_tri.join(inside.select("run_id", "l", "m", "r").distinct(), ["run_id", "l", "m", "r"], "left_anti")
+        older, open_tri = open_tri, cut_lineage(left.join(spent, _KEYS, "left_anti"))
+        release(older)
     none = tiles.select("run_id", "tile_id", "x", "y").limit(0)
     if not tries:
         return none, edges.limit(0)
@@ -103,7 +132,7 @@ def grow_components(
     for t in tries[1:]:
         every = every.unionByName(t)
     every = cut_lineage(every)
-    key = ["run_id", "component", "attempt"]
+    key = [*_KEYS, "wave", "seed"]
     fits = edge_residuals(
         edges.join(comp.withColumnRenamed("tile_id", "i"), ["run_id", "i"])
         .join(every.select(*key, F.col("tile_id").alias("i")), ["run_id", "component", "i"]),
@@ -111,10 +140,10 @@ def grow_components(
     fits = cut_lineage(fits)
     score = every.groupBy(*key, "quality").agg(F.count("*").alias("tiles")).join(
         fits.groupBy(*key).agg(F.count("*").alias("edges")), key, "left").fillna(0, ["edges"])
-    tried = W.partitionBy("run_id").orderBy(F.col("quality").desc(), "component", "attempt")
+    tried = W.partitionBy("run_id").orderBy(F.col("quality").desc(), "component", "wave", "seed")
     ranked = score.withColumn("turn", F.row_number().over(tried)).where(F.col("turn") <= max_seeds)
     winner = ranked.groupBy("run_id").agg(F.max_by(
-        F.struct("component", "attempt"), F.struct(F.col("tiles"), F.col("edges"), -F.col("turn"))).alias("w")
+        F.struct("component", "wave", "seed"), F.struct(F.col("tiles"), F.col("edges"), -F.col("turn"))).alias("w")
     ).select("run_id", "w.*")
     return (
         every.join(winner, key, "left_semi").select("run_id", "tile_id", "x", "y"),
