@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagelog.llm import chats, mixing, token_counts, warc
+from stagelog.llm import chats, mixing, rules, token_counts, warc
 from stagelog.llm.common import configure_llm, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,10 @@ def op5_token_counts(spark, folder):
 def op8_pareto_mix(spark, folder):
     """All documents mixed to source targets."""
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_decision_list(spark, folder):
+    """Quality verdict for every document."""
+    judged, _ = rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept")
