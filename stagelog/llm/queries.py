@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagelog.llm import chats, mixing, rules, token_counts, warc
+from stagelog.llm import chats, convnet, mixing, rules, token_counts, warc
 from stagelog.llm.common import configure_llm, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,11 @@ def op4_decision_list(spark, folder):
     """Quality verdict for every document."""
     judged, _ = rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept")
+
+
+@query
+def op9_byte_convnet(spark, folder):
+    """Quality probability of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = convnet.classify(docs, convnet.train(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", convnet.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
