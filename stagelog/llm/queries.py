@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagelog.llm import chats, convnet, mixing, rules, token_counts, warc
+from stagelog.llm import chats, convnet, decontaminate, mixing, rules, token_counts, warc
 from stagelog.llm.common import configure_llm, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,10 @@ def op9_byte_convnet(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     scored = convnet.classify(docs, convnet.train(docs, table(spark, folder, "labels")))
     return scored.select("doc_id", convnet.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_benchmark_leaks(spark, folder):
+    """Documents that contain benchmark items."""
+    found = decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "similarity")
