@@ -128,7 +128,7 @@ def _windows(docs: DataFrame, sizes: DataFrame, width: int, text: str) -> DataFr
     every = base.select("doc_id", "text_key", F.posexplode(shingles(F.col("t"), width)).alias("pos", "hash"))
     spots = every.join(sizes.select("hash", "size"), "hash").groupBy("doc_id", "text_key", "size").agg(F.collect_set("pos").alias("spots"))
     spots = cut_lineage(spots.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "size", "spots"))
-    rows = base.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
+    rows = base.join(spots.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
     rows = rows.select("doc_id", "text_key", "size", "spots", shingles(F.col("t"), width).alias("g"))
     last = F.greatest(F.size("g") + (width - 1) - F.col("size"), F.lit(0))
     span = F.transform("spots", lambda p: F.sequence(F.greatest(p - (F.col("size") - width), F.lit(0)), F.least(p, last)))
