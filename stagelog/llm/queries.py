@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagelog.llm import chats, convnet, decontaminate, mixing, rules, token_counts, warc
+from stagelog.llm import chats, convnet, decontaminate, mixing, rules, setjoin, token_counts, warc
 from stagelog.llm.common import configure_llm, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ def op10_benchmark_leaks(spark, folder):
     """Documents that contain benchmark items."""
     found = decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "item_id", "start_word", "similarity")
+
+
+@query
+def op6_shingle_join(spark, folder):
+    """Near-duplicate components of all documents."""
+    return setjoin.components(table(spark, folder, "documents").select("doc_id", "text"))
