@@ -103,33 +103,37 @@ def index_entries(docs: DataFrame, hot: np.ndarray, text: str = "text") -> DataF
     return docs.select(text).mapInArrow(run, "token bigint, v bigint, n int, pos int")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Overlap ``o`` of each pair (a, b)."""
-    one = sets.select(F.col("v").alias("a"), F.col("s").alias("sa"))
-    two = sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
-    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Overlap ``o`` of each pair (a, b), from whole texts: they take less room than their sets."""
+    one = texts.select(F.col("v").alias("a"), F.col("t").alias("ta"))
+    two = texts.select(F.col("v").alias("b"), F.col("t").alias("tb"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb")
+
+    def run(batches):
+        b_key, b_set = None, None
+        for batch in batches:
+            rows = batch.select(["a", "b", "na", "nb"]).to_pydict()
+            o, right = [], batch.column("tb")
+            for k, (a, b, s) in enumerate(zip(rows["a"], rows["b"], _sets(_encoded(batch, "ta")))):
+                if b != b_key:  # pairs of one leader arrive together
+                    b_key, b_set = b, next(_sets([(right[k].as_py() or "").encode()]))
+                same = _vertex(s)[0] == a and _vertex(b_set)[0] == b  # a repeated id can bring another text
+                o.append(len(np.intersect1d(s, b_set, assume_unique=True)) if same else 0)
+            yield pa.RecordBatch.from_pydict(rows | {"o": o}, schema)
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("o", pa.int32())])
+    return both.mapInArrow(run, "a bigint, b bigint, na int, nb int, o int")
 
 
 def _linked() -> Column:
     return 9 * F.col("o") >= 4 * (F.col("na") + F.col("nb"))
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """``v, s``: the shingle sets of the wanted vertices, each from the document of smallest id that has it."""
+def _texts_of(docs: DataFrame, ids: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """``v, t``: a text of each wanted vertex, that of the smallest id."""
     rep = cut_lineage(ids.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("doc_id").alias("d")))
-    rows = docs.select("doc_id", F.col(text).alias("t")).join(rep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d"))).select("v", "t")
-
-    def run(batches):
-        for b in batches:
-            keep_v, keep_s = [], []
-            for v, s in zip(b.column("v").to_pylist(), _sets(_encoded(b, "t"))):
-                if _vertex(s)[0] == v:
-                    keep_v.append(v)
-                    keep_s.append(s.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keep_v, pa.int64()), pa.array(keep_s, pa.list_(pa.int64()))], ["v", "s"])
-
-    return cut_lineage(rows.mapInArrow(run, "v bigint, s array<bigint>"))
+    rows = docs.select("doc_id", F.col(text).alias("t"))
+    return cut_lineage(rows.join(rep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d"))).select("v", "t"))
 
 
 def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -173,9 +177,10 @@ def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     pairs = classed.join(leaders, key).where("v <> b").groupBy(
         F.least("v", "b").alias("a"), F.greatest("v", "b").alias("b")).agg(F.count("*").alias("m"))
     pairs = cut_lineage(_sized(pairs, size_of).where(_reachable(F.col("m"))).drop("m"))
-    sets = _sets_of(docs, ids, pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text)
+    texts = _texts_of(docs, ids, pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text)
+    sweep(spark)
+    known = cut_lineage(_links(pairs, texts).groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("na", "nb", "o")]))
     sweep(spark)
-    known = cut_lineage(_links(pairs, sets))
     links = known.where(_linked()).select(F.col("a").alias("i"), F.col("b").alias("j"))
     first = cut_lineage(connected_components(links, by=()))
 
@@ -190,10 +195,10 @@ def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     rest = rest.groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("m"))
     rest = rest.where(_reachable(F.col("m"))).drop("m").join(known.select("a", "b"), ["a", "b"], "left_anti")
     rest = cut_lineage(_not_derived(rest, known))
-    more = _sets_of(docs, ids, rest.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text)
+    more = _texts_of(docs, ids, rest.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text)
     found = cut_lineage(_links(rest, more)).where(_linked()).select(F.col("a").alias("i"), F.col("b").alias("j"))
     final = cut_lineage(connected_components(links.unionByName(found), by=()))
-    for df in (shared, active, leaders, labelled, sets, more):
+    for df in (shared, active, leaders, labelled, texts, more):
         release(df)
     sweep(spark)
 
