@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stagelog.session import configure, cut_lineage, release, shared_folder
 
-__all__ = ["SPACES", "configure_llm", "cut_lineage", "fold", "let", "new_folder", "release", "sweep", "table", "words"]
+__all__ = ["SPACES", "configure_llm", "cut_lineage", "fold", "let", "new_folder", "release", "table", "words"]
 
 SPACES = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,6 +19,8 @@ def configure_llm(spark: SparkSession) -> SparkSession:
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    # each step ends in a written table, so its shuffle files can go at once
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
@@ -44,11 +46,3 @@ def let(value: Column, body) -> Column:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the cluster's shared one."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def sweep(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of finished steps: it acts on collected driver objects."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -43,7 +43,9 @@ def statistics(docs: DataFrame, *, text: str = "text", keep: list[str] | None =
     """Counts and shares of each whole text; a null text counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
     kept = keep if keep is not None else [c for c in docs.columns if c not in (*COUNTS, *FEATURES)]
-    base = docs.select(*kept, t.alias("__t")).withColumn("__w", words(F.col("__t")))
+    base = docs.select(*kept, t.alias("__t"))
+    kept = base.columns[:-1]
+    base = base.withColumn("__w", words(F.col("__t")))
     t, w = F.col("__t"), F.col("__w")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = base.select(
@@ -169,7 +171,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> tuple[DataFrame, list[Rule]]:
+def judge(docs: DataFrame, labels: DataFrame, *, text: str = "text", keep: list | None = None) -> tuple[DataFrame, list[Rule]]:
     """Statistics of every document with ``base_failed`` and ``kept``, and the learned rules.
 
     A document is kept if it does not fail the base and the first learned rule that fits it, if any, does
@@ -177,7 +179,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> tuple[Da
     base; a document labelled twice counts twice; without labels there are no rules.  A null text counts
     as empty and fails the base; repeated rows are judged alike; ``doc_id`` may be null (never labelled).
     """
-    stats = cut_lineage(statistics(docs, text=text, keep=["doc_id"]).withColumn("base_failed", base_failed()))
+    stats = cut_lineage(statistics(docs, text=text, keep=keep or ["doc_id"]).withColumn("base_failed", base_failed()))
     marked = labels.where("quality is not null").select(F.col("doc_id").alias("__id"), (F.col("quality") == 0).cast("int").alias("bad"))
     rows = stats.where(~F.col("base_failed")).join(marked, F.col("doc_id") == F.col("__id")).select(
         *FEATURES, "bad", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)).alias("part"))

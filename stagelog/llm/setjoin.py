@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stagelog.llm import hashing
-from stagelog.llm.common import cut_lineage, release, sweep
+from stagelog.llm.common import cut_lineage, release
 from stagelog.operators.graph import connected_components
 
 HOT = 1 << 16  # shingles ordered by frequency; all others are ordered by hash
@@ -156,16 +156,13 @@ def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     Fully repeated rows each get a row; null ids count only where a component has no other id; other
     columns are ignored.
     """
-    spark = docs.sparkSession
     ids = cut_lineage(vertices(docs, text))
     hot = hot_shingles(docs, text)
     entries = index_entries(docs, hot, text)
     shared = cut_lineage(entries.groupBy("token").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x < y").select("token"))
-    sweep(spark)
     top = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
     active = entries.join(shared.hint("merge"), "token").select("token", "v", "n", "pos", top.alias("own")).distinct()
     active = cut_lineage(active)
-    sweep(spark)
     classed = active.withColumn("size_class", F.explode(F.array("own", F.col("own") + 1)))
 
     key = ["token", "size_class"]
@@ -178,9 +175,7 @@ def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
         F.least("v", "b").alias("a"), F.greatest("v", "b").alias("b")).agg(F.count("*").alias("m"))
     pairs = cut_lineage(_sized(pairs, size_of).where(_reachable(F.col("m"))).drop("m"))
     texts = _texts_of(docs, ids, pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text)
-    sweep(spark)
     known = cut_lineage(_links(pairs, texts).groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("na", "nb", "o")]))
-    sweep(spark)
     links = known.where(_linked()).select(F.col("a").alias("i"), F.col("b").alias("j"))
     first = cut_lineage(connected_components(links, by=()))
 
@@ -200,7 +195,6 @@ def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     final = cut_lineage(connected_components(links.unionByName(found), by=()))
     for df in (shared, active, leaders, labelled, texts, more):
         release(df)
-    sweep(spark)
 
     rows = ids.join(final.withColumnRenamed("tile_id", "v"), "v", "left").withColumn("g", F.coalesce("component", "v"))
     rows = cut_lineage(rows.select("doc_id", "n", "g"))

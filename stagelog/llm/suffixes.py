@@ -6,10 +6,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stagelog.llm import hashing
-from stagelog.llm.common import cut_lineage, release, sweep
+from stagelog.llm.common import cut_lineage, release
 
 LENGTH = 50  # bytes of a repeated string
 GRAM = 24  # bytes hashed at an anchor
@@ -17,6 +18,7 @@ SPAN = LENGTH - GRAM + 1  # grams of one string; the least of them is its anchor
 CHUNK = 1 << 20  # anchors compared within a task before they are sent on
 SORTED = 1 << 16  # contexts sorted together
 PIECE = 1 << 20  # bytes hashed together
+_NONE = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 21) - 1)
 _ENTRY = [("hash", np.uint64), ("doc", np.int64), ("start", np.uint32), ("n", np.uint32)]
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -184,112 +186,156 @@ def deep_shallow(rows: np.ndarray, shallow: int = 3) -> tuple[np.ndarray, np.nda
     return order, group
 
 
-def _first_owners(contexts: list[tuple]) -> list[dict]:
+_OWNED = pa.schema([("key", pa.int64()), ("runs", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("first", pa.int64())])))])
+
+
+def _distinct(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch | pa.Table:
+    """One row for each key, with its least and greatest document."""
+    key = batch.column("key").to_numpy()
+    order = np.argsort(key, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    out = batch.take(pa.array(order[cut]))
+    for name, f in (("low", np.minimum), ("high", np.maximum)):
+        values = f.reduceat(batch.column(name).to_numpy()[order], cut)
+        out = out.set_column(out.schema.get_field_index(name), name, pa.array(values))
+    return out
+
+
+def _first_owners(contexts: pa.Table) -> pa.RecordBatch:
     """For each context (key, bytes, least and greatest document): runs of strings that two documents have."""
-    n = np.array([len(c[1]) - LENGTH + 1 for c in contexts])
-    data = np.frombuffer(b"".join(c[1] for c in contexts), dtype=np.uint8)
+    column = contexts.column("context").combine_chunks()
+    data = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
+    n = np.asarray(pc.binary_length(column)).astype(np.int64) - LENGTH + 1
     base = np.concatenate([[0], np.cumsum(n + LENGTH - 1)])[:-1]
     owner = np.repeat(np.arange(len(n)), n)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     rows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[base[owner] + within]
     order, group = deep_shallow(rows)
-    low = np.array([c[2] for c in contexts], dtype=np.int64)[owner][order]
-    high = np.array([c[3] for c in contexts], dtype=np.int64)[owner][order]
+    low = contexts.column("low").to_numpy()[owner][order]
+    high = contexts.column("high").to_numpy()[owner][order]
     cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(cut, len(group)))
     first, last = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
     owns = np.empty(len(order), np.int64)
-    owns[order] = np.repeat(np.where(first < last, first, np.iinfo(np.int64).max), size)
-    new = np.concatenate([[True], (owns[1:] != owns[:-1]) | (owner[1:] != owner[:-1])])
-    at = np.flatnonzero(new)
-    ends = np.append(at[1:], len(owns))
-    out: dict[int, list] = {}
-    for s, e in zip(at, ends):
-        if owns[s] != np.iinfo(np.int64).max:
-            out.setdefault(int(owner[s]), []).append({"lo": int(within[s]), "hi": int(within[e - 1]), "first": int(owns[s])})
-    return [{"key": contexts[k][0], "runs": r} for k, r in out.items()]
+    owns[order] = np.repeat(np.where(first < last, first, _NONE), size)
+    at = np.flatnonzero(np.concatenate([[True], (owns[1:] != owns[:-1]) | (owner[1:] != owner[:-1])]))
+    ends = np.append(at[1:], len(owns)) - 1
+    at, ends = at[owns[at] != _NONE], ends[owns[at] != _NONE]
+    keys, starts = np.unique(owner[at], return_index=True)
+    runs = pa.StructArray.from_arrays([pa.array(within[at].astype(np.int32)), pa.array(within[ends].astype(np.int32)), pa.array(owns[at])], ["lo", "hi", "first"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)).astype(np.int32)), runs)
+    return pa.RecordBatch.from_arrays([pa.array(contexts.column("key").to_numpy()[keys]), lists.cast(_OWNED.field("runs").type)], schema=_OWNED)
 
 
 def owners(places: DataFrame) -> DataFrame:
-    """``key, runs``: which strings of each distinct context have been in an earlier document, and the first one."""
-    def once(batches):
-        for b in batches:
-            seen: dict[int, list] = {}
-            for r in zip(*(b.column(c).to_pylist() for c in ("hash", "key", "context", "doc"))):
-                held = seen.setdefault(r[1], [r[0], r[2], r[3], r[3]])
-                held[2], held[3] = min(held[2], r[3]), max(held[3], r[3])
-            yield pa.RecordBatch.from_pydict({
-                "hash": [v[0] for v in seen.values()], "key": list(seen), "context": [v[1] for v in seen.values()],
-                "low": [v[2] for v in seen.values()], "high": [v[3] for v in seen.values()]},
-                pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("context", pa.binary()), ("low", pa.int64()), ("high", pa.int64())]))
+    """``key, runs``: which strings of each distinct context two documents have, and the first of them.
 
+    ``places`` has ``hash, key, context, low, high``.  Contexts of one gram meet in one task, each at most
+    once for each task before.
+    """
     def sort(batches):
-        held: dict[int, list] = {}
-        last = None
+        held, size, last = [], 0, None
         for b in batches:
-            for h, key, context, low, high in zip(*(b.column(c).to_pylist() for c in ("hash", "key", "context", "low", "high"))):
-                if h != last and len(held) >= SORTED:
-                    yield result(held)
-                    held = {}
-                last = h
-                old = held.get(key)
-                held[key] = [key, context, low, high] if old is None else [key, context, min(low, old[2]), max(high, old[3])]
-        if held:
-            yield result(held)
-
-    def result(held):
-        return pa.RecordBatch.from_pylist(_first_owners(list(held.values())), pa.schema([
-            ("key", pa.int64()), ("runs", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("first", pa.int64())])))]))
+            hashes = b.column("hash").to_numpy()
+            if size >= SORTED and len(hashes):
+                head = int(np.searchsorted(hashes, last, side="right"))
+                held.append(b.slice(0, head))
+                if head < len(hashes):
+                    yield _first_owners(_distinct(pa.Table.from_batches(held)))
+                    held, size = [], 0
+                b = b.slice(head)
+            if len(b):
+                held.append(b)
+                size += len(b)
+                last = hashes[-1]
+        if size:
+            yield _first_owners(_distinct(pa.Table.from_batches(held)))
 
     parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = places.select("hash", "key", "context", "doc").mapInArrow(once, "hash bigint, key bigint, context binary, low bigint, high bigint")
-    return distinct.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(
+    return places.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(
         sort, "key bigint, runs array<struct<lo:int,hi:int,first:bigint>>")
 
 
+def exact_copies(base: DataFrame) -> DataFrame:
+    """``doc, size`` of documents whose whole text an earlier one has."""
+    sums = cut_lineage(base.select("doc", F.octet_length("t").alias("size"), F.xxhash64("t").alias("a"), F.xxhash64(F.lit(3), "t").alias("b")))
+    key = ["a", "b", "size"]
+    many = cut_lineage(sums.where(f"size >= {LENGTH}").groupBy(*key).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
+    return cut_lineage(sums.join(many, key).where("doc > first").select("doc", "size").distinct())
+
+
 def repeated_spans(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``doc, spans``: per document (by :func:`key_of`) the byte ranges [from, to) to remove; may touch or overlap.
 
     Every string of 50 bytes has an anchor.  Anchors whose gram is in two documents are found first; the
     bytes around those, their contexts, meet by gram, and tasks sort all their strings.  Equal neighbours
     give each string its first document; strings whose first document is an earlier one are removed.
-    Distinct contexts are told apart by 64-bit hashes.
+    Distinct contexts are told apart by 64-bit hashes.  Whole texts that an earlier document has are
+    found first, by 128-bit hashes, and need no contexts.
     """
-    spark = docs.sparkSession
     base = docs.select(key_of(F.col("doc_id"), F.col(text)).alias("doc"), F.col(text).alias("t"))
     total = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    copies = exact_copies(base)
     found = cut_lineage(shared_anchors(base, max(1024, total >> 23)))
-    sweep(spark)
-    spots = found.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "hash")).alias("spots"))
+    spots = found.join(copies.hint("merge"), "doc", "left_anti").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "hash")).alias("spots"))
     rows = base.join(spots.hint("merge"), "doc")
 
     def contexts(batches):
         for b in batches:
-            out = ([], [], [], [])
-            for doc, t, spots in zip(*(b.column(c).to_pylist() for c in ("doc", "t", "spots"))):
-                t = t.encode()
-                for s in spots:
-                    piece = t[s["start"]:s["start"] + s["n"] + LENGTH - 1]
-                    if len(piece) >= LENGTH:
-                        for column, value in zip(out, (s["hash"], doc, s["start"], piece)):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["hash", "doc", "start", "context"])
+            lists = b.column("spots")
+            at, flat = lists.offsets.to_numpy(), lists.values
+            start, n, hashes = (flat.field(k).to_numpy() for k in range(3))
+            docs, pieces, keep = b.column("doc").to_numpy(), [], []
+            for k, t in enumerate(b.column("t").to_pylist()):
+                t, s = t.encode(), slice(at[k], at[k + 1])
+                a = start[s]
+                e = a + n[s] + (LENGTH - 1)
+                pieces += [t[x:y] for x, y in zip(a.tolist(), e.tolist())]
+                keep.append(e <= len(t))
+            if keep:
+                keep = np.flatnonzero(np.concatenate(keep))
+                own = np.repeat(docs, np.diff(at))
+                out = pa.RecordBatch.from_arrays([pa.array(hashes[at[0]:at[-1]]), pa.array(own), pa.array(start[at[0]:at[-1]]), pa.array(pieces, pa.binary())], ["hash", "doc", "start", "context"])
+                yield out.take(pa.array(keep))
+
+    def once(batches):
+        for b in batches:
+            if len(b):
+                yield _distinct(b)
 
     places = rows.mapInArrow(contexts, "hash bigint, doc bigint, start int, context binary").withColumn("key", F.xxhash64("context"))
-    places = cut_lineage(places)
-    sweep(spark)
-    owned = cut_lineage(owners(places))
-    sweep(spark)
-    hits = places.select("key", "doc", "start").join(owned, "key").select("doc", "start", F.explode(F.filter("runs", lambda r: r["first"] < F.col("doc"))).alias("r"))
-    spans = hits.groupBy("doc").agg(F.collect_set(F.struct(
+    distinct = places.select("hash", "key", "context", F.col("doc").alias("low"), F.col("doc").alias("high")).mapInArrow(
+        once, "hash bigint, key bigint, context binary, low bigint, high bigint")
+    owned = cut_lineage(owners(distinct))
+    hits = places.select("key", "doc", "start").join(owned.hint("merge"), "key").select("doc", "start", F.explode(F.filter("runs", lambda r: r["first"] < F.col("doc"))).alias("r"))
+    spans = hits.groupBy("doc").agg(F.collect_list(F.struct(
         (F.col("start") + F.col("r.lo")).alias("a"), (F.col("start") + F.col("r.hi") + LENGTH).alias("b"))).alias("spans"))
-    spans = cut_lineage(spans)
-    for df in (found, places, owned):
-        release(df)
-    sweep(spark)
+    whole = copies.select("doc", F.array(F.struct(F.lit(0).alias("a"), F.col("size").cast("int").alias("b"))).alias("spans"))
+    spans = cut_lineage(spans.unionByName(whole))
+    release(found)
+    release(owned)
     return spans
 
 
+def _merged(lists: pa.ListArray, sizes: list[int]) -> list[list[tuple[int, int]]]:
+    """Each list's ranges, clipped to the size, sorted and joined where they touch."""
+    at = lists.offsets.to_numpy()
+    count = np.where(np.asarray(lists.is_null()), 0, np.diff(at))
+    start, end = (lists.values.field(k).to_numpy() for k in range(2))
+    out = []
+    for k, n in enumerate(sizes):
+        if not count[k]:
+            out.append([])
+            continue
+        s = slice(at[k], at[k + 1])
+        order = np.argsort(start[s], kind="stable")
+        a, b = start[s][order], np.maximum.accumulate(np.minimum(end[s][order], n))
+        new = np.concatenate([[True], a[1:] > b[:-1]])
+        last = np.append(np.flatnonzero(new)[1:], len(a)) - 1
+        out.append([(x, y) for x, y in zip(a[new].tolist(), b[last].tolist()) if x < y])
+    return out
+
+
 def remove_repeats(docs: DataFrame, *, text: str = "text", digest: bool = True, rest: bool = False) -> DataFrame:
     """Each document without the bytes covered by a 50-byte string that an earlier document also has.
 
@@ -309,14 +355,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", digest: bool = True,
     def run(batches):
         for b in batches:
             out = {n: [] for n in added}
-            for t, spans in zip(b.column(text).to_pylist(), b.column("spans").to_pylist()):
-                t = (t or "").encode()
-                merged: list[list[int]] = []
-                for s in sorted((x["a"], min(x["b"], len(t))) for x in spans or () if x["a"] < len(t)):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append(list(s))
+            texts = [(t or "").encode() for t in b.column(text).to_pylist()]
+            for t, merged in zip(texts, _merged(b.column("spans"), [len(t) for t in texts])):
                 bounds = [0, *[x for m in merged for x in m], len(t)]
                 left = b"".join(t[bounds[k]:bounds[k + 1]] for k in range(0, len(bounds), 2))
                 values = {"n_bytes": len(t), "n_removed": len(t) - len(left), "n_spans": len(merged), "kept_sha256": hashlib.sha256(left).hexdigest() if digest else None, "rest": left}
