@@ -29,9 +29,9 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where a removed run ends inside a character, its leftover bytes become replacement characters.
     """
     configure_llm(spark)
-    cut = suffixes.remove_repeats(docs, digest=False, rest=True)
+    cut = suffixes.remove_repeats(docs, digest=False, rest_text=True)
     cut = cut.where("n_removed = 0 or n_removed < n_bytes")
-    text = F.when(F.col("n_removed") > 0, F.decode("rest", F.lit("UTF-8"))).otherwise(F.col("text"))
+    text = F.when(F.col("n_removed") > 0, F.col("rest_text")).otherwise(F.col("text"))
     size = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars"))
     return cut.withColumns({"n_chars": size.cast(docs.schema["n_chars"].dataType), "text": text}).select(*docs.columns)
 

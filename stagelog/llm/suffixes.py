@@ -336,16 +336,17 @@ def _merged(lists: pa.ListArray, sizes: list[int]) -> list[list[tuple[int, int]]
     return out
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", digest: bool = True, rest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text: str = "text", digest: bool = True, rest: bool = False, rest_text: bool = False) -> DataFrame:
     """Each document without the bytes covered by a 50-byte string that an earlier document also has.
 
     Texts are UTF-8 bytes and strings are judged on the input.  Adds ``n_bytes, n_removed, n_spans`` and, as
-    asked, ``kept_sha256`` and ``rest`` (the remaining bytes).  Documents are ordered by ``doc_id``; rows without
+    asked, ``kept_sha256``, ``rest`` (the remaining bytes) and ``rest_text`` (the same as text; parts of cut
+    characters become replacement characters).  Documents are ordered by ``doc_id``; rows without
     one come last, by a hash of their text; rows with the same id do not remove each other's bytes, and
     if their texts differ, spans found in one are also taken from the other.  Null texts are empty.
     Existing columns of these names are replaced.
     """
-    added = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint"} | ({"kept_sha256": "string"} if digest else {}) | ({"rest": "binary"} if rest else {})
+    added = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint"} | ({"kept_sha256": "string"} if digest else {}) | ({"rest": "binary"} if rest else {}) | ({"rest_text": "string"} if rest_text else {})
     spans = repeated_spans(docs, text=text)
     names = [c for c in docs.columns if c not in added]
     base = docs.select(*names, key_of(F.col("doc_id"), F.col(text)).alias("__k"))
@@ -359,7 +360,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", digest: bool = True,
             for t, merged in zip(texts, _merged(b.column("spans"), [len(t) for t in texts])):
                 bounds = [0, *[x for m in merged for x in m], len(t)]
                 left = b"".join(t[bounds[k]:bounds[k + 1]] for k in range(0, len(bounds), 2))
-                values = {"n_bytes": len(t), "n_removed": len(t) - len(left), "n_spans": len(merged), "kept_sha256": hashlib.sha256(left).hexdigest() if digest else None, "rest": left}
+                values = {"n_bytes": len(t), "n_removed": len(t) - len(left), "n_spans": len(merged), "kept_sha256": hashlib.sha256(left).hexdigest() if digest else None, "rest": left, "rest_text": left.decode("utf-8", "replace") if rest_text else None}
                 for n in added:
                     out[n].append(values[n])
             kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
