@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from stagelog.session import configure, cut_lineage, release, shared_folder
 
-__all__ = ["SPACES", "configure_llm", "cut_lineage", "fold", "let", "new_folder", "release", "table", "words"]
+__all__ = ["SPACES", "configure_llm", "cut_lineage", "fold", "let", "new_folder", "numbered", "release", "table", "words"]
 
 SPACES = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,6 +43,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def numbered(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """Number rows from 0 in an order, without one task holding all of them.
+
+    A sort by ranges is written with its places; only the sizes of its partitions are added up in one task.
+    """
+    ids = cut_lineage(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ids.groupBy("__part").agg(F.count("*").alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return ids.join(starts, "__part").withColumn(
+        name, F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__start")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the cluster's shared one."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

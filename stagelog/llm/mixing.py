@@ -4,23 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from stagelog.llm.common import cut_lineage, release, words
+from stagelog.llm.common import cut_lineage, numbered, release, words
 
 CAP = 3
 DIGIT, LEVELS = 13, 4  # ranks are whole numbers of 52 bits, searched 13 bits at a time
 
 
-def source_ordinals(sources: DataFrame, column: str) -> DataFrame:
-    """Number rows by ``column`` in code point order, null last, without one task holding all of them."""
-    ids = cut_lineage(sources.orderBy(F.col(column).asc_nulls_last())
-                      .withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)))
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition of the sort
-    starts = ids.groupBy("__part").agg(F.count("*").alias("__n")).select(
-        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return ids.join(starts, "__part").withColumn(
-        "ordinal", F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__start")
-
-
 def water_level(sources: DataFrame, total: int) -> tuple[int, int]:
     """(a, b) so that a source gets least(CAP * size, a / b * weight) and all together get ``total``.
 
@@ -66,7 +55,8 @@ def mix(
     chance = F.lit(1.0) if priority is None else F.greatest(F.coalesce(F.col(priority).cast("double"), F.lit(0.0)), F.lit(0.0))
     base = docs.select(*kept, F.size(words(F.col(text))).cast("bigint").alias("size"), uniform(*ident).alias("__u"), chance.alias("__w"))
     small = cut_lineage(base.select(F.col(source).alias("__s"), "size", "__u", "__w"))
-    sums = cut_lineage(source_ordinals(small.groupBy("__s").agg(F.sum("size").alias("source_size")), "__s")
+    sums = cut_lineage(numbered(
+        small.groupBy("__s").agg(F.sum("size").alias("source_size")), F.col("__s").asc_nulls_last(), name="ordinal")
                        .withColumn("weight", F.col("ordinal") % 3 + 1))
     total = sums.agg(F.sum("source_size")).first()[0] or 0
     a, b = water_level(sums, total)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagelog.llm import chats, convnet, decontaminate, mixing, rules, setjoin, suffixes, token_counts, warc
+from stagelog.llm import chats, convnet, decontaminate, katz, mixing, rules, setjoin, suffixes, token_counts, warc
 from stagelog.llm.common import configure_llm, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op7_suffix_dedup(spark, folder):
     """Bytes of every document that repeat an earlier one."""
     found = suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op3_katz_scores(spark, folder):
+    """Log probability of every text under a backoff model of the training texts."""
+    return katz.score(table(spark, folder, "documents"))
