@@ -16,7 +16,7 @@ LENGTH = 50  # bytes of a repeated string
 GRAM = 24  # bytes hashed at an anchor
 SPAN = LENGTH - GRAM + 1  # grams of one string; the least of them is its anchor
 CHUNK = 1 << 20  # anchors compared within a task before they are sent on
-SORTED = 1 << 16  # contexts sorted together
+SORTED = 1 << 15  # contexts sorted together
 PIECE = 1 << 20  # bytes hashed together
 _NONE = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 21) - 1)
@@ -85,7 +85,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """``hash, doc, start, n`` of anchors whose gram is in two documents (some twice).
 
     Anchors travel as one binary row a bucket.  What a task already sees in two documents passes through the
-    exchange without being gathered, with one entry left to be compared, so a bucket gathers at most one
+    exchange without being gathered (``hash`` is then half of the gram's, enough to bring contexts together), with one entry left to be compared, so a bucket gathers at most one
     entry of each hash from each ``CHUNK`` of anchors, however common the gram.
     """
     def spread(batches):
@@ -142,11 +142,11 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def as_rows(e):
         return pa.RecordBatch.from_arrays([
-            pa.array(e["hash"].astype(np.int64)), pa.array(e["doc"].copy()), pa.array(e["start"].astype(np.int32)), pa.array(e["n"].astype(np.int32))], ["hash", "doc", "start", "n"])
+            pa.array((e["hash"] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(e["doc"].copy()), pa.array(e["start"].astype(np.int32)), pa.array(e["n"].astype(np.int32))], ["hash", "doc", "start", "n"])
 
     sent = docs.mapInArrow(spread, "bucket int, kind int, data binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "hash bigint, doc bigint, start int, n int")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "hash int, doc bigint, start int, n int")
 
 
 def deep_shallow(rows: np.ndarray, shallow: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -303,9 +303,9 @@ def repeated_spans(docs: DataFrame, *, text: str = "text") -> DataFrame:
             if len(b):
                 yield _distinct(b)
 
-    places = rows.mapInArrow(contexts, "hash bigint, doc bigint, start int, context binary").withColumn("key", F.xxhash64("context"))
+    places = rows.mapInArrow(contexts, "hash int, doc bigint, start int, context binary").withColumn("key", F.xxhash64("context"))
     distinct = places.select("hash", "key", "context", F.col("doc").alias("low"), F.col("doc").alias("high")).mapInArrow(
-        once, "hash bigint, key bigint, context binary, low bigint, high bigint")
+        once, "hash int, key bigint, context binary, low bigint, high bigint")
     owned = cut_lineage(owners(distinct))
     hits = places.select("key", "doc", "start").join(owned.hint("merge"), "key").select("doc", "start", F.explode(F.filter("runs", lambda r: r["first"] < F.col("doc"))).alias("r"))
     spans = hits.groupBy("doc").agg(F.collect_list(F.struct(
