@@ -14,8 +14,8 @@ from stagelog.llm.common import cut_lineage, numbered, release
 LARGEST = 5  # counts up to this are discounted
 END = np.uint64(1)  # hash of the end of a text
 START_ID, UNKNOWN = 0xFFFFFFFE, 0xFFFFFFFF
-CHUNK_BYTES = 16 << 20
-FLUSH = 1 << 20
+CHUNK = 4096  # documents of neighbouring ids that are encoded together
+FLUSH = 1 << 19
 _ENTRY = [("w1", np.uint32), ("w2", np.uint32), ("row", np.int64), ("n", np.uint32)]
 PART = "kind string, a bigint, n bigint, x double, m array<bigint>, data binary"
 _PART = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("n", pa.int64()), ("x", pa.float64()), ("m", pa.list_(pa.int64())), ("data", pa.binary())])
@@ -124,7 +124,7 @@ def as_ids(docs: DataFrame, vocabulary: DataFrame, words: Words) -> DataFrame:
     def asked(held):
         sets = {k: np.unique(np.concatenate(v)) for k, v in held.items()}
         return pa.RecordBatch.from_arrays([
-            pa.array(np.repeat(list(sets), [len(v) for v in sets.values()]).astype(np.int32)),
+            pa.array(np.repeat(list(sets), [len(v) for v in sets.values()]).astype(np.int64)),
             pa.array(np.concatenate(list(sets.values())).astype(np.int64))], ["chunk", "h"])
 
     def encode(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -144,7 +144,7 @@ def as_ids(docs: DataFrame, vocabulary: DataFrame, words: Words) -> DataFrame:
         return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()),
                          pa.array(out["base"], pa.float64()), pa.array(out["ids"], pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "ids"])
 
-    asks = docs.select("chunk", "t").mapInArrow(ask, "chunk int, h bigint").join(vocabulary.select("h", "id").hint("merge"), "h").select("chunk", "h", "id")
+    asks = docs.select("chunk", "t").mapInArrow(ask, "chunk bigint, h bigint").join(vocabulary.select("h", "id").hint("merge"), "h").select("chunk", "h", "id")
     schema = docs.select("doc_id", "held_out").withColumns({n: F.lit(None).cast(t) for n, t in (
         ("n_tokens", "bigint"), ("n_known", "bigint"), ("base", "double"), ("ids", "binary"))}).schema
     coded = docs.groupBy("chunk").cogroup(asks.groupBy("chunk")).applyInArrow(encode, schema)
@@ -222,7 +222,7 @@ class Sums:
     """Adds up buckets and gives out what has become large."""
 
     def __init__(self, words: Words):
-        self.words, self.texts, self.contexts, self.size = words, [], [], 0
+        self.words, self.texts, self.contexts = words, [], []
         self.counts = np.zeros(LARGEST + 2, np.int64)
 
     def add(self, bucket: int, e: np.ndarray):
@@ -237,15 +237,30 @@ class Sums:
         yield from self.unseen(e[~seen], n[~seen])
         s, rs, ns = e[seen], each[seen], n[seen]
         x = ns * (np.where(rs > LARGEST, np.log10(rs), 0.0) - np.log10(self.words.contexts(s["w1"]) + 1))
-        self.texts.append((s["row"], np.zeros(len(s), np.int64), x, np.where(rs <= LARGEST, rs, 0), ns))
+        self.texts.append(self.compact(s["row"].copy(), np.zeros(len(s), np.int64), x, rs, ns))
         known = cut[r > 0]
         r, w1, w2 = r[r > 0], e["w1"][known].astype(np.int64), e["w2"][known]
-        self.contexts.append((w1, np.where(r > LARGEST, r, 0), 10 ** self.words.log_p(w2), np.where(r <= LARGEST, r, 0), np.ones(len(r), np.int64)))
+        self.contexts.append(self.compact(w1, np.where(r > LARGEST, r, 0), 10 ** self.words.log_p(w2), r, np.ones(len(r), np.int64)))
         self.counts += np.bincount(np.minimum(r, LARGEST + 2), minlength=LARGEST + 3)[:LARGEST + 2]
         yield self.batch([{"kind": "pairs", "a": bucket, "n": len(r), "x": None, "m": None, "data": w1.astype(np.uint32).tobytes() + w2.tobytes() + r.astype(np.uint32).tobytes()}])
-        self.size += len(s) + len(r)
-        if self.size > 4 * FLUSH:
-            yield from self.out()
+        for kind, held in (("text", self.texts), ("context", self.contexts)):
+            if sum(len(part[0]) for part in held) > 2 * FLUSH:
+                held[:] = [self.merge(*(np.concatenate(c) for c in zip(*held)))]
+                if len(held[0][0]) > FLUSH:
+                    yield from self.out(kind, held)
+
+    @classmethod
+    def compact(cls, a, n, x, r, times):
+        return cls.merge(a, n, x, np.where(r[:, None] == np.arange(1, LARGEST + 1), times[:, None], 0))
+
+    @staticmethod
+    def merge(a, n, x, m):
+        if not len(a):
+            return a, n, x, m
+        order = np.argsort(a, kind="stable")
+        a = a[order]
+        cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        return a[cut], np.add.reduceat(n[order], cut), np.add.reduceat(x[order], cut), np.add.reduceat(m[order], cut, axis=0)
 
     def unseen(self, e, n):
         for s in range(0, len(e), 1 << 16):
@@ -263,27 +278,19 @@ class Sums:
     def batch(rows):
         return pa.RecordBatch.from_pylist(rows, _PART)
 
-    def out(self):
-        for kind, held in (("text", self.texts), ("context", self.contexts)):
-            if not held:
-                continue
-            a, n, x, r, times = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(a, kind="stable")
-            a, n, x, r, times = a[order], n[order], x[order], r[order], times[order]
-            cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
-            if len(cut):
-                m = np.stack([np.add.reduceat(np.where(r == k, times, 0), cut) for k in range(1, LARGEST + 1)], 1)
-                columns = [a[cut], np.add.reduceat(n, cut), np.add.reduceat(x, cut)]
-                for s in range(0, len(cut), 1 << 16):
-                    part = slice(s, s + (1 << 16))
-                    size = len(columns[0][part])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([kind] * size), *[pa.array(c[part]) for c in columns], self.lists(m[part]), pa.nulls(size, pa.binary())], schema=_PART)
-            held.clear()
-        self.size = 0
+    def out(self, kind, held):
+        if held:
+            a, n, x, m = self.merge(*(np.concatenate(c) for c in zip(*held)))
+            for s in range(0, len(a), 1 << 16):
+                part = slice(s, s + (1 << 16))
+                size = len(a[part])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([kind] * size), *[pa.array(c[part]) for c in (a, n, x)], self.lists(m[part]), pa.nulls(size, pa.binary())], schema=_PART)
+        held.clear()
 
     def rest(self):
-        yield from self.out()
+        yield from self.out("text", self.texts)
+        yield from self.out("context", self.contexts)
         yield self.batch([{"kind": "counts", "a": 0, "n": 0, "x": None, "m": self.counts[1:].tolist(), "data": None}])
 
 
@@ -298,15 +305,16 @@ def score(docs: DataFrame, *, text: str = "text", held_out=None) -> DataFrame:
     leave.  A context that was never seen passes straight on to the words.
 
     By default rows with crc32(id as text) mod 7 = 2 are held out; a null id counts as training.  Null
-    texts are empty: just an end.  Every row is scored, repeated ones each.  Word ids take 32 bits.  An empty
+    texts are empty: just an end.  Every row is scored, repeated ones each.  Word ids take 32 bits.  Texts are encoded
+    in groups of 4096 neighbouring ids (rows without id: by their text), so ids should not repeat much.  An empty
     table gives an empty result.
     """
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False)) if held_out is None else held_out
     base = docs.select("doc_id", held.alias("held_out"), F.col(text).alias("t"))
-    total, texts = base.agg(F.sum(F.octet_length("t")), F.count(F.when(~F.col("held_out"), 1))).first()
+    total, texts, rows = base.agg(F.sum(F.octet_length("t")), F.count(F.when(~F.col("held_out"), 1)), F.count("*")).first()
     total = total or 0
-    chunks = max(1, total // CHUNK_BYTES)
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "t"), F.lit(chunks)).cast("int"))
+    spare = -1 - F.pmod(F.xxhash64("t"), F.lit(1 + rows // CHUNK))
+    base = base.withColumn("chunk", F.coalesce(F.expr(f"cast(doc_id as bigint) div {CHUNK}L"), spare))
     vocabulary = cut_lineage(numbered(word_counts(base), F.desc("c"), F.col("h"), name="id"))
     steps = vocabulary.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
     words = Words([(r["c"], r["n"]) for r in steps], texts)
