@@ -65,6 +65,7 @@ class Network:
         out = np.take(self.tables[0], codes[start:end], axis=0)
         for k in range(1, WIDTH):
             out += np.take(self.tables[k], codes[start + k:end + k], axis=0)
+        out[codes[start:end] == PAD] = 0  # pads respond as pads, whatever text follows them
         return out
 
     def block_maxima(self, codes, starts) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +150,10 @@ def _gradients(net: Network, texts: list[bytes], y: np.ndarray) -> list[np.ndarr
             winner = np.arange(n - 1)[:, None] + (own[1:] > own[:-1])
             np.add.at(dz, (s + winner, np.broadcast_to(cols, winner.shape)), share)
     dz *= blocks > 0
+    flow = dz * (codes[where] != PAD)
     tables = np.zeros_like(net.tables)
     for k in range(WIDTH):
-        np.add.at(tables[k], (codes[where + k].astype(np.int64), np.broadcast_to(cols, where.shape)), dz)
+        np.add.at(tables[k], (codes[where + k].astype(np.int64), np.broadcast_to(cols, where.shape)), flow)
     return [tables, dz.sum(0), d @ v + 1e-4 * net.top, np.array([d.sum()], np.float32)]
 
 

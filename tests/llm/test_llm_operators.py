@@ -231,24 +231,43 @@ def test_leaks(spark, docs, none, texts):
     assert decontaminate.without_leaks(docs, benchmark.limit(0)).count() == len(texts)
 
 
-def test_katz_is_normalised_and_scores_all(spark, docs, none, texts):
-    got = katz.score(docs).collect()
-    assert len(got) == len(texts) and all(r["n_tokens"] == len(tokens(texts[r["doc_id"]])) + 1 for r in got)
-    # after the start, all words and the unknown one add up to one
-    known = sorted({w for r in got if not r["held_out"] for w in tokens(texts[r["doc_id"]])})
-    train = docs.where("crc32(cast(doc_id as string)) % 7 <> 2").select("doc_id", "text")
-    probe = spark.createDataFrame([(10_000 + k, w) for k, w in enumerate([*known, "", "neverseenword"])], "doc_id bigint, text string")
-    from pyspark.sql import functions as F
-
-    both = katz.score(train.unionByName(probe), held_out=F.col("doc_id") >= 10_000)
-    ends = {r["doc_id"]: r["score"] for r in both.collect() if r["doc_id"] >= 10_000}
-    assert all(s < 0 for s in ends.values()) and ends[10_000 + len(known) + 1] == min(ends.values())
+def test_katz(docs, none, texts):
+    import math
+    import zlib
+
+    got = by_id(katz.score(docs))
+    said = {i: [*tokens(t), "</s>"] for i, t in enumerate(texts)}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in said}
+    pairs = {i: list(zip(["<s>", *w[:-1]], w)) for i, w in said.items()}
+    c = Counter(w for i in said if not held[i] for w in said[i])
+    c2 = Counter(p for i in said if not held[i] for p in pairs[i])
+    context = Counter()
+    for (a, _), r in c2.items():
+        context[a] += r
+    n, d1, d2 = sum(c.values()), katz.good_turing(Counter(c.values())), katz.good_turing(Counter(c2.values()))
+    word = {w: d1.get(r, 1.0) * r / (n + 1) for w, r in c.items()}
+    unknown = 1 - sum(word.values())
+    kept, known = Counter(), Counter()
+    for (a, b), r in c2.items():
+        kept[a] += d2.get(r, 1.0) * r / (context[a] + 1)
+        known[a] += word[b]
+
+    def p(a, b):
+        if (a, b) in c2:
+            return d2.get(c2[a, b], 1.0) * c2[a, b] / (context[a] + 1)
+        return word.get(b, unknown) * ((1 - kept[a]) / (1 - known[a]) if a in context else 1)
+
+    assert all(abs(sum(p(a, b) for b in [*c, "never seen"]) - 1) < 1e-9 for a in ["<s>", *list(c)[:20]] if a in context)
+    for i, w in said.items():
+        assert abs(got[i]["score"] - sum(math.log10(p(a, b)) for a, b in pairs[i])) < 1e-6
+        assert abs(got[i]["base_score"] - sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in w)) < 1e-6
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"], got[i]["held_out"]) == (len(w), sum(x in c for x in w), n, held[i])
     assert katz.score(none).count() == 0
 
 
 def test_convnet_learns(spark, none):
     rng = np.random.default_rng(4)
-    rows = [(i, "".join(rng.choice(list("abcdef "), 1500)) + (" ###" * 5 if i % 2 else ""), 1 - i % 2) for i in range(200)]
+    rows = [(i, "".join(rng.choice(list("abcdef "), 1500)) + (" ###" * 5 if i % 2 else ""), 1 - i % 2) for i in range(800)]  # enough for some hundred steps
     df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
     weights = convnet.train(df.drop("quality"), df.select("doc_id", "quality"))
     scored = convnet.classify(df, weights).collect()
