@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", sample: int
     for y in (0, 1):
         one = known.where(F.col("quality") == y).select(F.col("doc_id").alias("__id"), "quality").orderBy(F.xxhash64("__id"), "__id").limit(sample)
         ids = one if ids is None else ids.unionByName(one)
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", F.col(text).alias("t"), "quality")
+    rows = docs.select("doc_id", text).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", F.col(text).alias("t"), "quality")
 
     def run(batches):
         got = sorted((r["doc_id"], r["t"] or "", r["quality"]) for b in batches for r in b.to_pylist())
