@@ -13,14 +13,17 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _POWERS = {}
+BLOCK = 1 << 16  # bytes hashed at once; a longer word is a block of its own
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     held = _POWERS.get(base)
     if held is None or len(held) < n:
-        steps = np.full(max(n, 1 << 21), base, dtype=np.uint64)
+        steps = np.full(max(n, BLOCK), base, dtype=np.uint64)
         steps[0] = 1
-        held = _POWERS[base] = np.cumprod(steps)
+        held = np.cumprod(steps)
+        if len(held) == BLOCK:
+            _POWERS[base] = held
     return held[:n]
 
 
@@ -38,8 +41,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     edge = np.diff(np.concatenate([[True], space]).view(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * _powers(_BASE, len(data)))])
-    h = mix((sums[end] - sums[begin]) * _powers(_INVERSE, len(data))[begin])
+    h, k = np.empty(len(begin), np.uint64), 0
+    while k < len(begin):
+        at = int(begin[k])
+        stop = max(k + 1, int(np.searchsorted(end, at + BLOCK, side="right")))
+        first, after = begin[k:stop] - at, end[k:stop] - at
+        size = int(after[-1])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data[at:at + size]] * _powers(_BASE, size))])
+        h[k:stop] = mix((sums[after] - sums[first]) * _powers(_INVERSE, size)[first])
+        k = stop
     bounds = np.cumsum([0, *[len(t) + 1 for t in texts]])
     return h, np.diff(np.searchsorted(begin, bounds))
 
