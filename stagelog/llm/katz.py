@@ -15,7 +15,9 @@ LARGEST = 5  # counts up to this are discounted
 END = np.uint64(1)  # hash of the end of a text
 START_ID, UNKNOWN = 0xFFFFFFFE, 0xFFFFFFFF
 CHUNK = 4096  # documents of neighbouring ids that are encoded together
-FLUSH = 1 << 19
+FLUSH = 1 << 18  # rows a task holds before it sends them on
+TALLY = 1 << 21  # words or pairs a task looks through together
+FREQUENT = 1 << 16  # pairs that are added up apart
 _ENTRY = [("w1", np.uint32), ("w2", np.uint32), ("row", np.int64), ("n", np.uint32)]
 PART = "kind string, a bigint, n bigint, x double, m array<bigint>, data binary"
 _PART = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("n", pa.int64()), ("x", pa.float64()), ("m", pa.list_(pa.int64())), ("data", pa.binary())])
@@ -115,7 +117,7 @@ def as_ids(docs: DataFrame, vocabulary: DataFrame, words: Words) -> DataFrame:
             for chunk, h in zip(b.column("chunk").to_pylist(), _text_hashes(_texts(b))):
                 held.setdefault(chunk, []).append(np.unique(h))
                 size += len(h)
-            if size > 4 * FLUSH:
+            if size > TALLY:
                 yield asked(held)
                 held, size = {}, 0
         if held:
@@ -151,8 +153,87 @@ def as_ids(docs: DataFrame, vocabulary: DataFrame, words: Words) -> DataFrame:
     return cut_lineage(coded.withColumn("row", F.monotonically_increasing_id()))
 
 
-def pair_parts(coded: DataFrame, words: Words, buckets: int) -> DataFrame:
-    """Counts of word pairs, bucket by bucket, and what they give texts and contexts.
+def _pairs(ids: bytes) -> np.ndarray:
+    """Each word after the one before it, as one number a pair."""
+    w2 = np.frombuffer(ids, np.uint32).astype(np.uint64)
+    w1 = np.concatenate([np.array([START_ID], np.uint64), w2[:-1]])
+    return (w1 << np.uint64(32)) | w2
+
+
+class Frequent:
+    """Pairs with their counts and values; ``places`` looks up others among them."""
+
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, words: Words):
+        self.pairs, self.counts = pairs, counts
+        self.w1, self.w2 = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.values = np.log10(counts) - np.log10(words.contexts(self.w1) + 1)
+
+    def places(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pair is one of these, and the places of those that are."""
+        if not len(self.pairs):
+            return np.zeros(len(pairs), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        hit = self.pairs[at] == pairs
+        return hit, at[hit]
+
+
+def frequent_pairs(coded: DataFrame, words: Words, most: int = FREQUENT, least: int = 8) -> Frequent:
+    """The ``most`` most frequent training pairs and their counts over all training texts.
+
+    Such a pair stands in a large share of the texts, so one task could not hold its rows.  Candidates are pairs
+    found ``least`` times among ``TALLY`` pairs of one task; each is then counted in full.  Which pairs are
+    taken decides where they are added up, never what is counted.
+    """
+    train = coded.where("not held_out").select("ids")
+
+    def piles(batches):
+        held, size = [], 0
+        for b in batches:
+            for ids in b.column("ids").to_pylist():
+                held.append(_pairs(ids))
+                size += len(held[-1])
+                if size > TALLY:
+                    yield np.concatenate(held)
+                    held, size = [], 0
+        if held:
+            yield np.concatenate(held)
+
+    def often(batches):
+        for pile in piles(batches):
+            u, c = np.unique(pile, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u[c >= least].astype(np.int64)), pa.array(c[c >= least].astype(np.int64))], ["pair", "c"])
+
+    found = train.mapInArrow(often, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "pair").limit(most)
+    pairs = np.sort(np.array([r["pair"] for r in found.collect()], dtype=np.int64).astype(np.uint64))
+    candidates = Frequent(pairs, np.ones(len(pairs)), words)
+
+    def count(batches):
+        sums = np.zeros(len(pairs), np.int64)
+        for pile in piles(batches):
+            sums += np.bincount(candidates.places(pile)[1], minlength=len(pairs))
+        k = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(sums[k])], ["k", "c"])
+
+    counts = np.zeros(len(pairs), np.int64)
+    if len(pairs):
+        for r in train.mapInArrow(count, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).collect():
+            counts[r["k"]] = r["c"]
+    kept = counts > LARGEST + 1
+    return Frequent(pairs[kept], counts[kept], words)
+
+
+def _with_frequent(coded: DataFrame, frequent: Frequent) -> DataFrame:
+    """``row, x``: what frequent pairs give each text."""
+    def run(batches):
+        for b in batches:
+            x = [float(frequent.values[frequent.places(_pairs(ids))[1]].sum()) for ids in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(x, pa.float64())], ["row", "x"])
+
+    return coded.select("row", "ids").mapInArrow(run, "row bigint, x double")
+
+
+def pair_parts(coded: DataFrame, words: Words, frequent: Frequent, buckets: int) -> DataFrame:
+    """Counts of all but the frequent word pairs, bucket by bucket, and what they give texts and contexts.
 
     Kinds: ``text`` (a: row; x, m: its pairs seen in training), ``unseen`` (a: row, n: times, m: [context]; x),
     ``context`` (a: word; n: count beyond ``LARGEST``, m: pairs by count, x: probability of its successors as
@@ -162,10 +243,11 @@ def pair_parts(coded: DataFrame, words: Words, buckets: int) -> DataFrame:
         held, size = [], 0
         for b in batches:
             for row, held_out, ids in zip(b.column("row").to_pylist(), b.column("held_out").to_pylist(), b.column("ids").to_pylist()):
-                w2 = np.frombuffer(ids, np.uint32)
-                w1 = np.concatenate([np.array([START_ID], np.uint32), w2[:-1]])
-                pair = (w1.astype(np.uint64) << np.uint64(32)) | w2
-                pair = pair[(w1 != UNKNOWN) & (w2 != UNKNOWN)] if held_out else pair
+                pair = _pairs(ids)
+                rare = ~frequent.places(pair)[0]
+                if held_out:
+                    rare &= (pair >> np.uint64(32) != UNKNOWN) & (pair & np.uint64(0xFFFFFFFF) != UNKNOWN)
+                pair = pair[rare]
                 u, c = np.unique(pair, return_counts=True)
                 part = np.empty(len(u), _ENTRY)
                 part["w1"], part["w2"], part["row"], part["n"] = u >> np.uint64(32), u & np.uint64(0xFFFFFFFF), row, 2 * c + held_out
@@ -320,7 +402,8 @@ def score(docs: DataFrame, *, text: str = "text", held_out=None) -> DataFrame:
     words = Words([(r["c"], r["n"]) for r in steps], texts)
     coded = as_ids(base, vocabulary, words)
 
-    parts = cut_lineage(pair_parts(coded, words, max(1024, total >> 23)))
+    frequent = frequent_pairs(coded, words)
+    parts = cut_lineage(pair_parts(coded, words, frequent, max(1024, total >> 23)))
     counts = parts.where("kind = 'counts'").agg(*[F.sum(F.col("m")[k]).alias(f"c{k + 1}") for k in range(LARGEST + 1)]).first()
     d = good_turing({k: counts[f"c{k}"] or 0 for k in range(1, LARGEST + 2)})
     logs = [math.log10(d[r] * r) for r in range(1, LARGEST + 1)]
@@ -328,8 +411,10 @@ def score(docs: DataFrame, *, text: str = "text", held_out=None) -> DataFrame:
     def weighted(values):
         return sum(F.col("m")[k] * F.lit(v) for k, v in enumerate(values))
 
-    contexts = parts.where("kind = 'context'").groupBy("a").agg(
-        F.sum(F.col("n") + weighted([d[r] * r for r in range(1, LARGEST + 1)])).alias("kept"), F.sum("x").alias("known"))
+    often = coded.sparkSession.createDataFrame(
+        pa.table({"a": frequent.w1, "kept": frequent.counts.astype(np.float64), "x": 10 ** words.log_p(frequent.w2)}), "a bigint, kept double, x double")
+    contexts = parts.where("kind = 'context'").select("a", (F.col("n") + weighted([d[r] * r for r in range(1, LARGEST + 1)])).alias("kept"), "x")
+    contexts = contexts.unionByName(often).groupBy("a").agg(F.sum("kept").alias("kept"), F.sum("x").alias("known"))
 
     def alpha(batches):
         for b in batches:
@@ -343,7 +428,7 @@ def score(docs: DataFrame, *, text: str = "text", held_out=None) -> DataFrame:
     backed = unseen.unionByName(_with_unknown(coded, words)).join(weights, "context", "left").select(
         "row", (F.col("x") + F.col("n") * F.coalesce("alpha", F.lit(0.0))).alias("x"))
     seen = parts.where("kind = 'text'").select(F.col("a").alias("row"), (F.col("x") + weighted(logs)).alias("x"))
-    sums = seen.unionByName(backed).groupBy("row").agg(F.sum("x").alias("score"))
+    sums = seen.unionByName(backed).unionByName(_with_frequent(coded, frequent)).groupBy("row").agg(F.sum("x").alias("score"))
     out = coded.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(words.n).cast("bigint").alias("train_tokens"),
         F.col("base").alias("base_score"), F.coalesce("score", F.lit(0.0)).alias("score"))
