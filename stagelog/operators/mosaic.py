@@ -21,10 +21,10 @@ GROUP_LIMIT = 64
 _PART = "run_id string, bx bigint, by bigint, salt bigint, a binary, b binary, c binary"
 
 
-def edge_distance(h: int, w: int, limit: int) -> np.ndarray:
-    """Distance of each pixel to the nearest tile edge, from 1 up to ``limit``."""
-    x, y = (np.minimum(np.arange(n) + 1, np.arange(n, 0, -1)) for n in (w, h))
-    return np.minimum(np.minimum(y[:, None], x[None, :]), limit).astype(np.int64)
+def _ramp(size: int, start: int, count: int) -> np.ndarray:
+    """Distance of ``count`` pixels of a line from its nearer end, from 1: half the line less the way from its middle."""
+    k = np.arange(start, start + count)
+    return (size + 1 - np.abs(2 * k - size + 1)) // 2
 
 
 def placements(tiles: DataFrame, poses: DataFrame, margin: int = CANVAS_MARGIN_PX) -> DataFrame:
@@ -113,7 +113,7 @@ def compose_mosaic(
         if blend == "sharp":
             b[:] = np.iinfo(np.int64).max
         for r in frame.sort_values("tile_id").itertuples(index=False):
-            weight = edge_distance(r.h, r.w, feather)[r.sy: r.sy + r.ph, r.sx: r.sx + r.pw]
+            weight = np.minimum.outer(_ramp(r.h, r.sy, r.ph), _ramp(r.w, r.sx, r.pw)).clip(max=feather)
             pixel = as_array(r.body, r.pw, r.ph).astype(np.int64)
             at = np.s_[r.dy: r.dy + r.ph, r.dx: r.dx + r.pw]
             if blend == "feather":

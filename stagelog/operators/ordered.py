@@ -4,7 +4,8 @@ A plain ``Window.partitionBy(run)`` sends a run to a single task, which fails
 when one run holds a third of the data.  Each function here cuts a run into
 chunks of at most ``width`` consecutive order values, scans the chunks
 independently, and joins in one carried value per chunk.  The chunk table is
-``rows / width`` long, so its own window stays small.
+``rows / width`` long, so its own window stays small.  Rows without a key form a
+group of their own; rows without an order value come first.
 """
 
 from __future__ import annotations
@@ -21,6 +22,15 @@ def chunk_of(order: str, width: int) -> Column:
     return F.expr(f"`{order}` div {int(width)}L")
 
 
+def _with_carried(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """Join each chunk's carried values; null keys and null order values meet their like."""
+    on = [*keys, _C]
+    values = [c for c in carried.columns if c not in on]
+    right = carried.select(*[F.col(k).alias(f"__on{n}") for n, k in enumerate(on)], *values)
+    same = [F.col(k).eqNullSafe(F.col(f"__on{n}")) for n, k in enumerate(on)]
+    return rows.join(right, same).drop(*[f"__on{n}" for n in range(len(on))])
+
+
 def running_sum(
     df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], *,
     inclusive: bool = True, width: int = CHUNK, chunk: Column | None = None,
@@ -37,7 +47,7 @@ def running_sum(
         .select(*keys, _C, *[F.coalesce(F.sum(f"__t_{n}").over(before), zero).alias(f"__c_{n}") for n in sums])
     )
     out = base.withColumns({f"__l_{n}": F.coalesce(F.sum(e).over(local), zero) for n, e in sums.items()})
-    out = out.join(carried, [*keys, _C])
+    out = _with_carried(out, carried, keys)
     out = out.withColumns({n: F.col(f"__l_{n}") + F.col(f"__c_{n}") for n in sums})
     return out.drop(_C, *[f"__{p}_{n}" for n in sums for p in "lc"])
 
@@ -59,12 +69,11 @@ def previous_row(
         "__now", F.struct(*[e.alias(n) for n, e in values.items()]))
     local = W.partitionBy(*keys, _C).orderBy(order)
     carried = (
-        base.groupBy(*keys, _C).agg(F.max_by("__now", order).alias("__last"))
+        base.groupBy(*keys, _C).agg(F.max_by("__now", F.struct(order)).alias("__last"))
         .select(*keys, _C, F.lag("__last").over(W.partitionBy(*keys).orderBy(_C)).alias("__carry"))
     )
-    out = base.withColumns({
-        "__first": F.row_number().over(local) == 1, "__lag": F.lag("__now").over(local),
-    }).join(carried, [*keys, _C])
+    out = _with_carried(base.withColumns({
+        "__first": F.row_number().over(local) == 1, "__lag": F.lag("__now").over(local)}), carried, keys)
     prev = F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__lag"))
     out = out.withColumn("__prev", prev).withColumns({n: F.col("__prev")[n] for n in values})
     return out.drop(_C, "__now", "__first", "__lag", "__carry", "__prev")
@@ -81,14 +90,13 @@ def last_known(
         W.unboundedPreceding, 0 if inclusive else -1)
     before = W.partitionBy(*keys).orderBy(_C).rowsBetween(W.unboundedPreceding, -1)
     latest = [
-        F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col(order))).alias(f"__e_{n}")
+        F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.struct(order))).alias(f"__e_{n}")
         for n in values
     ]
     carried = base.groupBy(*keys, _C).agg(*latest).select(
         *keys, _C, *[F.last(f"__e_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in values])
-    out = base.withColumns(
-        {f"__l_{n}": F.last(f"__v_{n}", ignorenulls=True).over(local) for n in values}
-    ).join(carried, [*keys, _C])
+    out = _with_carried(base.withColumns(
+        {f"__l_{n}": F.last(f"__v_{n}", ignorenulls=True).over(local) for n in values}), carried, keys)
     out = out.withColumns({n: F.coalesce(f"__l_{n}", f"__c_{n}") for n in values})
     return out.drop(_C, *[f"__{p}_{n}" for n in values for p in "vlc"])
 
@@ -121,12 +129,12 @@ def first_by(df: DataFrame, keys: list[str], order: str, values: dict[str, Colum
 
 
 def rank_by(df: DataFrame, keys: list[str], order: list[str], name: str, *, start: int = 0) -> DataFrame:
-    """Dense rank for order columns of any type; ``keys`` + ``order`` are unique.
+    """Dense rank for order columns of any type; rows with equal ``keys`` + ``order`` get places in a row.
 
     A range-partitioned sort spreads a large key over many tasks; the sorted
-    ids are materialised once so both passes over them see the same numbering.
+    rows are written once so both passes over them see the same numbering.
     """
     cols = [*keys, *order]
-    ids = cut_lineage(df.select(*cols).orderBy(*cols).withColumn("__id", F.monotonically_increasing_id()))
+    ids = cut_lineage(df.orderBy(*cols).withColumn("__id", F.monotonically_increasing_id()))
     ranked = dense_position(ids, keys, "__id", name, chunk=F.shiftright("__id", 33)).drop("__id")
-    return df.join(ranked.withColumn(name, F.col(name) + start), cols)
+    return ranked.withColumn(name, F.col(name) + start)

@@ -66,29 +66,6 @@ def blackman(image: np.ndarray, k: int) -> np.ndarray:
     return _like(_filter(image, kernel / kernel.sum()), image)
 
 
-def radial_mask(h: int, w: int, inner: float, outer: float) -> np.ndarray:
-    """0 inside ``inner``, rising to 1 at ``outer`` from the centre."""
-    y, x = np.ogrid[:h, :w]
-    d = np.sqrt((x - w // 2) ** 2 + (y - h // 2) ** 2)
-    return np.clip((d - inner) / (outer - inner), 0.0, 1.0).astype(np.float32)
-
-
-def rect_mask(h: int, w: int, half_x: int = 0, half_y: int = 0, bottom: int = 0, border: int = 0,
-              ratio: float = 0.0) -> np.ndarray:
-    """1 except a centre rectangle, the bottom rows and a border."""
-    mask = np.ones((h, w), np.float32)
-    if border > 0:
-        mask[:border] = mask[-border:] = 0
-        mask[:, :border] = mask[:, -border:] = 0
-    if bottom > 0:
-        mask[-bottom:] = 0
-    if ratio > 0:
-        half_y, half_x = int(h * ratio / 2), int(w * ratio / 2)
-    if half_x > 0 and half_y > 0:
-        mask[h // 2 - half_y: h // 2 + half_y, w // 2 - half_x: w // 2 + half_x] = 0
-    return mask
-
-
 def apply_step(image: np.ndarray, step: dict) -> np.ndarray:
     options = {k: v for k, v in step.items() if k != "op"}
     op, (h, w) = step["op"], image.shape
@@ -102,10 +79,6 @@ def apply_step(image: np.ndarray, step: dict) -> np.ndarray:
         return blackman(image, **options)
     if op == "tukey":
         return (image * np.outer(tukey(h, options["alpha"]), tukey(w, options["alpha"]))).astype(np.float32)
-    if op == "radial":
-        return (image * radial_mask(h, w, **options)).astype(np.float32)
-    if op == "rectangle":
-        return (image * rect_mask(h, w, **options)).astype(np.float32)
     if op == "normalize":
         return (image / 255.0).astype(np.float32)
     raise ValueError(f"unknown preprocessing step {op!r}")

@@ -37,7 +37,8 @@ def recalculate_positions(
 
     The reference is each run's first record with ``step = ref_step``.  A run
     without one, or whose reference image has no position, is an error, or is
-    left out with ``missing_reference="drop"``.  A log of several trajectories,
+    left out with ``missing_reference="drop"``, or keeps its positions with
+    ``updated`` false with ``missing_reference="keep"``.  A log of several trajectories,
     each with its own reference, is divided with ``by``.
     """
     joined = attach_positions(steps, positions)
@@ -50,12 +51,12 @@ def recalculate_positions(
     if missing_reference == "error":
         located = F.assert_true(
             located, F.concat(F.lit("no located reference record in run "), F.col("run_id"))).isNull()
-    out = joined.join(ref.where(located), list(by))
+    out = joined.join(ref if missing_reference == "keep" else ref.where(located), list(by))
     px, rpx = F.col("position"), F.col("__ref.position")
     new_x = mosaic_to_nm(px["x"], rpx["x"], F.col("__ref.x_target_abs"), -1, nm_per_px)
     new_y = mosaic_to_nm(px["y"], rpx["y"], F.col("__ref.y_target_abs"), 1, nm_per_px)
     return out.withColumns({
-        "updated": px.isNotNull(),
+        "updated": px.isNotNull() & rpx.isNotNull(),
         "x_actual_abs": F.coalesce(new_x, "x_actual_abs"),
         "y_actual_abs": F.coalesce(new_y, "y_actual_abs"),
     }).drop("__refs", "__ref")

@@ -1,4 +1,4 @@
-"""Pairwise image registration.
+"""Pairwise image registration (H4, H5, H7).
 
 One row is one pair with both bodies.  Every method returns the same quantity:
 ``(dx, dy) = position(new) - position(ref)`` in pixels.
@@ -6,7 +6,6 @@ One row is one pair with both bodies.  Every method returns the same quantity:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,41 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from stagelog.operators.graph import edge_weight
-from stagelog.operators.pixels import as_array, rect_mask
-from stagelog.schema import MIN_OVERLAP_PX, NM_PER_PX
-
-
-@dataclass(frozen=True)
-class PatchParams:
-    """H1 parameters; defaults are the fixed values of the method."""
-
-    nm_per_px: float = NM_PER_PX
-    search_nm: float = 3000.0
-    tile_fraction: float = 0.35
-    overlap_fraction: float = 0.60
-    min_patch: int = MIN_OVERLAP_PX
-    min_score: float = 0.72
-    min_margin: float = 0.04
-    exclusion: int = 12
-    agree_px: float = 2.5
-    min_support: int = 2
-    early_support: int = 3
-    early_score: float = 0.84
-    early_margin: float = 0.06
-
-
-@dataclass(frozen=True)
-class MaskParams:
-    """H3 parameters."""
-
-    border: int = 40
-    padding: int = 512
-    half_x: int = 0
-    half_y: int = 0
-    bottom: int = 0
-    mask_border: int = 0
-    ratio: float = 0.0
+from stagelog.operators.pixels import as_array
 
 
 @dataclass(frozen=True)
@@ -98,97 +63,6 @@ def _peak(surface: np.ndarray) -> tuple[int, int]:
     return int(y), int(x)
 
 
-def _vertex(left: float, mid: float, right: float) -> float:
-    bend = left - 2.0 * mid + right
-    return 0.0 if abs(bend) < 1e-12 else float(np.clip(0.5 * (left - right) / bend, -1.0, 1.0))
-
-
-def _starts(low: float, high: float) -> list[int]:
-    lo, hi = round(low), round(high)
-    return [] if hi < lo else list(dict.fromkeys([round((lo + hi) / 2), lo, hi]))
-
-
-def match_patch(search: np.ndarray, patch: np.ndarray, exclusion: int) -> tuple[float, float, float, float]:
-    """Sub-pixel place of a patch in a search area, its score and lead over the second peak."""
-    surface = zero_mean_ncc(search, patch)
-    y, x = _peak(surface)
-    score = float(surface[y, x])
-    rest = surface.copy()
-    rest[max(0, y - exclusion): y + exclusion + 1, max(0, x - exclusion): x + exclusion + 1] = -1.0
-    second = float(rest.max()) if rest.size > 1 else -1.0
-    fx = _vertex(*surface[y, x - 1: x + 2]) if 0 < x < surface.shape[1] - 1 else 0.0
-    fy = _vertex(*surface[y - 1: y + 2, x]) if 0 < y < surface.shape[0] - 1 else 0.0
-    return x + fx, y + fy, score, score - second
-
-
-def agreeing(found: np.ndarray, p: PatchParams, need: int) -> dict | None:
-    """D10 on the at most nine patches of a pair; columns dx, dy, score, margin."""
-    good = found[(found[:, 2] >= p.min_score) & (found[:, 3] >= p.min_margin)]
-    if not len(good):
-        return None
-    near = np.hypot(*(good[:, None, :2] - good[None, :, :2]).transpose(2, 0, 1)) <= p.agree_px
-    rank = list(zip(near.sum(1), near @ (good[:, 2] + good[:, 3])))
-    members = good[near[max(range(len(good)), key=lambda k: rank[k])]]
-    if len(members) < need:
-        return None
-    w = np.maximum(1e-6, members[:, 2] ** 4)
-    dx, dy = (w[:, None] * members[:, :2]).sum(0) / w.sum()
-    return dict(dx=float(dx), dy=float(dy), score=float(np.median(members[:, 2])),
-                peak_margin=float(np.median(members[:, 3])), support=len(members))
-
-
-def register_patches(ref: np.ndarray, new: np.ndarray, dx: float, dy: float, p: PatchParams) -> dict | None:
-    """H1: the displacement near a commanded one, agreed on by several patches.
-
-    Patches are taken centre first, rows outer; three that agree well end the
-    search early.
-    """
-    if ref.shape != new.shape:
-        return None
-    size = np.array(ref.shape)
-    shift = np.array([dy, dx])
-    overlap = size - np.abs(shift)
-    if (overlap < p.min_patch).any():
-        return None
-    largest = np.maximum(p.min_patch, (size * p.tile_fraction).astype(int))
-    patch = np.minimum(largest, np.maximum(p.min_patch, (overlap * p.overlap_fraction).astype(int)))
-    low = np.maximum(0.0, -shift)
-    high = np.minimum(size - patch, np.minimum(size, size - shift) - patch)
-    radius = math.ceil(p.search_nm / p.nm_per_px)
-    area = float(patch.prod() / largest.prod())
-    found: list[tuple[float, float, float, float]] = []
-    for ty in _starts(low[0], high[0]):
-        for tx in _starts(low[1], high[1]):
-            at = np.array([ty, tx])
-            guess = np.array([round(float(v)) for v in at + shift])
-            begin, end = np.maximum(0, guess - radius), np.minimum(size, guess + patch + radius)
-            if (end - begin < patch).any():
-                continue
-            x, y, score, margin = match_patch(
-                ref[begin[0]: end[0], begin[1]: end[1]],
-                new[ty: ty + patch[0], tx: tx + patch[1]], p.exclusion)
-            found.append((begin[1] + x - tx, begin[0] + y - ty, score, margin))
-            sure = agreeing(np.array(found), p, p.early_support)
-            if sure and sure["score"] >= p.early_score and sure["peak_margin"] >= p.early_margin:
-                return {**sure, "area": area}
-    last = agreeing(np.array(found), p, p.min_support) if found else None
-    return {**last, "area": area} if last else None
-
-
-def register_masked(ref: np.ndarray, new: np.ndarray, p: MaskParams) -> dict:
-    """H3: best normalised (not zero-mean) correlation of the masked new frame in the padded reference."""
-    b = p.border
-    inner = ref[b: ref.shape[0] - b, b: ref.shape[1] - b].astype(float)
-    field = np.pad(inner, p.padding, constant_values=float(inner.mean()))
-    mask = rect_mask(*new.shape, p.half_x, p.half_y, p.bottom, p.mask_border, p.ratio).astype(float)
-    kept = new * mask
-    scale = np.sqrt(np.maximum(slide(field * field, mask), 0.0) * float((kept * kept).sum()))
-    flat = scale <= 1e-9 * max(float(scale.max()), 1.0)
-    surface = np.where(flat, 0.0, slide(field, kept) / np.where(flat, 1.0, scale))
-    y, x = _peak(np.round(surface, 12))
-    return dict(dx=float(x - p.padding + b), dy=float(y - p.padding + b), score=float(surface[y, x]))
-
-
 def phase_surface(ref: np.ndarray, new: np.ndarray) -> np.ndarray:
     """H7: centred phase-correlation surface (Kuglin and Hines 1975)."""
     cross = np.fft.fft2(new.astype(float)) * np.conj(np.fft.fft2(ref.astype(float)))
@@ -226,15 +100,15 @@ def register_circular(ref: np.ndarray, new: np.ndarray, p: CircularParams) -> di
 
 
 def register_pairs(
-    pairs: DataFrame, tiles: DataFrame, method: str = "patches", params=None, keep_surface: bool = False,
+    pairs: DataFrame, tiles: DataFrame, method: str = "phase", params=None, keep_surface: bool = False,
 ) -> DataFrame:
-    """H1/H3/H4/H5: edges (or measured shifts) for pairs (run_id, i, j, dx, dy) with expected shifts.
+    """H4/H5: measured shifts for pairs (run_id, i, j, dx, dy) with expected shifts.
 
     Each body meets its pairs in two joins; the pair rows are spread by pair, so
-    a tile with many pairs is no one task's work.  Pairs without an accepted
-    match give no row (patches) or a low score (other methods).
+    a tile with many pairs is no one task's work.  A pair of unequal
+    shapes gives no row.
     """
-    defaults = {"patches": PatchParams, "masked": MaskParams, "phase": dict, "circular": CircularParams}
+    defaults = {"phase": dict, "circular": CircularParams}
     if method not in defaults:
         raise ValueError(f"unknown method {method!r}")
     params = params if params is not None else defaults[method]()
@@ -252,30 +126,21 @@ def register_pairs(
             for r in frame.itertuples(index=False):
                 ref, new = as_array(r.pi, r.wi, r.hi), as_array(r.pj, r.wj, r.hj)
                 surface = None
-                if method == "patches":
-                    got = register_patches(ref, new, r.dx, r.dy, params)
-                elif ref.shape != new.shape:
+                if ref.shape != new.shape:
                     got = None
-                elif method == "masked":
-                    got = register_masked(ref, new, params)
                 elif method == "circular":
                     got = register_circular(ref, new, params)
                 else:
                     surface = phase_surface(ref, new)
                     got = register_phase(surface)
                 if got is not None:
-                    out.append((r.run_id, r.i, r.j, got["dx"], got["dy"], got["score"], got.get("peak_margin"),
-                                got.get("area"), got.get("support"),
+                    out.append((r.run_id, r.i, r.j, got["dx"], got["dy"], got["score"],
                                 surface.ravel().astype(np.float32).tolist() if keep_surface and surface is not None else None))
             yield pd.DataFrame(out, columns=[
-                "run_id", "i", "j", "dx", "dy", "score", "peak_margin", "area", "support", "surface"]).astype(
-                {"support": "Int64", "peak_margin": float, "area": float})
+                "run_id", "i", "j", "dx", "dy", "score", "surface"])
 
     found = rows.mapInPandas(measure, (
-        "run_id string, i bigint, j bigint, dx double, dy double, score double, peak_margin double, "
-        "area double, support bigint, surface array<float>"))
-    if method != "patches":
-        keep = ["run_id", "i", "j", "dx", "dy", "score"]
-        return found.select(*keep, "surface") if keep_surface else found.select(*keep)
-    weight = edge_weight(F.col("score"), F.col("area"), F.col("support"))
-    return found.select("run_id", "i", "j", "dx", "dy", "score", "peak_margin", weight.alias("base_weight"))
+        "run_id string, i bigint, j bigint, dx double, dy double, score double, "
+        "surface array<float>"))
+    keep = ["run_id", "i", "j", "dx", "dy", "score"]
+    return found.select(*keep, "surface") if keep_surface else found.select(*keep)

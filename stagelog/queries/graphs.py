@@ -10,7 +10,7 @@ from stagelog.operators import graph as G, growth as Gr, mosaic as M, quality as
 from stagelog.operators.locate import locate_tiles
 from stagelog.operators.pairs import neighbor_pairs
 from stagelog.operators.pixels import preprocess_tiles
-from stagelog.operators.registration import CircularParams, MaskParams, PatchParams, register_pairs
+from stagelog.operators.registration import CircularParams, register_pairs
 from stagelog.queries import query
 from stagelog.session import cut_lineage
 from stagelog.sources.tiles import tiles_from_vectors
@@ -155,26 +155,26 @@ def consensus_core(spark, folder):
     return G.consensus_core(targets(spark, folder), cut_lineage(edges(spark, folder)))[0]
 
 
-_REACH_SQL = f"""RECURSIVE {_RES_SQL}, near AS MATERIALIZED (SELECT run_id, i, j FROM res WHERE residual <= 1.5 AND i % 5 <> 4 AND j % 5 <> 4),
+_REACH_SQL = f"""RECURSIVE {_RES_SQL}, near AS MATERIALIZED (SELECT run_id, i, j FROM res WHERE residual <= 1.5),
 both_ways AS MATERIALIZED (SELECT run_id, i AS a, j AS b FROM near UNION ALL SELECT run_id, j, i FROM near),
 reach AS (SELECT DISTINCT run_id, a AS tile_id, a AS root FROM both_ways UNION SELECT r.run_id, b.b, r.root FROM reach r JOIN both_ways b ON b.run_id = r.run_id AND b.a = r.tile_id),
 comp AS MATERIALIZED (SELECT run_id, tile_id, min(root) AS component FROM reach GROUP BY 1, 2)"""
 
 
-def _sparse(spark, folder):
+def _agreeing(spark, folder):
     e = G.edge_residuals(edges(spark, folder), targets(spark, folder))
-    return e.where((F.col("residual") <= 1.5) & (F.col("i") % 5 != 4) & (F.col("j") % 5 != 4))
+    return e.where(F.col("residual") <= 1.5)
 
 
 @query("connected_components", f"WITH {_REACH_SQL} SELECT run_id, tile_id, component FROM comp")
 def connected_components(spark, folder):
-    return G.connected_components(_sparse(spark, folder))
+    return G.connected_components(_agreeing(spark, folder))
 
 
 @query("largest_component", f"""WITH {_REACH_SQL}, n AS (SELECT run_id, component, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, component) AS rn FROM comp GROUP BY 1, 2)
 SELECT c.run_id, c.tile_id FROM comp c JOIN n ON n.run_id = c.run_id AND n.component = c.component WHERE rn = 1""")
 def largest_component(spark, folder):
-    return G.largest_component(cut_lineage(G.connected_components(_sparse(spark, folder))))
+    return G.largest_component(cut_lineage(G.connected_components(_agreeing(spark, folder))))
 
 
 @query("canvas_extent", f"""WITH {A.LAYOUT_SQL} SELECT run_id, CAST(floor(min(x_px)) AS BIGINT) AS min_x, CAST(floor(min(y_px)) AS BIGINT) AS min_y, CAST(ceil(max(x_px)) AS BIGINT) AS max_x,
@@ -251,22 +251,6 @@ def phase_registration(spark, folder):
                       F.size("surface").cast(B).alias("cells"))
 
 
-@query("masked_registration")
-def masked_registration(spark, folder):
-    """H3 with a small border, padding and mask."""
-    out = register_pairs(chained(spark, folder), tiles(spark, folder), "masked",
-                         MaskParams(border=1, padding=4, half_x=1, half_y=1, bottom=1))
-    return out.withColumn("score", F.round("score", 6))
-
-
-@query("patch_registration")
-def patch_registration(spark, folder):
-    """H1 on small tiles with correspondingly small parameters."""
-    small = PatchParams(search_nm=30.0, min_patch=4, exclusion=1, min_score=0.3, min_margin=0.0, min_support=1)
-    out = register_pairs(chained(spark, folder), tiles(spark, folder), "patches", small)
-    return out.select("run_id", "i", "j", *[F.round(c, 4).alias(c) for c in ("dx", "dy", "score", "peak_margin", "base_weight")])
-
-
 @query("preprocessed_tiles")
 def preprocessed_tiles(spark, folder):
     """H6: blur, gradient, taper and scale of every tile."""

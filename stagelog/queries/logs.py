@@ -50,11 +50,11 @@ ref AS (SELECT run_id, px AS rpx, py AS rpy, x_target_abs AS rx, y_target_abs AS
 recalculated AS (SELECT j.run_id, source_index, step, x_target_abs, y_target_abs,
   coalesce(CAST(round_even(rx + CAST(-1 AS DOUBLE)*(px-rpx)*CAST(12.40234 AS DOUBLE), 0) AS BIGINT), x_actual_abs) AS x_actual_abs,
   coalesce(CAST(round_even(ry + CAST(1 AS DOUBLE)*(py-rpy)*CAST(12.40234 AS DOUBLE), 0) AS BIGINT), y_actual_abs) AS y_actual_abs,
-  px IS NOT NULL AS updated FROM joined j JOIN ref USING (run_id))"""
+  px IS NOT NULL AND rpx IS NOT NULL AS updated FROM joined j LEFT JOIN ref USING (run_id))"""
 
 
 def _recalculated(spark, folder):
-    return Q.recalculate_positions(steps(spark, folder), positions(spark, folder), missing_reference="drop")
+    return Q.recalculate_positions(steps(spark, folder), positions(spark, folder), missing_reference="keep")
 
 
 @query("recalculated_positions", _RECALC_SQL + """

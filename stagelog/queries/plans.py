@@ -149,7 +149,7 @@ def exposure_schedule(spark, folder):
 @query("filled_magnifications", """WITH d AS (SELECT o_orderkey AS plan_id, CAST(o_orderkey%4*1000 AS BIGINT) AS e, CAST(o_orderkey%3*500 AS BIGINT) AS c FROM orders),
 x AS (SELECT l_orderkey AS plan_id, l_linenumber AS step_idx, CASE WHEN l_linenumber%2=0 THEN CAST(l_linenumber*1000 AS BIGINT) END AS m, count(*) AS lines FROM lineitem GROUP BY 1, 2, 3),
 f AS (SELECT plan_id, step_idx, lines, coalesce(m, e) AS exposure_mag, c AS correction_mag FROM x JOIN d USING (plan_id))
-SELECT plan_id, CAST(step_idx AS BIGINT) AS step_idx, lines, exposure_mag, correction_mag, CAST(exposure_mag <= 4000 AND correction_mag IN (0, 500, 1000) AS BIGINT) AS known FROM f""")
+SELECT plan_id, CAST(step_idx AS BIGINT) AS step_idx, lines, exposure_mag, correction_mag, CAST(exposure_mag IN (SELECT n_nationkey*500 FROM nation) AND correction_mag IN (SELECT n_nationkey*500 FROM nation) AS BIGINT) AS known FROM f""")
 def filled_magnifications(spark, folder):
     """Step overrides, plan defaults and a check against known settings."""
     k = F.col("o_orderkey")
@@ -160,7 +160,7 @@ def filled_magnifications(spark, folder):
         F.col("l_orderkey").alias("plan_id"), line.alias("step_idx"),
         F.when(line % 2 == 0, (line * 1000).cast(B)).alias("exposure_mag")).agg(F.count("*").alias("lines")).withColumn(
         "correction_mag", F.lit(None).cast(B))
-    known = A.table(spark, folder, "nation").select((F.col("n_nationkey") * 500).cast(B).alias("mag")).where("mag <= 4000")
+    known = A.table(spark, folder, "nation").select((F.col("n_nationkey") * 500).cast(B).alias("mag"))
     out = Sch.fill_defaults(mags, defaults, known, strict=False)
     return out.select("plan_id", F.col("step_idx").cast(B).alias("step_idx"), "lines", "exposure_mag", "correction_mag",
                       F.col("known").cast(B).alias("known"))

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,7 +12,8 @@ from stagelog.session import configure, session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = configure(session("tests", **{
-        "spark__master": "local[8]", "spark__sql__shuffle__partitions": "8", "spark__driver__memory": "8g"}))
+        "spark__master": "local[8]", "spark__sql__shuffle__partitions": "8", "spark__driver__memory": "8g",
+        "spark__checkpoint__dir": tempfile.mkdtemp(prefix="tests-")}))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

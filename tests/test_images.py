@@ -32,28 +32,6 @@ def shift(r):
     return tuple(POS[r.j][a] - POS[r.i][a] for a in (0, 1))
 
 
-def test_patches(spark, scene):
-    got = R.register_pairs(expected(spark, 100), scene[1]).collect()
-    assert len(got) >= 4
-    for r in got:
-        assert (r.dx, r.dy) == pytest.approx(shift(r), abs=0.05) and r.score > 0.95 and r.peak_margin > 0.3
-        assert 0 < r.base_weight <= 1
-
-
-def test_patch_rules():
-    rng = np.random.default_rng(0)
-    p = R.PatchParams()
-    image = rng.integers(0, 256, (300, 300)).astype(np.uint8)
-    assert R.register_patches(image, image, 0.0, 173.0, p) is None
-    assert R.register_patches(np.full((300, 300), 7, np.uint8), image, 0.0, 0.0, p) is None
-    assert R.register_patches(image, image[:200], 0.0, 0.0, p) is None
-    full = R.register_patches(image, image, 3.0, -2.0, p)
-    assert full["support"] == 3 and (full["dx"], full["dy"]) == pytest.approx((0, 0), abs=0.01)
-    edge = R.register_patches(image, image, 172.0, 0.0, R.PatchParams(search_nm=10_000.0))
-    assert edge is None or edge["support"] >= 2
-    assert R._starts(0.0, 10.0) == [5, 0, 10] and R._starts(3, 3) == [3] and R._starts(5, 2) == []
-
-
 def test_normalised_correlation_matches_direct():
     rng = np.random.default_rng(1)
     image, t = rng.integers(0, 256, (23, 31)), rng.integers(0, 256, (7, 9))
@@ -67,7 +45,6 @@ def test_normalised_correlation_matches_direct():
 
 
 @pytest.mark.parametrize("method, params, tolerance", [
-    ("masked", R.MaskParams(border=40, padding=300, half_x=20, half_y=20, bottom=10), 0),
     ("phase", None, 0.1), ("circular", R.CircularParams(150, 150), 0)])
 def test_other_methods_agree_on_the_sign(spark, scene, method, params, tolerance):
     near = expected(spark, 0).where("(i = 0 AND j = 1) OR (i = 2 AND j = 3)")
@@ -104,10 +81,6 @@ def test_preprocessing(scene, spark):
     assert PX.sobel(image)[4, 4] == 40 and (PX.gaussian5(np.full((6, 6), 9, np.uint8)) == 9).all()
     assert (PX.blackman(np.full((9, 9), 100, np.uint8), 5) == 100).all()
     assert PX.tukey(11, 0.5)[0] == 0 and PX.tukey(11, 0.5)[5] == 1 and (PX.tukey(5, 0) == 1).all()
-    m = PX.radial_mask(21, 21, 2, 6)
-    assert m[10, 10] == 0 and m[10, 14] == 0.5 and m[0, 0] == 1
-    r = PX.rect_mask(10, 12, half_x=2, half_y=1, bottom=3)
-    assert r[4:6, 4:8].sum() == 0 and r[7:].sum() == 0 and r.sum() == 7 * 12 - 2 * 4
     out = PX.preprocess_tiles(scene[1], [{"op": "gaussian"}, {"op": "normalize"}]).first()
     body = PX.as_array(out.pixels, SIDE, SIDE)
     assert body.dtype == np.float32 and 0 <= body.min() and body.max() <= 1

@@ -64,3 +64,19 @@ def test_percentiles_are_exact(log, accuracy):
     for name, p in probs.items():
         for run, v in values:
             assert got.loc[run, name] == pytest.approx(np.quantile(v, p), abs=1e-9)
+
+
+@pytest.mark.parametrize("width", [1, 5, 1 << 20])
+def test_null_keys_and_orders_keep_their_rows(spark, width):
+    rows = spark.createDataFrame([(None, 3, 1), (None, 9, 2), ("a", None, 4), ("a", 2, 8), ("b", None, 16)], "k string, i bigint, v bigint")
+    w = W.partitionBy("k").orderBy("i")
+    assert same(O.running_sum(rows, ["k"], "i", {"s": F.col("v")}, width=width).select("k", "i", "s"),
+                rows.select("k", "i", F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0))))
+    assert same(O.previous_row(rows, ["k"], "i", {"p": F.col("v")}, width=width).select("k", "i", "p"), rows.select("k", "i", F.lag("v").over(w)))
+    assert same(O.last_known(rows, ["k"], "i", {"p": F.col("v")}, inclusive=False, width=width).select("k", "i", "p"), rows.select("k", "i", F.lag("v").over(w)))
+
+
+def test_rank_by_equal_names(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "x", 3)], "k string, n string, v bigint")
+    got = O.rank_by(rows, ["k"], ["n"], "r").orderBy("r").collect()
+    assert [r.r for r in got] == [0, 1, 2] and sorted(r.v for r in got) == [1, 2, 3] and got[2].n == "y"
