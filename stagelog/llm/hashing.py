@@ -19,10 +19,10 @@ BLOCK = 1 << 16  # bytes hashed at once; a longer word is a block of its own
 def _powers(base: int, n: int) -> np.ndarray:
     held = _POWERS.get(base)
     if held is None or len(held) < n:
-        steps = np.full(max(n, BLOCK), base, dtype=np.uint64)
+        steps = np.full(max(BLOCK, 1 << (n - 1).bit_length()), base, dtype=np.uint64)
         steps[0] = 1
         held = np.cumprod(steps)
-        if len(held) == BLOCK:
+        if len(held) <= 1 << 21:
             _POWERS[base] = held
     return held[:n]
 
