@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stagelog.llm import hashing
 from stagelog.llm.common import cut_lineage, release
@@ -148,7 +148,9 @@ def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     First each list's sets meet four leaders of the list only.  A set that proves highly similar to a
     leader takes over the leader's component, that is its answers; only pairs across components are left.
-    Of those, a pair is skipped where its answer follows from the leader's: the overlap with y is at most
+    Where two sets share lists that follow one another in both, as those of a common passage do, just the
+    first and the last of such a run name the pair, with their places, so the number of shared lists is known.
+    Of these pairs, one is skipped where its answer follows from the leader's: the overlap with y is at most
     the leader's overlap with y plus the members that the leader lacks.  The rest is computed in full.
     No group emits all its pairs, and every link between different components is found.
 
@@ -159,10 +161,13 @@ def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     ids = cut_lineage(vertices(docs, text))
     hot = hot_shingles(docs, text)
     entries = index_entries(docs, hot, text)
-    shared = cut_lineage(entries.groupBy("token").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x < y").select("token"))
+    shared = cut_lineage(entries.groupBy("token").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x < y"))
     top = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
-    active = entries.join(shared.hint("merge"), "token").select("token", "v", "n", "pos", top.alias("own")).distinct()
-    active = cut_lineage(active)
+    active = entries.join(shared.hint("merge"), "token").select("token", "v", "n", "pos", top.alias("own"), "x", "y").distinct()
+    own_lists = W.partitionBy("v").orderBy("x", "y", "token")
+    active = cut_lineage(active.select(
+        "token", "v", "n", "pos", "own", F.lag("token").over(own_lists).alias("before"), F.lead("token").over(own_lists).alias("after"),
+        F.row_number().over(own_lists).alias("k")))
     classed = active.withColumn("size_class", F.explode(F.array("own", F.col("own") + 1)))
 
     key = ["token", "size_class"]
@@ -181,13 +186,16 @@ def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     labelled = classed.join(first.withColumnRenamed("tile_id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
     labelled = cut_lineage(labelled)
-    x = labelled.select(*key, *[F.col(c).alias(f"{c}a") for c in ("v", "n", "pos", "own", "c")])
-    y = labelled.select(*key, *[F.col(c).alias(f"{c}b") for c in ("v", "n", "pos", "own", "c")])
+    x = labelled.select(*key, *[F.col(c).alias(f"{c}a") for c in ("v", "n", "pos", "own", "c", "before", "after", "k")])
+    y = labelled.select(*key, *[F.col(c).alias(f"{c}b") for c in ("v", "n", "pos", "own", "c", "before", "after")])
     home = F.col("size_class") == F.greatest("owna", "ownb")
     room = F.least("posa", "posb") + 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
+    begins, ends = ~F.col("beforea").eqNullSafe(F.col("beforeb")), ~F.col("aftera").eqNullSafe(F.col("afterb"))
+    begins, ends = begins | F.col("beforea").isNull(), ends | F.col("aftera").isNull()
     rest = x.join(y, key).where((F.col("va") < F.col("vb")) & (F.col("ca") != F.col("cb")) & home & (9 * room >= 4 * (F.col("na") + F.col("nb")))
-                                & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")))
-    rest = rest.groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("m"))
+                                & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (begins | ends))
+    run = F.when(ends, F.col("ka") + 1).otherwise(0) - F.when(begins, F.col("ka")).otherwise(0)
+    rest = rest.groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum(run).alias("m"))
     rest = rest.where(_reachable(F.col("m"))).drop("m").join(known.select("a", "b"), ["a", "b"], "left_anti")
     rest = cut_lineage(_not_derived(rest, known))
     more = _texts_of(docs, ids, rest.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text)
