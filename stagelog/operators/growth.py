@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stagelog.functions.rows import distance
@@ -10,7 +12,7 @@ from stagelog.operators.graph import (
     connected_components, consensus_core, degrees, edge_residuals, keep_edges, largest_component)
 from stagelog.operators.solve import solve_poses
 from stagelog.schema import (
-    AGREE_PX, MAX_CORRECTION_NM, MAX_RESIDUAL_PX, MAX_SEEDS, MIN_NEIGHBOURS, NM_PER_PX, POSE_ANCHOR)
+    AGREE_PX, MAX_CORRECTION_NM, MAX_RESIDUAL_PX, MIN_NEIGHBOURS, NM_PER_PX, POSE_ANCHOR)
 from stagelog.session import cut_lineage, release
 
 _KEYS = ["run_id", "component"]
@@ -79,7 +81,7 @@ def _attempted(seeds: DataFrame, grown: DataFrame) -> DataFrame:
 
 def grow_components(
     tiles: DataFrame, edges: DataFrame, triangles: DataFrame, k: int = MIN_NEIGHBOURS,
-    agree_px: float = AGREE_PX, max_correction_nm: float = MAX_CORRECTION_NM, max_seeds: int = MAX_SEEDS,
+    agree_px: float = AGREE_PX, max_correction_nm: float = MAX_CORRECTION_NM, max_seeds: int | None = None,
     max_residual: float = MAX_RESIDUAL_PX, nm_per_px: float = NM_PER_PX, batch: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
     """The run's largest set of tiles that can be placed from one seed triangle.
@@ -88,9 +90,10 @@ def grow_components(
     that lies near its commanded place.  All runs and all connected parts grow
     together, one level of neighbours per round; the result does not depend on
     the order of edges.  Seeds are tried best first, skipping triangles inside a
-    set already grown, at most ``max_seeds`` per run: the best of each part
-    alone, then ``batch`` at a time, of which those inside another's set do not
-    count as tried.
+    set already grown, until no triangle is left: the best of each part alone,
+    then ``batch`` at a time, twice as many each round, of which those inside
+    another's set do not count as tried.  ``max_seeds`` ends it after so many
+    tries per run (the source's number is ``MAX_SEEDS``); larger sets may be lost.
     """
     edges = cut_lineage(edges)
     comp = cut_lineage(connected_components(edges))
@@ -103,9 +106,10 @@ def grow_components(
     limit_px = max_correction_nm / nm_per_px
     best_first = W.partitionBy(*_KEYS).orderBy(F.col("quality").desc(), "l", "m", "r")
     tries: list[DataFrame] = []
-    for wave in range(max_seeds):
+    for wave in count():
+        many = batch << min(wave - 1, 6) if wave else 1
         seeds = cut_lineage(
-            open_tri.withColumn("seed", F.row_number().over(best_first)).where(F.col("seed") <= (batch if wave else 1))
+            open_tri.withColumn("seed", F.row_number().over(best_first)).where(F.col("seed") <= many)
             .select(*_SEED, "l", "m", "r", "quality"))
         if seeds.isEmpty():
             break
@@ -118,12 +122,14 @@ def grow_components(
             grown.select(*_SEED, F.col("tile_id").alias("l")), [*_KEYS, "l"])
         for corner in "mr":
             inside = inside.join(grown.select(*_SEED, F.col("tile_id").alias(corner)), [*_SEED, corner], "left_semi")
-        spent = tries[0].select(*_KEYS, "wave", "seed").distinct()
-        for t in tries[1:]:
-            spent = spent.unionByName(t.select(*_KEYS, "wave", "seed").distinct())
-        spent = spent.groupBy(*_KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= max_seeds)
         left = open_tri.join(inside.select("run_id", "l", "m", "r").distinct(), ["run_id", "l", "m", "r"], "left_anti")
-        older, open_tri = open_tri, cut_lineage(left.join(spent, _KEYS, "left_anti"))
+        if max_seeds is not None:
+            spent = tries[0].select(*_KEYS, "wave", "seed").distinct()
+            for t in tries[1:]:
+                spent = spent.unionByName(t.select(*_KEYS, "wave", "seed").distinct())
+            spent = spent.groupBy(*_KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= max_seeds)
+            left = left.join(spent, _KEYS, "left_anti")
+        older, open_tri = open_tri, cut_lineage(left)
         release(older)
     none = tiles.select("run_id", "tile_id", "x", "y").limit(0)
     if not tries:
@@ -140,10 +146,12 @@ def grow_components(
     fits = cut_lineage(fits)
     score = every.groupBy(*key, "quality").agg(F.count("*").alias("tiles")).join(
         fits.groupBy(*key).agg(F.count("*").alias("edges")), key, "left").fillna(0, ["edges"])
-    tried = W.partitionBy("run_id").orderBy(F.col("quality").desc(), "component", "wave", "seed")
-    ranked = score.withColumn("turn", F.row_number().over(tried)).where(F.col("turn") <= max_seeds)
-    winner = ranked.groupBy("run_id").agg(F.max_by(
-        F.struct("component", "wave", "seed"), F.struct(F.col("tiles"), F.col("edges"), -F.col("turn"))).alias("w")
+    if max_seeds is not None:
+        tried = W.partitionBy("run_id").orderBy(F.col("quality").desc(), "component", "wave", "seed")
+        score = score.withColumn("turn", F.row_number().over(tried)).where(F.col("turn") <= max_seeds)
+    earliest = [F.col("quality"), *[-F.col(c) for c in ("component", "wave", "seed")]]
+    winner = score.groupBy("run_id").agg(F.max_by(
+        F.struct("component", "wave", "seed"), F.struct("tiles", "edges", *earliest)).alias("w")
     ).select("run_id", "w.*")
     return (
         every.join(winner, key, "left_semi").select("run_id", "tile_id", "x", "y"),

@@ -190,3 +190,21 @@ def test_growth_and_refinement(spark):
     assert final.count() >= 3 * len(rows) / 2
     nothing, none = Gr.grow_components(tiles, kept.limit(0), tri.limit(0))
     assert nothing.count() == 0 and none.count() == 0
+
+
+def test_growth_tries_every_seed(spark):
+    """The largest set wins although more than 80 smaller ones have better seeds."""
+    cliques = [(4 * c, 4) for c in range(90)] + [(360, 7)]
+    rows = [("a", start + i, start + j, float(j - i), 0.0, 0.9, 0.1, 0.8 if n == 4 else 0.2, 9 if n == 4 else 1, 0.0)
+            for start, n in cliques for j in range(n) for i in range(j)]
+    edges = spark.createDataFrame(
+        rows, "run_id string, i bigint, j bigint, dx double, dy double, score double, peak_margin double, base_weight double, "
+        "cycle_support bigint, cycle_error_median double")
+    tiles = spark.createDataFrame([("a", t, float(t), 0.0) for t in range(367)], "run_id string, tile_id bigint, x double, y double")
+    tri = spark.createDataFrame(
+        [("a", s + i, s + j, s + k, 0.0) for s, n in cliques for k in range(n) for j in range(k) for i in range(j)],
+        "run_id string, l bigint, m bigint, r bigint, closure_error double")
+    poses, live = Gr.grow_components(tiles, edges, tri)
+    assert sorted(r.tile_id for r in poses.collect()) == list(range(360, 367)) and live.count() == 21
+    capped, _ = Gr.grow_components(tiles, edges, tri, max_seeds=80)
+    assert capped.count() == 4
