@@ -85,8 +85,9 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """``hash, doc, start, n`` of anchors whose gram is in two documents (some twice).
 
     Anchors travel as one binary row a bucket.  What a task already sees in two documents passes through the
-    exchange without being gathered (``hash`` is then half of the gram's, enough to bring contexts together), with one entry left to be compared, so a bucket gathers at most one
-    entry of each hash from each ``CHUNK`` of anchors, however common the gram.
+    exchange without being gathered (``hash`` is then half of the gram's, enough to bring contexts together).  One entry of the least and one of the
+    greatest document are left to be compared, as the parts of one document can lie in two chunks, so a bucket gathers at
+    most two entries of a shared hash from each ``CHUNK`` of anchors, however common the gram.
     """
     def spread(batches):
         held, size = [], 0
@@ -113,10 +114,14 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def flush(held):
         entries, many = _shared(np.concatenate(held))
-        one = many & np.concatenate([[True], entries["hash"][1:] != entries["hash"][:-1]])
-        rows = _sent(entries[~many | one], buckets, 1) + _sent(entries[many & ~one], buckets, 0)
-        # the entry left to be compared is known to be shared as well
-        rows += _sent(entries[one], buckets, 0)
+        ends = np.zeros(len(entries), bool)
+        place = np.flatnonzero(many)
+        if len(place):
+            place = place[np.lexsort([entries["doc"][place], entries["hash"][place]])]
+            new = entries["hash"][place][1:] != entries["hash"][place][:-1]
+            ends[place[np.append(True, new)]] = ends[place[np.append(new, True)]] = True
+        # only compared in the bucket, which returns them too: their documents differ
+        rows = _sent(entries[~many | ends], buckets, 1) + _sent(entries[many & ~ends], buckets, 0)
         for s in range(0, len(rows), 256):
             yield pa.RecordBatch.from_pylist(rows[s:s + 256], pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())]))
 

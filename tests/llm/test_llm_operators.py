@@ -198,6 +198,28 @@ def test_suffixes(docs, none, texts):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_suffixes_of_a_document_in_two_chunks(spark, monkeypatch):
+    """A document has a gram in two chunks, the string another one repeats only in the first."""
+    configure_llm(spark)
+    rng = np.random.default_rng(11)
+
+    def noise(n):
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+
+    def anchor(t):
+        return int(suffixes.anchors([t.encode()])[0][0])
+
+    string = noise(50)
+    gram = next(string[k:k + 24] for k in range(27) if anchor(string[k:k + 24].center(50)) == anchor(string))
+    other = next(t for t in iter(lambda: noise(13) + gram + noise(13), None) if anchor(t) == anchor(string))
+    long = (noise(300) + string + noise(2000))[:2000] + noise(60) + other
+    monkeypatch.setattr(suffixes, "PIECE", 2000)
+    monkeypatch.setattr(suffixes, "CHUNK", 60)
+    for short, removed in ((1, {5: 50, 1: 0}), (9, {5: 0, 9: 50})):
+        rows = spark.createDataFrame([(5, long), (short, string)], "doc_id bigint, text string").coalesce(1)
+        assert {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(rows).collect()} == removed
+
+
 def test_deep_shallow_sorts():
     rng = np.random.default_rng(2)
     rows = rng.integers(97, 99, (500, 50), dtype=np.uint8)
