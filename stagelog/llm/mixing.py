@@ -8,6 +8,7 @@ from stagelog.llm.common import cut_lineage, numbered, release, words
 
 CAP = 3
 DIGIT, LEVELS = 13, 4  # ranks are whole numbers of 52 bits, searched 13 bits at a time
+LAST = (1 << 52) - 1
 
 
 def water_level(sources: DataFrame, total: int) -> tuple[int, int]:
@@ -41,11 +42,12 @@ def mix(
     sizes by weight, none above ``CAP`` times its source.  Of a source that gets r = target / size
     copies of itself, each document gets floor(r) copies for certain.  For the rest of the target,
     documents are ranked by random odds over inclusion odds (Pareto sampling) and taken in that order
-    up to the number of words nearest to it: a fixed size, counted in words.  Inclusion chances are
-    equal, or in proportion to the column ``priority`` (null or below 0: 0), those above 1 being certain.
+    up to the number of words nearest to it: a fixed size, counted in words.  A document that crosses the
+    size is the last one if that is nearer; otherwise it is passed over and those ranked after it go on
+    filling what is left.  Inclusion chances are equal, or in proportion to the column ``priority`` (null or below 0: 0), those above 1 being certain.
 
-    The last rank taken is found digit by digit from sums over (source, digit), so no task holds a
-    source.  Null texts have size 0.  The random number depends on the row's id, source and text:
+    The ranks at which sizes are crossed are found digit by digit from sums over (source, digit), so no
+    task holds a source.  Null texts have size 0.  The random number depends on the row's id, source and text:
     reruns agree, and fully equal rows are taken or left together.  Columns of these names in ``docs``
     are replaced.  An empty table gives an empty result.
     """
@@ -69,10 +71,12 @@ def mix(
     plan = cut_lineage(_with_slope(small, plan, priority is not None))
     ranked = cut_lineage(_on_source(small, plan.select("__s", "slope", "left"), "__s").where("left > 0").select(
         "__s", "size", _rank().alias("__rank")))
-    last = _last_rank(ranked, plan.where("left > 0").select("__s", "left"))
-    plan = cut_lineage(_on_source(plan, last, "__s", "left").withColumn("last", F.coalesce("last", F.lit(-1).cast("bigint"))))
+    ranges = _ranges(ranked, plan.where("left > 0").select("__s", "left"))
+    plan = cut_lineage(_on_source(plan, ranges, "__s", "left"))
     out = _on_source(base, plan.drop("left"), source)
-    more = (F.col("last") >= 0) & (_rank() <= F.col("last")) & (F.col("copies") < CAP)
+    out = out.withColumn("__rank", _rank())
+    chosen = F.exists("ranges", lambda r: (F.col("__rank") > r["lo"]) & (F.col("__rank") <= r["hi"]) & (F.col("size") <= r["most"]))
+    more = F.coalesce(chosen, F.lit(False)) & (F.col("copies") < CAP)
     out = out.withColumn("copies", F.col("copies") + more.cast("bigint"))
     for df in (small, sums, ranked):
         release(df)
@@ -108,11 +112,43 @@ def _rank() -> Column:
     """Random odds over inclusion odds, mapped to whole numbers of 52 bits in the same order."""
     p = F.least(F.col("slope") * F.col("__w"), F.lit(1.0))
     q = F.col("__u") * (1 - p) / (F.col("__u") * (1 - p) + (1 - F.col("__u")) * p)
-    return F.when(p <= 0, F.lit((1 << 52) - 1)).otherwise(F.least(F.floor(q * float(1 << 52)), F.lit((1 << 52) - 1))).cast("bigint")
+    return F.when(p <= 0, F.lit(LAST)).otherwise(F.least(F.floor(q * float(1 << 52)), F.lit(LAST))).cast("bigint")
 
 
-def _last_rank(ranked: DataFrame, plan: DataFrame) -> DataFrame:
-    """The last rank to take of each source: (``__s``, ``last``), absent where none is taken.
+def _ranges(ranked: DataFrame, plan: DataFrame) -> DataFrame:
+    """(``__s``, ``ranges``): documents of a rank in (lo, hi] and a size up to ``most`` are taken.
+
+    Each round goes on behind the document that was passed over, with the words left and the documents
+    that can still be taken: those of at most twice as many words.  What is left shrinks below half of the
+    one passed over, so the rounds are few.  Documents without a chance do not fill what another left.
+    """
+    state, rest, steps = plan.withColumn("lo", F.lit(-1).cast("bigint")), ranked, []
+    while True:
+        state = cut_lineage(state)
+        older, rest = rest, cut_lineage(_on_source(rest, state, "__s").where(
+            (F.col("size") <= 2 * F.col("left")) & (F.col("__rank") > F.col("lo")) & ((F.col("lo") < 0) | (F.col("__rank") < LAST))
+        ).select("__s", "size", "__rank"))
+        if steps:
+            release(older)
+        found = _crossing(rest, state.select("__s", "left")).withColumnRenamed("left", "__left")
+        nearer = F.col("after") - F.col("left") <= F.col("left") - F.col("before")
+        end = F.when(F.col("lo") < 0, F.lit(LAST)).otherwise(F.lit(LAST - 1))
+        step = cut_lineage(_on_source(state, found, "__s", "left").select(
+            "__s", "left", "lo", "last", "before", nearer.alias("nearer"),
+            F.when(F.col("last").isNull(), end).when(nearer, F.col("last")).otherwise(F.col("last") - 1).cast("bigint").alias("hi")))
+        steps.append(step.select("__s", F.struct("lo", "hi", (2 * F.col("left")).alias("most")).alias("r")))
+        state = step.where("NOT nearer AND left > before").select("__s", (F.col("left") - F.col("before")).alias("left"), F.col("last").alias("lo"))
+        if state.isEmpty():
+            break
+    release(rest)
+    every = steps[0]
+    for s in steps[1:]:
+        every = every.unionByName(s)
+    return cut_lineage(every.groupBy("__s").agg(F.collect_list("r").alias("ranges")))
+
+
+def _crossing(ranked: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rank at which each source's sizes pass ``left``: (``__s``, ``left``, ``last``) with the sums before and after it, absent where all are less.
 
     Each level sums sizes by the next digit of the rank, within the digits already fixed, and fixes
     the digit in which the sum passes ``left``; the window holds one source's digits, 2**13 rows at most.
@@ -129,5 +165,4 @@ def _last_rank(ranked: DataFrame, plan: DataFrame) -> DataFrame:
                                          F.col("f.after").alias("after")))
         if level < LEVELS - 1:
             state = state.drop("after")
-    nearer = F.col("after") - F.col("left") <= F.col("left") - F.col("before")
-    return state.select("__s", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("last"))
+    return state.withColumnRenamed("prefix", "last")

@@ -100,6 +100,16 @@ def test_mix_with_unequal_chances(docs):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
 
 
+def test_mix_goes_on_behind_a_large_document(spark):
+    """A document larger than what is left is passed over; those ranked after it fill the size."""
+    configure_llm(spark)
+    for k in range(3):
+        texts = [("a", 700), *[("a", 10)] * 40, *[("b", 10)] * 35, *[("c", 10)] * 35]
+        rows = [(i, " ".join([f"w{k}"] * n), s) for i, (s, n) in enumerate(texts)]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).where("source = 'a'").collect()
+        assert abs(got[0]["target"] - 300) < 1e-9 and sum(r["taken"] for r in got) == 300 and all(r["copies"] <= 1 for r in got)
+
+
 def test_chats(spark):
     rows = [
         (1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "bot", "yes"), (3, 0, "user", "hi"), (3, 1, "bot", "yes"), (3, 2, "user", "more"),
