@@ -30,14 +30,19 @@ def prefix_length(n: int) -> int:
 
 
 def vertices(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, v, n``: a key of each row's shingle set and the set's size; empty sets have size 0."""
+    """``doc_id, text_key, v, n``: a key of each row's shingle set and the set's size; empty sets have size 0."""
     def run(batches):
         for b in batches:
             found = [_vertex(s) for s in _sets(_encoded(b, text))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([v for v, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "v", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([v for v, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "text_key", "v", "n"])
 
-    schema = docs.select("doc_id", F.lit(0).cast("bigint").alias("v"), F.lit(0).cast("bigint").alias("n")).schema
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    key = _text_key(text).alias("text_key")
+    schema = docs.select("doc_id", key, F.lit(0).cast("bigint").alias("v"), F.lit(0).cast("bigint").alias("n")).schema
+    return docs.select("doc_id", text, key).mapInArrow(run, schema)
+
+
+def _text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _sets(texts: list[bytes]):
@@ -110,14 +115,14 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb")
 
     def run(batches):
-        b_key, b_set = None, None
+        b_text, b_set = None, None
         for batch in batches:
             rows = batch.select(["a", "b", "na", "nb"]).to_pydict()
             o, right = [], batch.column("tb")
             for k, (a, b, s) in enumerate(zip(rows["a"], rows["b"], _sets(_encoded(batch, "ta")))):
-                if b != b_key:  # pairs of one leader arrive together
-                    b_key, b_set = b, next(_sets([(right[k].as_py() or "").encode()]))
-                same = _vertex(s)[0] == a and _vertex(b_set)[0] == b  # a repeated id can bring another text
+                if right[k] != b_text:  # pairs of one leader arrive together
+                    b_text, b_set = right[k], next(_sets([(right[k].as_py() or "").encode()]))
+                same = _vertex(s)[0] == a and _vertex(b_set)[0] == b
                 o.append(len(np.intersect1d(s, b_set, assume_unique=True)) if same else 0)
             yield pa.RecordBatch.from_pydict(rows | {"o": o}, schema)
 
@@ -130,10 +135,11 @@ def _linked() -> Column:
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """``v, t``: a text of each wanted vertex, that of the smallest id."""
-    rep = cut_lineage(ids.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("doc_id").alias("d")))
-    rows = docs.select("doc_id", F.col(text).alias("t"))
-    return cut_lineage(rows.join(rep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d"))).select("v", "t"))
+    """``v, t``: the text of each wanted vertex, that of the smallest id and text key; null ids come last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("d")
+    rep = cut_lineage(ids.join(wanted, "v", "left_semi").groupBy("v").agg(first).select("v", F.col("d.doc_id").alias("d"), F.col("d.text_key").alias("tk")))
+    rows = docs.select("doc_id", _text_key(text).alias("text_key"), F.col(text).alias("t"))
+    return cut_lineage(rows.join(rep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("tk"))).select("v", "t"))
 
 
 def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -158,6 +164,14 @@ def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     Fully repeated rows each get a row; null ids count only where a component has no other id; other
     columns are ignored.
     """
+    rows = _grouped(docs, text)
+    least = cut_lineage(rows.where("n > 0").groupBy("g").agg(F.min("doc_id").alias("least")).withColumnRenamed("g", "k"))
+    out = rows.join(least, (F.col("g") == F.col("k")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, text: str) -> DataFrame:
+    """``doc_id, text_key, n, g`` of every row: the size of its set and the key of its component."""
     ids = cut_lineage(vertices(docs, text))
     hot = hot_shingles(docs, text)
     entries = index_entries(docs, hot, text)
@@ -205,10 +219,7 @@ def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
         release(df)
 
     rows = ids.join(final.withColumnRenamed("tile_id", "v"), "v", "left").withColumn("g", F.coalesce("component", "v"))
-    rows = cut_lineage(rows.select("doc_id", "n", "g"))
-    least = cut_lineage(rows.where("n > 0").groupBy("g").agg(F.min("doc_id").alias("least")).withColumnRenamed("g", "k"))
-    out = rows.join(least, (F.col("g") == F.col("k")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return cut_lineage(rows.select("doc_id", "text_key", "n", "g"))
 
 
 def _sized(pairs: DataFrame, size_of: DataFrame) -> DataFrame:
@@ -238,8 +249,16 @@ def _not_derived(rest: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """The documents whose id is that of their component, with all columns; rows without shingles or id stay, and so do
-    repeated rows of a document that stays."""
-    found = components(docs.select("doc_id", text), text=text).where("n_shingles > 0 and doc_id <> component_id").select(
-        F.col("doc_id").alias("__d")).distinct()
-    return docs.join(cut_lineage(found), F.col("doc_id") == F.col("__d"), "left_anti")
+    """One row of each component, with all columns, and all rows without shingles.
+
+    The row has the component's smallest (doc_id, text hash), null ids last.  Rows that repeat that id and
+    text are one row; which one is arbitrary where their other columns differ.
+    """
+    rows = _grouped(docs.select("doc_id", text), text)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("d")
+    kept = rows.where("n > 0").groupBy("g").agg(first).select(F.col("d.doc_id").alias("__d"), F.col("d.text_key").alias("__t"), F.lit(True).alias("__one"))
+    bare = rows.where("n = 0").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), F.lit(False).alias("__one")).distinct()
+    keyed = docs.withColumn("__k", _text_key(text))
+    found = keyed.join(cut_lineage(kept.unionByName(bare)).hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__t")))
+    return found.where("NOT __one").select(*docs.columns).unionByName(
+        found.where("__one").dropDuplicates(["doc_id", "__k"]).select(*docs.columns))

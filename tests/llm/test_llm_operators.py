@@ -192,6 +192,17 @@ def test_set_join(docs, none, texts):
     assert kept == {i for i, (n, c) in enumerate(components(texts)) if c == i or not n}
 
 
+def test_one_of_each_by_id_and_text(spark):
+    """Ids with two texts, null ids and repeated rows: one row of each component is left."""
+    configure_llm(spark)
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(30)) for c in "abcd")
+    rows = [(1, one), (2, one + " tail"), (2, two), (None, three), (None, three), (None, three + " tail"), (4, four), (4, four), (5, ""), (5, "")]
+    got = setjoin.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    left = Counter((r["doc_id"], r["text"]) for r in got)
+    assert {t for d, t in left if d is None} <= {three, three + " tail"} and sum(n for (d, _), n in left.items() if d is None) == 1
+    assert {k: n for k, n in left.items() if k[0] is not None} == {(1, one): 1, (2, two): 1, (4, four): 1, (5, ""): 2}
+
+
 def test_suffixes(docs, none, texts):
     got, seen = by_id(suffixes.remove_repeats(docs, rest=True)), set()
     for i, t in enumerate(texts):
