@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagelog.llm import chats, convnet, decontaminate, katz, mixing, rules, setjoin, suffixes, token_counts, warc
+from stagelog.llm import alignment, chats, convnet, decontaminate, katz, languages, mixing, rules, setjoin, spelling, suffixes, token_counts, warc
 from stagelog.llm.common import configure_llm, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,25 @@ def op7_suffix_dedup(spark, folder):
 def op3_katz_scores(spark, folder):
     """Log probability of every text under a backoff model of the training texts."""
     return katz.score(table(spark, folder, "documents"))
+
+
+@query
+def op11_spelling_variants(spark, folder):
+    """Words of all documents, their near words and common forms."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query
+def op12_tokenizer_alignment(spark, folder):
+    """Two tokenizers aligned over every text, with corpus-wide counts of linked tokens."""
+    found, _ = alignment.align_and_count(table(spark, folder, "documents"))
+    return found
+
+
+@query
+def op13_language(spark, folder):
+    """Language of every document by the shortest code."""
+    docs = table(spark, folder, "documents")
+    trees = languages.learn(docs.where(~languages.held_out(F.col("doc_id"))).select("text", "lang"))
+    found = languages.predict(docs.select("doc_id", "text"), trees)
+    return found.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
