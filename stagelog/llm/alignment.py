@@ -29,36 +29,28 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def character_ends(offsets: list[tuple[int, int]], raws: list[bytes], part: str) -> list[int]:
-    """Byte ends of tokens from their character offsets; tokens that share a character are cut by their bytes."""
-    if part.isascii():
-        return [end for _, end in offsets]
-    place = np.cumsum([0, *[len(c.encode()) for c in part]]).tolist()
-    ends, at, reached = [], 0, 0
-    for (start, end), raw in zip(offsets, raws):
-        if start >= reached:  # a cut between characters
-            at = place[start]
-        at += len(raw)
-        reached = max(reached, end)
-        ends.append(at)
-    return ends
-
-
-def span_ends(ends: list[int], raws: list[bytes], size: int) -> list[int]:
-    """Byte ends of pieces from their spans, moved by the leading space; byte tokens inside one character,
-    whose spans are empty or cover all of it, are cut by their bytes."""
-    out, at = [], 0
-    for end, raw in zip(ends, raws):
-        at = end + 1 if end + 1 == at + len(raw) else at + len(raw)
-        out.append(at)
-    return out if not out or out[-1] == size else []
+def character_ends(ids_offsets: np.ndarray, sizes: np.ndarray, data: bytes) -> np.ndarray:
+    """Byte ends of tokens from their character offsets; tokens that share a character are cut by their own bytes."""
+    place = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))
+    begin, end = place[ids_offsets].T
+    return np.where(end - begin == sizes, end, np.cumsum(sizes))
+
+
+def span_ends(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of pieces from their spans, moved by the leading space; byte tokens inside a character, whose
+    spans are empty or cover all of it, are cut by their own bytes."""
+    begin, end = spans.T + 1
+    begin = begin.copy()
+    begin[:1] = 0
+    return np.where(end - begin == sizes, end, np.cumsum(sizes))
 
 
 class Aligner:
     """Tokens of both vocabularies over parts of texts; a worker keeps what it has worked out.
 
     Both vocabularies always start a token before a single space that follows and precedes other
-    characters (for the second this is read off its pieces), so a text can be aligned part by part.
+    characters (for the second this is read off its pieces), so a text can be aligned part by part, and
+    many parts in one go.
     """
 
     def __init__(self, path_a: str | None, path_b: str | None, remembered: int):
@@ -71,15 +63,44 @@ class Aligner:
             path_a, path_b = path_a or public_tokenizers.path(VOCABULARY_A), path_b or public_tokenizers.path(VOCABULARY_B)
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
-        letters = byte_of_letter()
-        self.bytes_a = {}
-        for entry, k in self.a.get_vocab(with_added_tokens=True).items():
+        letters, entries = byte_of_letter(), self.a.get_vocab(with_added_tokens=True)
+        self.bytes_a = [b""] * (max(entries.values()) + 1)
+        for entry, k in entries.items():
             self.bytes_a[k] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(pieces)]
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
-        self.remembered, self.known = remembered, {}
+        self.size_a, self.size_b = (np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b))
+        numbers = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.written = np.array([[n + mark for n in numbers] for mark in (",", "|", ";", "\n")], dtype=object)
+        self.remembered = remembered
+        self._forget(np.zeros(0, int), [])
+
+    def _forget(self, kept: np.ndarray, names: list[str]) -> None:
+        """Start anew with the parts at the places ``kept``."""
+        if len(kept):
+            figures, pairs = self.figures[kept], self.pairs_of(kept)
+            spelt = [self.spelt[k] for k in kept]
+        else:
+            figures, pairs, spelt = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), []
+        self.known = {name: k for k, name in enumerate(names)}
+        self.figures, self.pairs, self.spelt = figures, pairs, spelt
+        self.first = np.cumsum(figures[:, 3]) - figures[:, 3]
+        self.hits = np.zeros(len(kept), np.int64)
+
+    def _add(self, names: list[str], figures: np.ndarray, pairs: np.ndarray, spelt: list[str | None]) -> None:
+        self.first = np.append(self.first, len(self.pairs) + np.cumsum(figures[:, 3]) - figures[:, 3])
+        self.figures, self.pairs = np.concatenate([self.figures, figures]), np.append(self.pairs, pairs)
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names))))
+        self.spelt += spelt
+        self.hits = np.append(self.hits, np.zeros(len(names), np.int64))
+
+    def pairs_of(self, at: np.ndarray) -> np.ndarray:
+        """The linked pairs of the parts at ``at``, one after the other."""
+        size = self.figures[at, 3]
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return self.pairs[np.repeat(self.first[at], size) + within]
 
     def parts(self, text: str | None) -> list[str]:
         """Space and text, cut at safe boundaries; none for null and empty texts."""
@@ -88,34 +109,55 @@ class Aligner:
         return SAFE.split(f" {text}") if self.cuts else [f" {text}"]
 
     def learn(self, parts: set[str], batch_bytes: int = 256 << 10) -> None:
-        """Work out ``parts`` not yet known: ids and groups as text, byte lengths of groups, linked pairs;
-        None where joined tokens are not the part."""
+        """Work out ``parts`` not yet known: sizes, linked pairs, and groups as text (None where joined tokens
+        are not the part).  Beyond ``remembered`` parts only those that came up in two calls stay."""
         if len(self.known) > self.remembered:
-            self.known.clear()
-        for batch in byte_batches(sorted(parts - self.known.keys(), key=len), batch_bytes):
-            spans = self.b.encode([p[1:] for p in batch], num_threads=1, return_type="proto")
-            for part, a, b in zip(batch, self.a.encode_batch(batch, add_special_tokens=False), spans):
-                self.known[part] = self._aligned(part, a.ids, a.offsets, [(p.id, p.end) for p in b.pieces])
-
-    def _aligned(self, part, ids_a, offsets, pieces):
-        ids_b = [k for k, _ in pieces]
-        raw_a, raw_b = [self.bytes_a[k] for k in ids_a], [self.bytes_b[k] for k in ids_b]
-        data = part.encode()
-        if b"".join(raw_a) != data or b"".join(raw_b) != data:
-            return None
-        ends_a, ends_b = character_ends(offsets, raw_a, part), span_ends([e for _, e in pieces], raw_b, len(data))
-        pairs, groups, sizes = [], [], []
-        i = j = first_i = first_j = began = 0
-        while i < len(ids_a):
-            pairs.append(ids_a[i] << 32 | ids_b[j])
-            x, y = ends_a[i], ends_b[j]
-            i += x <= y
-            j += y <= x
-            if x == y:
-                groups.append(",".join(map(str, ids_a[first_i:i])) + "|" + ",".join(map(str, ids_b[first_j:j])))
-                sizes.append(x - began)
-                first_i, first_j, began = i, j, x
-        return (len(ids_a), len(ids_b), len(groups), len(pairs)), ";".join(groups), tuple(sizes), tuple(pairs)
+            names = list(self.known)
+            kept = np.flatnonzero(self.hits > 1)
+            kept = kept if len(kept) <= self.remembered // 2 else kept[:0]
+            self._forget(kept, [names[k] for k in kept])
+        new = sorted(parts - self.known.keys(), key=len)
+        joined = [p for p in new if not p[1].isspace() and not p[-1].isspace()] if self.cuts else []
+        made = []
+        for batch in byte_batches(joined, batch_bytes):
+            made += self._aligned(batch)
+        for part in set(new).difference(joined):
+            made += self._aligned([part])
+        if made:
+            names, figures, pairs, spelt = zip(*made)
+            self._add([x for n in names for x in n], np.concatenate(figures), np.concatenate(pairs), [x for s in spelt for x in s])
+        self.hits[[self.known[p] for p in parts]] += 1
+
+    def _aligned(self, batch: list[str]) -> list[tuple]:
+        """Names, sizes, linked pairs and groups of parts, encoded as one text."""
+        text = "".join(batch)
+        data = text.encode()
+        a = self.a.encode(text, add_special_tokens=False)
+        pieces = self.b.encode(text[1:], num_threads=1, return_type="proto").pieces
+        ids_a, spans = np.array(a.ids), np.array([(p.id, p.begin, p.end) for p in pieces])
+        ids_b = spans[:, 0]
+        spelt_alike = b"".join(map(self.bytes_a.__getitem__, a.ids)) == data == b"".join(map(self.bytes_b.__getitem__, ids_b.tolist()))
+        if spelt_alike:
+            ends_a = character_ends(np.array(a.offsets), self.size_a[ids_a], data)
+            ends_b = span_ends(spans[:, 1:], self.size_b[ids_b])
+            bounds = np.cumsum([len(p.encode()) for p in batch])
+            cuts = np.intersect1d(ends_a, ends_b)
+            spelt_alike = bool(np.isin(bounds, cuts).all())
+        if not spelt_alike:
+            if len(batch) == 1:
+                return [(batch, np.zeros((1, 4), np.int64), np.zeros(0, np.int64), [None])]
+            half = len(batch) // 2
+            return self._aligned(batch[:half]) + self._aligned(batch[half:])
+        ends = np.union1d(ends_a, ends_b)
+        pairs = ids_a[np.searchsorted(ends_a, ends)] << 32 | ids_b[np.searchsorted(ends_b, ends)]
+        figures = np.stack([np.diff(np.searchsorted(x, bounds, side="right"), prepend=0) for x in (ends_a, ends_b, cuts, ends)], axis=1)
+        # tokens in the order groups are written, each with the mark that follows it
+        marks = [np.where(np.isin(x, cuts), 1 + side, 0) for side, x in enumerate((ends_a, ends_b))]
+        marks[1][np.isin(ends_b, bounds)] = 3
+        group = np.concatenate([2 * np.searchsorted(cuts, ends_a), 2 * np.searchsorted(cuts, ends_b) + 1])
+        order = np.argsort(group, kind="stable")
+        written = "".join(self.written[np.concatenate(marks), np.concatenate([ids_a, ids_b])][order])
+        return [(batch, figures, pairs, written.split("\n")[:-1])]
 
 
 def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
@@ -156,7 +198,7 @@ def chunks(batches, limit: int) -> Iterator[pa.RecordBatch]:
 
 
 def align(
-    docs: DataFrame, *, path_a: str | None = None, path_b: str | None = None, remembered: int = 150_000,
+    docs: DataFrame, *, path_a: str | None = None, path_b: str | None = None, remembered: int = 300_000,
 ) -> DataFrame:
     """``docs`` with ``groups``: for each group its byte range in space and text, and the tokens of both sides.
 
@@ -171,14 +213,13 @@ def align(
     def of(text, tool):
         parts = tool.parts(text)
         tool.learn(set(parts))
-        found, at, out = [tool.known[p] for p in parts], 0, []
+        found, at, out = [tool.spelt[tool.known[p]] for p in parts], 0, []
         if None in found:
             return []
-        for _, groups, sizes, _ in found:
-            for group, size in zip(groups.split(";"), sizes):
-                a, b = ([int(k) for k in side.split(",")] for side in group.split("|"))
-                out.append({"begin": at, "end": at + size, "a": a, "b": b})
-                at += size
+        for group in (g for groups in found for g in groups.split(";")):
+            a, b = ([int(k) for k in side.split(",")] for side in group.split("|"))
+            out.append({"begin": at, "end": at + int(tool.size_a[a].sum()), "a": a, "b": b})
+            at = out[-1]["end"]
         return out
 
     def run(batches):
@@ -195,17 +236,18 @@ def _tally(batch: pa.RecordBatch, tool: Aligner):
     texts = batch.column("text").to_pylist()
     parts = [tool.parts(t) for t in texts]
     tool.learn(set().union(*parts))
-    parts = [[] if any(tool.known[p] is None for p in set(own)) else own for own in parts]
+    spelt = {p: tool.spelt[tool.known[p]] for p in set().union(*parts)}
+    odd = {p for p, x in spelt.items() if x is None}
+    if odd:
+        parts = [[] if odd.intersection(own) else own for own in parts]
     place: dict[str, int] = {}
     ids = np.array([place.setdefault(p, len(place)) for own in parts for p in own], dtype=np.int64)
-    found = [tool.known[p] for p in place]
+    at = np.array([tool.known[p] for p in place], dtype=np.int64)
     owner = np.repeat(np.arange(len(texts)), [len(own) for own in parts])
-    figures = np.array([f[0] for f in found], dtype=np.int64).reshape(-1, 4)
+    figures = tool.figures[at]
     sums = [np.bincount(owner, figures[ids, k], len(texts)).astype(np.int64) for k in range(4)]
-    spelt = {p: f[1] for p, f in zip(place, found)}
     digests = [hashlib.sha256(";".join(map(spelt.__getitem__, own)).encode()).hexdigest() if own else "" for own in parts]
-    flat = np.fromiter((x for f in found for x in f[3]), dtype=np.int64, count=int(figures[:, 3].sum()))
-    codes, local = np.unique(flat, return_inverse=True)
+    codes, local = np.unique(tool.pairs_of(at), return_inverse=True)
     first = np.cumsum(figures[:, 3]) - figures[:, 3]
     seen, times = np.unique(owner * max(len(place), 1) + ids, return_counts=True)
     doc, part = np.divmod(seen, max(len(place), 1))
@@ -250,7 +292,7 @@ def tally_links(docs: DataFrame, path_a, path_b, remembered: int, chunk_bytes: i
 
 def align_and_count(
     docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), path_a: str | None = None, path_b: str | None = None,
-    remembered: int = 150_000, chunk_bytes: int = CHUNK,
+    remembered: int = 300_000, chunk_bytes: int = CHUNK,
 ) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs`` the sizes of its alignment and how common its links are; the counts of all id pairs.
 
