@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from stagelog.llm.common import cut_lineage, release
 
 ORDER = 4  # bytes of context
-CELLS = 1 << 24  # longest contexts' grams times languages held in a task
+CELLS = 1 << 22  # longest contexts' grams times languages held in a task
 PAD = 0xFF  # stands before a text; no byte of UTF-8
 PIECE = 1 << 20  # bytes scored or counted at once
 FLUSH = 1 << 21  # distinct grams tallied before they leave the task
@@ -86,14 +86,16 @@ def frequent(counts: DataFrame, cells: int) -> DataFrame:
     """The grams of each language from the least count on at which they fit its share of ``cells``.
 
     With x languages each keeps at most cells / x**2 grams, so that all grams times all languages stay within
-    ``cells``.  Grams of equal count are kept or left out together.  The windows see one row a language and count.
+    ``cells``, and at most 2,048 languages keep any (more than the square root of ``cells`` is no use), so the row a
+    language that is broadcast is bounded, too.  Grams of equal count are kept or left out together.  The window
+    sees one row a language and count.
     """
     sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("rows"))
     above = W.partitionBy("lang").orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, 0)
     many = counts.select("lang").distinct().agg(F.count("*").alias("langs"))
     least = sizes.withColumn("rows", F.sum("rows").over(above)).join(F.broadcast(many)).where(  # one row
         F.col("rows") * F.col("langs") * F.col("langs") <= cells).groupBy("lang").agg(F.min("n").alias("least"))
-    return counts.join(least, "lang").where(F.col("n") >= F.col("least")).select("lang", "gram", "n")
+    return counts.join(F.broadcast(least), "lang").where(F.col("n") >= F.col("least")).select("lang", "gram", "n")
 
 
 def context_trees(docs: DataFrame, *, order: int = ORDER, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
