@@ -174,8 +174,7 @@ def refine_consensus(
         main = cut_lineage(largest_component(connected_components(core)))
         live = cut_lineage(keep_edges(core, main))
         targets = tiles.select("run_id", "tile_id", "x", "y").join(main, ["run_id", "tile_id"], "left_semi")
-        solved = solve_poses(targets, live, prior=0.0, anchor=anchor, **extra)
-        current = cut_lineage(solved)
+        current = cut_lineage(solve_poses(targets, live, prior=0.0, anchor=anchor, **extra).drop("converged"))
     _, final = consensus_core(current, live, k, max_residual)
     deg = degrees(final)
     return current.join(deg, ["run_id", "tile_id"]), final

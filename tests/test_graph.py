@@ -131,16 +131,45 @@ def dense_solve(t, e, prior=0.02, anchor=2.0, rounds=5, huber=6.0):
     return pose
 
 
+def as_array(df, t):
+    out = df.toPandas().sort_values("tile_id")
+    assert len(out) == len(t)
+    return out[["x", "y"]].to_numpy(), out["converged"]
+
+
 def test_solve(spark):
     _, t, e, tiles, edges = graph(spark, noise=0.3, outliers=0.1)
-    want = dense_solve(t, e)
-    got = So.solve_poses(tiles, edges).toPandas().sort_values("tile_id")
-    assert np.abs(got[["x", "y"]].to_numpy() - want).max() < 1e-3
-    one = dense_solve(t, e, rounds=1)
-    far = So.solve_poses(tiles, edges, irls=1, local_edges=0).toPandas().sort_values("tile_id")
-    assert np.abs(far[["x", "y"]].to_numpy() - one).max() < 1e-3
-    still = So.solve_poses(tiles, edges.limit(0)).toPandas().sort_values("tile_id")
-    assert np.allclose(still[["x", "y"]], t[["x", "y"]])
+    for rounds in (1, 5):
+        want = dense_solve(t, e, rounds=rounds)
+        got, done = as_array(So.solve_poses(tiles, edges, irls=rounds), t)
+        assert np.abs(got - want).max() < 1e-6 and done.all()
+    still, done = as_array(So.solve_poses(tiles, edges.limit(0)), t)
+    assert np.allclose(still, t[["x", "y"]]) and done.all()
+
+
+@pytest.mark.parametrize("limits", [dict(local_edges=0), dict(block=4), dict(block=9)])
+def test_solve_by_levels_agrees(spark, limits):
+    """One, two and more levels of blocks give what the dense solve gives."""
+    _, t, e, tiles, edges = graph(spark, noise=0.3, outliers=0.1)
+    want = dense_solve(t, e, rounds=2)
+    got, done = as_array(So.solve_poses(tiles, edges, irls=2, **limits), t)
+    assert np.abs(got - want).max() < 1e-4 and done.all()
+
+
+def test_solve_says_where_it_did_not_converge(spark):
+    _, t, e, tiles, edges = graph(spark, noise=0.3, outliers=0.1)
+    _, done = as_array(So.solve_poses(tiles, edges, irls=1, block=4, cg_iters=1), t)
+    assert not done.any()
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_solve_of_what_nothing_holds(spark, block):
+    """Without a pull, differences are those of the measured ones and the mean stays where commanded."""
+    _, t, e, tiles, edges = graph(spark, noise=0.0, outliers=0.0)
+    got, done = as_array(So.solve_poses(tiles, edges, prior=0.0, anchor=0.0, irls=1, block=block, tol=1e-9), t)
+    gap = got[e["j"]] - got[e["i"]] - e[["dx", "dy"]].to_numpy()
+    assert np.abs(gap).max() < 1e-4 and done.all()
+    assert np.abs(got.mean(0) - t[["x", "y"]].to_numpy().mean(0)).max() < 1e-4
 
 
 def sequential_growth(t, edges, seed, k=3):
