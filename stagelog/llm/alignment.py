@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ SPACE = "▁"  # how pieces write a space
 CHUNK = 4 << 20  # bytes of text whose tokens are tallied together
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 _ALIGNERS: dict = {}
+_SPAN = attrgetter("id", "begin", "end")
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -134,26 +137,32 @@ class Aligner:
         data = text.encode()
         a = self.a.encode(text, add_special_tokens=False)
         pieces = self.b.encode(text[1:], num_threads=1, return_type="proto").pieces
-        ids_a, spans = np.array(a.ids), np.array([(p.id, p.begin, p.end) for p in pieces])
+        ids_a, n_b = np.array(a.ids), len(pieces)
+        spans = np.fromiter(chain.from_iterable(map(_SPAN, pieces)), np.int64, 3 * n_b).reshape(n_b, 3)
         ids_b = spans[:, 0]
         spelt_alike = b"".join(map(self.bytes_a.__getitem__, a.ids)) == data == b"".join(map(self.bytes_b.__getitem__, ids_b.tolist()))
         if spelt_alike:
-            ends_a = character_ends(np.array(a.offsets), self.size_a[ids_a], data)
+            offsets = np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(ids_a)).reshape(-1, 2)
+            ends_a = character_ends(offsets, self.size_a[ids_a], data)
             ends_b = span_ends(spans[:, 1:], self.size_b[ids_b])
-            bounds = np.cumsum([len(p.encode()) for p in batch])
-            cuts = np.intersect1d(ends_a, ends_b)
-            spelt_alike = bool(np.isin(bounds, cuts).all())
+            bounds = np.cumsum([len(p) for p in batch] if len(text) == len(data) else [len(p.encode()) for p in batch])
+            ends_of_a, ends_of_b = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+            ends_of_a[ends_a] = ends_of_b[ends_b] = True
+            is_cut = ends_of_a & ends_of_b
+            spelt_alike = bool(is_cut[bounds].all())
         if not spelt_alike:
             if len(batch) == 1:
                 return [(batch, np.zeros((1, 4), np.int64), np.zeros(0, np.int64), [None])]
             half = len(batch) // 2
             return self._aligned(batch[:half]) + self._aligned(batch[half:])
-        ends = np.union1d(ends_a, ends_b)
+        ends, cuts = np.flatnonzero(ends_of_a | ends_of_b), np.flatnonzero(is_cut)
         pairs = ids_a[np.searchsorted(ends_a, ends)] << 32 | ids_b[np.searchsorted(ends_b, ends)]
         figures = np.stack([np.diff(np.searchsorted(x, bounds, side="right"), prepend=0) for x in (ends_a, ends_b, cuts, ends)], axis=1)
         # tokens in the order groups are written, each with the mark that follows it
-        marks = [np.where(np.isin(x, cuts), 1 + side, 0) for side, x in enumerate((ends_a, ends_b))]
-        marks[1][np.isin(ends_b, bounds)] = 3
+        marks = [np.where(is_cut[x], 1 + side, 0) for side, x in enumerate((ends_a, ends_b))]
+        last = np.zeros(len(data) + 1, bool)
+        last[bounds] = True
+        marks[1][last[ends_b]] = 3
         group = np.concatenate([2 * np.searchsorted(cuts, ends_a), 2 * np.searchsorted(cuts, ends_b) + 1])
         order = np.argsort(group, kind="stable")
         written = "".join(self.written[np.concatenate(marks), np.concatenate([ids_a, ids_b])][order])
@@ -198,7 +207,7 @@ def chunks(batches, limit: int) -> Iterator[pa.RecordBatch]:
 
 
 def align(
-    docs: DataFrame, *, path_a: str | None = None, path_b: str | None = None, remembered: int = 300_000,
+    docs: DataFrame, *, path_a: str | None = None, path_b: str | None = None, remembered: int = 600_000,
 ) -> DataFrame:
     """``docs`` with ``groups``: for each group its byte range in space and text, and the tokens of both sides.
 
@@ -232,31 +241,31 @@ def align(
 
 
 def _tally(batch: pa.RecordBatch, tool: Aligner):
-    """Figures and digests of a chunk's texts, and (text, pair, links) over the chunk's distinct pairs."""
+    """Figures and digests of a chunk's texts, the chunk's distinct pairs, and (text, pair, links), a row for each
+    pair of each distinct part of a text."""
     texts = batch.column("text").to_pylist()
     parts = [tool.parts(t) for t in texts]
-    tool.learn(set().union(*parts))
-    spelt = {p: tool.spelt[tool.known[p]] for p in set().union(*parts)}
-    odd = {p for p, x in spelt.items() if x is None}
-    if odd:
-        parts = [[] if odd.intersection(own) else own for own in parts]
-    place: dict[str, int] = {}
-    ids = np.array([place.setdefault(p, len(place)) for own in parts for p in own], dtype=np.int64)
-    at = np.array([tool.known[p] for p in place], dtype=np.int64)
+    flat = list(chain.from_iterable(parts))
+    tool.learn(set(flat))
+    known = np.fromiter(map(tool.known.__getitem__, flat), np.int64, len(flat))
     owner = np.repeat(np.arange(len(texts)), [len(own) for own in parts])
+    odd = tool.figures[known, 3] == 0
+    if odd.any():
+        sound = ~np.isin(owner, owner[odd])
+        known, owner = known[sound], owner[sound]
+    at, ids = np.unique(known, return_inverse=True)
     figures = tool.figures[at]
     sums = [np.bincount(owner, figures[ids, k], len(texts)).astype(np.int64) for k in range(4)]
-    digests = [hashlib.sha256(";".join(map(spelt.__getitem__, own)).encode()).hexdigest() if own else "" for own in parts]
+    spelt, bounds, places = [tool.spelt[k] for k in at], np.searchsorted(owner, np.arange(len(texts) + 1)).tolist(), ids.tolist()
+    digests = [hashlib.sha256(";".join(map(spelt.__getitem__, places[b:e])).encode()).hexdigest() if e > b else "" for b, e in zip(bounds, bounds[1:])]
     codes, local = np.unique(tool.pairs_of(at), return_inverse=True)
     first = np.cumsum(figures[:, 3]) - figures[:, 3]
-    seen, times = np.unique(owner * max(len(place), 1) + ids, return_counts=True)
-    doc, part = np.divmod(seen, max(len(place), 1))
+    seen, times = np.unique(owner * max(len(at), 1) + ids, return_counts=True)
+    doc, part = np.divmod(seen, max(len(at), 1))
     size = figures[part, 3]
     within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    key = np.repeat(doc, size) * max(len(codes), 1) + local[np.repeat(first[part], size) + within]
-    key, back = np.unique(key, return_inverse=True)
-    links = np.bincount(back, np.repeat(times, size), len(key)).astype(np.int64)
-    return sums, digests, codes, *np.divmod(key, max(len(codes), 1)), links
+    places = local[np.repeat(first[part], size) + within]
+    return sums, digests, codes, np.repeat(doc, size), places, np.repeat(times, size)
 
 
 def tally_links(docs: DataFrame, path_a, path_b, remembered: int, chunk_bytes: int) -> DataFrame:
@@ -292,7 +301,7 @@ def tally_links(docs: DataFrame, path_a, path_b, remembered: int, chunk_bytes: i
 
 def align_and_count(
     docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), path_a: str | None = None, path_b: str | None = None,
-    remembered: int = 300_000, chunk_bytes: int = CHUNK,
+    remembered: int = 600_000, chunk_bytes: int = CHUNK,
 ) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs`` the sizes of its alignment and how common its links are; the counts of all id pairs.
 
