@@ -207,7 +207,7 @@ def chunks(batches, limit: int) -> Iterator[pa.RecordBatch]:
 
 
 def align(
-    docs: DataFrame, *, path_a: str | None = None, path_b: str | None = None, remembered: int = 600_000,
+    docs: DataFrame, *, path_a: str | None = None, path_b: str | None = None, remembered: int = 400_000,
 ) -> DataFrame:
     """``docs`` with ``groups``: for each group its byte range in space and text, and the tokens of both sides.
 
@@ -301,7 +301,7 @@ def tally_links(docs: DataFrame, path_a, path_b, remembered: int, chunk_bytes: i
 
 def align_and_count(
     docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), path_a: str | None = None, path_b: str | None = None,
-    remembered: int = 600_000, chunk_bytes: int = CHUNK,
+    remembered: int = 400_000, chunk_bytes: int = CHUNK,
 ) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs`` the sizes of its alignment and how common its links are; the counts of all id pairs.
 
