@@ -207,7 +207,7 @@ def chunks(batches, limit: int) -> Iterator[pa.RecordBatch]:
 
 
 def align(
-    docs: DataFrame, *, path_a: str | None = None, path_b: str | None = None, remembered: int = 400_000,
+    docs: DataFrame, *, path_a: str | None = None, path_b: str | None = None, remembered: int = 250_000,
 ) -> DataFrame:
     """``docs`` with ``groups``: for each group its byte range in space and text, and the tokens of both sides.
 
@@ -241,8 +241,7 @@ def align(
 
 
 def _tally(batch: pa.RecordBatch, tool: Aligner):
-    """Figures and digests of a chunk's texts, the chunk's distinct pairs, and (text, pair, links), a row for each
-    pair of each distinct part of a text."""
+    """Figures and digests of a chunk's texts, the chunk's distinct pairs, and (text, pair, links)."""
     texts = batch.column("text").to_pylist()
     parts = [tool.parts(t) for t in texts]
     flat = list(chain.from_iterable(parts))
@@ -264,8 +263,9 @@ def _tally(batch: pa.RecordBatch, tool: Aligner):
     doc, part = np.divmod(seen, max(len(at), 1))
     size = figures[part, 3]
     within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    places = local[np.repeat(first[part], size) + within]
-    return sums, digests, codes, np.repeat(doc, size), places, np.repeat(times, size)
+    key, back = np.unique(np.repeat(doc, size) * max(len(codes), 1) + local[np.repeat(first[part], size) + within], return_inverse=True)
+    links = np.bincount(back, np.repeat(times, size), len(key)).astype(np.int64)
+    return sums, digests, codes, *np.divmod(key, max(len(codes), 1)), links
 
 
 def tally_links(docs: DataFrame, path_a, path_b, remembered: int, chunk_bytes: int) -> DataFrame:
@@ -301,7 +301,7 @@ def tally_links(docs: DataFrame, path_a, path_b, remembered: int, chunk_bytes: i
 
 def align_and_count(
     docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), path_a: str | None = None, path_b: str | None = None,
-    remembered: int = 400_000, chunk_bytes: int = CHUNK,
+    remembered: int = 250_000, chunk_bytes: int = CHUNK,
 ) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs`` the sizes of its alignment and how common its links are; the counts of all id pairs.
 
