@@ -20,7 +20,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "tag:stagelog,2026:page/"
 MANIFEST = "path string, size bigint, records bigint"
 RECORD = ("path string, offset bigint, record_type string, record_id string, refers_to_id string, target_uri string,"
-          " payload_bytes bigint, payload_digest string, digest_ok boolean")
+          " payload_bytes bigint, payload_digest string, digest_ok boolean, status string")
 
 
 def digest(payload: bytes) -> str:
@@ -153,6 +153,18 @@ def first_record(source: Source, start: int, end: int) -> int | None:
     return None
 
 
+def salvage(source: Source, pos: int) -> bytes:
+    """What can be read of the member at ``pos``, which is cut off or damaged."""
+    unpack, parts, at = zlib.decompressobj(31), [], pos
+    try:
+        while data := source.at(at, min(64, max(0, source.size - at))):  # small steps: a damaged one gives nothing
+            parts.append(unpack.decompress(data))
+            at += len(data)
+    except zlib.error:
+        pass
+    return b"".join(parts)
+
+
 def parse(content: bytes) -> tuple[dict[str, str], bytes, bytes] | None:
     """Header fields in lower case, the HTTP head and the payload."""
     head, gap, rest = content.partition(b"\r\n\r\n")
@@ -169,15 +181,19 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes, bytes] | None:
     return fields, b"", block
 
 
-def records(source: Source, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes, bytes]]:
-    """The records that start within [start, end), the last one read to its end."""
+def records(source: Source, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes, bytes, str]]:
+    """The records that start within [start, end), the last one read to its end, each with its status: complete, or
+    truncated where the member breaks off or its block is shorter than its header says."""
     pos = first_record(source, start, end)
     while pos is not None and pos < end:
-        content, after = inflate(source, pos)
+        whole = inflate(source, pos)
+        content, after = whole or (salvage(source, pos), pos + 1)
         found = parse(content)
         if found:
-            yield pos, *found
-        pos = after if is_record(source, after) else first_record(source, after, end)
+            fields, http, payload = found
+            held = len(content.partition(b"\r\n\r\n")[2])
+            yield pos, fields, http, payload, "complete" if whole and held >= int(fields["content-length"]) else "truncated"
+        pos = after if whole and is_record(source, after) else first_record(source, after, end)
 
 
 def read_warc(files: DataFrame, *, range_bytes: int = 4 << 20, with_payload: bool = True) -> DataFrame:
@@ -188,7 +204,8 @@ def read_warc(files: DataFrame, *, range_bytes: int = 4 << 20, with_payload: boo
     ``payload_digest`` and ``payload_bytes`` come from the payload; of a revisit, which has none, from
     its header and the HTTP length.  ``digest_ok`` tells whether a payload has the digest it claims.  A
     listed path twice gives its records twice; a null path or an empty file gives none.  A record is
-    held whole in memory.
+    held whole in memory.  ``status`` is ``truncated`` for a record whose member breaks off or is damaged (what
+    can be decoded is returned, if its header can) or whose block is shorter than it says; reading goes on at the next member.
     """
     ranges = files.where("path is not null and size > 0").select(
         "path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"))
@@ -200,7 +217,7 @@ def read_warc(files: DataFrame, *, range_bytes: int = 4 << 20, with_payload: boo
         for batch in batches:
             for r in batch.to_pylist():
                 source = Source(r["path"], r["size"])
-                for pos, fields, http, payload in records(source, r["start"], min(r["size"], r["start"] + range_bytes)):
+                for pos, fields, http, payload, status in records(source, r["start"], min(r["size"], r["start"] + range_bytes)):
                     claimed = fields.get("warc-payload-digest", "").removeprefix("sha1:")
                     revisit = fields.get("warc-type") == "revisit"
                     n, own = len(payload), claimed
@@ -214,7 +231,7 @@ def read_warc(files: DataFrame, *, range_bytes: int = 4 << 20, with_payload: boo
                         "record_id": fields.get("warc-record-id", "").strip("<>"),
                         "refers_to_id": fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None,
                         "target_uri": fields.get("warc-target-uri"), "payload_bytes": n, "payload_digest": own,
-                        "digest_ok": own == claimed}
+                        "digest_ok": own == claimed, "status": status}
                     rows.append(row | ({"payload": payload} if with_payload else {}))
                     if len(rows) >= 200:
                         yield pa.RecordBatch.from_pylist(rows, arrow)
@@ -225,7 +242,7 @@ def read_warc(files: DataFrame, *, range_bytes: int = 4 << 20, with_payload: boo
     arrow = pa.schema([
         ("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()),
         ("refers_to_id", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()),
-        ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), *([("payload", pa.binary())] if with_payload else [])])
+        ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), ("status", pa.string()), *([("payload", pa.binary())] if with_payload else [])])
     return ranges.mapInArrow(run, schema)
 
 
