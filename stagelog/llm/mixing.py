@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from stagelog.llm.common import cut_lineage, numbered, release, words
+from stagelog.llm.common import cut_lineage, let, numbered, release, words
 
 CAP = 3
 DIGIT, LEVELS = 13, 4  # ranks are whole numbers of 52 bits, searched 13 bits at a time
@@ -28,13 +28,39 @@ def water_level(sources: DataFrame, total: int) -> tuple[int, int]:
         a, b, capped = total - (row["used"] or 0), row["w"], row["n"]
 
 
-def uniform(*columns: Column) -> Column:
+def uniform(*columns: Column | str) -> Column:
     """A reproducible number of 52 bits within (0, 1) from the row's own values."""
     return (F.xxhash64(*columns).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
 
 
+def variety(text: Column) -> Column:
+    """The share of distinct words among the words of ``text``, 0 without words."""
+    return let(words(text), lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0)))
+
+
+def with_copy_numbers(rows: DataFrame, key: str) -> DataFrame:
+    """Add ``__copy``: 0, 1, ... among the rows of equal ``key``.
+
+    Where no key occurs twice that is a column of zeros.  Otherwise the rows are written once; those of
+    repeated keys are numbered within (key, partition), where the count of a key in earlier partitions is
+    added, so no task holds all rows of a key: its window holds one partition's share or one row a partition.
+    """
+    several = cut_lineage(rows.groupBy(F.col(key).alias("__same")).agg(F.count("*").alias("__n")).where("__n > 1").select("__same"))
+    if several.isEmpty():
+        release(several)
+        return rows.withColumn("__copy", F.lit(0).cast("bigint"))
+    rows = cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()))
+    of_key = rows.select(F.col(key).alias("__same"), F.col("__row").alias("__at"), F.shiftright("__row", 33).alias("__p")).join(several, "__same", "left_semi")
+    of_key = cut_lineage(of_key.withColumn("__k", F.row_number().over(W.partitionBy("__same", "__p").orderBy("__at"))))
+    ends = of_key.groupBy("__same", "__p").agg(F.max("__k").alias("__n"))
+    before = ends.select("__same", "__p", (F.sum("__n").over(W.partitionBy("__same").orderBy("__p")) - F.col("__n")).alias("__before"))
+    number = of_key.join(before, ["__same", "__p"]).select("__at", (F.col("__before") + F.col("__k") - 1).alias("__copy"))
+    out = rows.join(number, F.col("__row") == F.col("__at"), "left").drop("__row", "__at")
+    return out.withColumn("__copy", F.coalesce("__copy", F.lit(0)).cast("bigint"))
+
+
 def mix(
-    docs: DataFrame, *, text: str = "text", source: str = "source", priority: str | None = None,
+    docs: DataFrame, *, text: str = "text", source: str = "source", priority: str | Column | None = None,
 ) -> DataFrame:
     """Add ``size, source_size, target, copies, taken`` to each document.
 
@@ -44,18 +70,23 @@ def mix(
     documents are ranked by random odds over inclusion odds (Pareto sampling) and taken in that order
     up to the number of words nearest to it: a fixed size, counted in words.  A document that crosses the
     size is the last one if that is nearer; otherwise it is passed over and those ranked after it go on
-    filling what is left.  Inclusion chances are equal, or in proportion to the column ``priority`` (null or below 0: 0), those above 1 being certain.
+    filling what is left.  Inclusion chances are equal, or in proportion to the column or
+    expression ``priority`` (null or below 0: 0), those above 1 being certain.
 
     The ranks at which sizes are crossed are found digit by digit from sums over (source, digit), so no
-    task holds a source.  Null texts have size 0.  The random number depends on the row's id, source and text:
-    reruns agree, and fully equal rows are taken or left together.  Columns of these names in ``docs``
+    task holds a source.  Null texts have size 0.  The random number depends on the row's id, source and text
+    and, among rows equal in these, on a copy number: reruns agree, and of equal rows as many are taken each time.  Columns of these names in ``docs``
     are replaced.  An empty table gives an empty result.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
     kept = [c for c in docs.columns if c not in added]
     ident = [F.col(c) for c in kept if c in ("doc_id", source, text)]
-    chance = F.lit(1.0) if priority is None else F.greatest(F.coalesce(F.col(priority).cast("double"), F.lit(0.0)), F.lit(0.0))
-    base = docs.select(*kept, F.size(words(F.col(text))).cast("bigint").alias("size"), uniform(*ident).alias("__u"), chance.alias("__w"))
+    chance = F.lit(1.0)
+    if priority is not None:
+        chance = F.greatest(F.coalesce((F.col(priority) if isinstance(priority, str) else priority).cast("double"), F.lit(0.0)), F.lit(0.0))
+    base = docs.select(*kept, F.size(words(F.col(text))).cast("bigint").alias("size"), F.xxhash64(*ident).alias("__h"), chance.alias("__w"))
+    base = with_copy_numbers(base, "__h")
+    base = base.withColumn("__u", F.when(F.col("__copy") == 0, uniform(*ident)).otherwise(uniform("__h", "__copy"))).drop("__h", "__copy")
     small = cut_lineage(base.select(F.col(source).alias("__s"), "size", "__u", "__w"))
     sums = cut_lineage(numbered(
         small.groupBy("__s").agg(F.sum("size").alias("source_size")), F.col("__s").asc_nulls_last(), name="ordinal")
