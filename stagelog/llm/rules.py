@@ -94,16 +94,18 @@ def apply_rules(rules: list[Rule]) -> Column:
 
 
 def learn(
-    labelled: DataFrame, *, max_rules: int = 8, max_tests: int = 4, purity: float = 0.95, least: float = 0.005,
+    labelled: DataFrame, *, max_tests: int = 4, purity: float = 0.95, least: float = 0.005,
 ) -> list[Rule]:
     """Sequential covering over rows with ``FEATURES``, ``bad`` (0/1) and ``part`` (0, 1: grow; 2: prune).
 
     A rule grows by the test of highest information gain until it covers bad rows only, then drops final
     tests as long as that raises (bad - good) / (bad + good) on the pruning rows.  It is accepted when it
-    covers ``purity`` bad rows on the pruning part and ``least`` of all bad rows; covered rows leave and the
-    next rule starts.  Candidate thresholds lie halfway between
-    neighbouring quantiles, so every step is one aggregate over all rows
-    whose result has features x quantiles rows.
+    covers ``purity`` bad rows on the pruning part and ``least`` of all bad rows; covered rows leave, and the
+    next rule starts with all tests open.  A rule that is not accepted bars its first test's feature and
+    direction from coming first, and the next best start is tried, so covering ends when no start is left:
+    small pure kinds behind a large impure one are found.  Each accepted rule covers at least ``least`` of the
+    bad rows, which bounds their number.  Candidate thresholds lie halfway between neighbouring quantiles, so
+    every step is one aggregate over all rows whose result has features x quantiles rows.
     """
     data = cut_lineage(labelled)
     grid = {}
@@ -116,26 +118,38 @@ def learn(
     binned = cut_lineage(data.withColumn("bins", bins))
     total = binned.agg(F.sum("bad")).first()[0] or 0
     rules: list[Rule] = []
-    left = F.lit(True)
-    while len(rules) < max_rules and total:
-        rule = _grow(binned.where(left & (F.col("part") < 2)), grid, max_tests)
+    left, barred, start = F.lit(True), set(), None
+    while total:
+        rows = binned.where(left & (F.col("part") < 2))
+        start = start or _counts(rows)
+        rule = _grow(rows, grid, max_tests, start, barred)
+        if not rule.tests:
+            break
+        first = rule.tests[0][:2]
         rule, bad, good = _prune(binned.where(left & (F.col("part") == 2)), rule)
         if not rule.tests or bad < purity * (bad + good) or 3 * bad < least * total:
-            break
+            barred.add(first)
+            continue
         rules.append(rule)
-        left = left & ~rule.condition()
+        left, barred, start = left & ~rule.condition(), set(), None
     release(data)
     release(binned)
     return rules
 
 
-def _grow(rows: DataFrame, grid: dict[str, list[float]], max_tests: int) -> Rule:
+def _counts(rows: DataFrame) -> list:
+    """Bad and good rows of each feature's bins."""
+    return rows.select("bad", F.explode("bins").alias("x")).groupBy("x.f", "x.b").agg(
+        F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")).collect()
+
+
+def _grow(rows: DataFrame, grid: dict[str, list[float]], max_tests: int, start: list, barred: set[tuple[str, bool]]) -> Rule:
+    """The rule grown from the counts ``start`` of all rows; its first test is none of ``barred``."""
     import math
 
     rule = Rule()
     while len(rule.tests) < max_tests:
-        counts = rows.where(rule.condition()).select("bad", F.explode("bins").alias("x")).groupBy("x.f", "x.b").agg(
-            F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")).collect()
+        counts = _counts(rows.where(rule.condition())) if rule.tests else start
         bad = sum(r["bad"] for r in counts if r["f"] == FEATURES[0])
         good = sum(r["good"] for r in counts if r["f"] == FEATURES[0])
         if not bad or not good:
@@ -146,6 +160,8 @@ def _grow(rows: DataFrame, grid: dict[str, list[float]], max_tests: int) -> Rule
                 p = sum(r["bad"] for r in counts if r["f"] == f and r["b"] > k)
                 n = sum(r["good"] for r in counts if r["f"] == f and r["b"] > k)
                 for above, p, n in ((True, p, n), (False, bad - p, good - n)):
+                    if not rule.tests and (f, above) in barred:
+                        continue
                     if p and (gain := p * (math.log2(p / (p + n)) - math.log2(bad / (bad + good)))) > best:
                         best, chosen = gain, (f, above, cut)
         if chosen is None:
