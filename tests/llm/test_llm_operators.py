@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stagelog.llm import chats, convnet, decontaminate, katz, mixing, rules, setjoin, suffixes, token_counts, warc
 from stagelog.llm.common import configure_llm
@@ -110,6 +111,30 @@ def test_mix_goes_on_behind_a_large_document(spark):
         assert abs(got[0]["target"] - 300) < 1e-9 and sum(r["taken"] for r in got) == 300 and all(r["copies"] <= 1 for r in got)
 
 
+def test_mix_numbers_equal_rows(spark):
+    """Of many equal rows a share is taken, as many each time; unequal chances too."""
+    configure_llm(spark)
+    rows = [(None, "w " * 10, "a")] * 100 + [(i, f"x{i} y", "b") for i in range(100)] + [(7, "same text", None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
+    for priority in (None, mixing.variety(F.col("text"))):
+        got = [mixing.mix(docs, priority=priority).collect() for _ in range(2)]
+        assert all(len(g) == 205 for g in got)
+        taken = [sorted((str(r["source"]), r["taken"]) for r in g) for g in got]
+        assert taken[0] == taken[1]
+        for s in ("a", "b", None):
+            own = [r for r in got[0] if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+
+
+def test_mix_prefers_varied_words(spark):
+    configure_llm(spark)
+    rows = [(i, " ".join(f"w{k if i % 2 else 0}" for k in range(20)), "abc"[i % 3]) for i in range(1200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), priority=mixing.variety(F.col("text")))
+    own = [r for r in got.where("source = 'a'").collect()]
+    varied, dull = ([r["taken"] for r in own if r["doc_id"] % 2 == b] for b in (1, 0))
+    assert sum(varied) > 5 * sum(dull) > 0
+
+
 def test_chats(spark):
     rows = [
         (1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "bot", "yes"), (3, 0, "user", "hi"), (3, 1, "bot", "yes"), (3, 2, "user", "more"),
@@ -142,6 +167,27 @@ def test_warc(spark):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_warc_of_broken_archives(spark, tmp_path):
+    """A member cut off at the end or damaged in the middle has a status; the other records are read."""
+    rows = [(i, f"http://{i}", "".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(60))) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    folder = warc.new_folder(spark, "warc-test")
+    files = warc.write_warc(pages, folder, file_bytes=1 << 30).collect()
+    path, size = files[0]["path"], files[0]["size"]
+    whole = {r["offset"]: r["record_id"] for r in warc.read_warc(spark.createDataFrame(files, "path string, size bigint, records bigint")).collect()}
+    data = open(path.removeprefix("file:"), "rb").read()
+    at = sorted(whole)
+    hurt = bytearray(data)
+    middle = (at[10] + at[11]) // 2 + 60
+    hurt[middle:middle + 20] = b"\xff" * 20
+    for name, body, lost in (("cut", data[:-20], at[-1]), ("hurt", bytes(hurt), at[10])):
+        (tmp_path / name).write_bytes(body)
+        made = spark.createDataFrame([(str(tmp_path / name), len(body))], "path string, size bigint")
+        for step in (900, 1 << 20):
+            got = {r["offset"]: (r["record_id"], r["status"]) for r in warc.read_warc(made, range_bytes=step).collect()}
+            assert got == {k: (v, "truncated" if k == lost else "complete") for k, v in whole.items()}
+
+
 def test_statistics(docs, texts):
     got = by_id(rules.statistics(docs))
     for i, t in enumerate(texts):
@@ -167,6 +213,21 @@ def test_rules_are_learned(spark, docs, none):
     assert rules.judge(none, made.select("doc_id", "quality"))[0].count() == 0
 
 
+def test_covering_goes_on_behind_an_impure_kind(spark):
+    """The start of highest gain is impure; two smaller pure kinds are found behind it."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(3000):
+        f = dict.fromkeys(rules.FEATURES, 0.0)
+        f |= {"variety": float(rng.random()), "upper_share": float(i % 10 < 3), "symbol_share": float(i % 50 == 3), "mark_share": float(i % 50 == 7)}
+        bad = i % 50 in (3, 7) or (i % 10 < 3 and rng.random() < 0.8)
+        rows.append((*f.values(), int(bad), i % 3))
+    made = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in rules.FEATURES) + ", bad int, part int")
+    found = [str(r) for r in rules.learn(made)]
+    assert any("symbol_share" in r for r in found) and any("mark_share" in r for r in found)
+    assert not any(r.startswith("upper_share >") and " and " not in r for r in found)
+
+
 def components(texts):
     sets = []
     for t in texts:
