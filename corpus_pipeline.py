@@ -45,7 +45,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources of what is left, mixed to their targets: copies and words taken of each document."""
     configure_llm(spark)
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixing.mix(docs, priority=mixing.variety(F.col("text"))).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES = [
