@@ -8,7 +8,8 @@ from stagelog.functions.rows import distance, placement_name
 from stagelog.functions.units import mosaic_to_nm, with_filename
 from stagelog.operators.ordered import CHUNK, dense_position, first_by, previous_row, rank_by
 from stagelog.operators.quantiles import exact_percentiles
-from stagelog.schema import CANVAS_MARGIN_PX, NM_PER_PX
+from stagelog.schema import CANVAS_MARGIN_PX, MAX_CORRECTION_NM, NM_PER_PX
+from stagelog.session import cut_lineage
 
 
 def sample_steps(df: DataFrame, stride: int = 1, limit: int = 0) -> DataFrame:
@@ -166,6 +167,32 @@ def residual_summary(df: DataFrame, column: str = "residual", by: tuple[str, ...
     return exact_percentiles(df, list(by), column, {"median": 0.5, "p90": 0.9})
 
 
+def correction_summary(poses: DataFrame, targets: DataFrame, nm_per_px: float = NM_PER_PX, limit_nm: float = MAX_CORRECTION_NM) -> DataFrame:
+    """How far placed tiles lie from their commanded places: per run ``tiles``, ``median_nm``, ``p90_nm``, ``max_nm``, ``beyond`` (over ``limit_nm``).
+
+    Tiles without a pose or a commanded place (or a null one) do not count; a run without any has no row.
+    """
+    at = targets.select("run_id", "tile_id", F.col("x").alias("__x"), F.col("y").alias("__y"))
+    moved = cut_lineage(poses.select("run_id", "tile_id", "x", "y").join(at, ["run_id", "tile_id"]).select(
+        "run_id", (distance(F.col("x") - F.col("__x"), F.col("y") - F.col("__y")) * nm_per_px).alias("moved_nm")).where("moved_nm is not null"))
+    totals = moved.groupBy("run_id").agg(F.count("*").alias("tiles"), F.max("moved_nm").alias("max_nm"), F.count_if(F.col("moved_nm") > limit_nm).alias("beyond"))
+    return totals.join(exact_percentiles(moved, ["run_id"], "moved_nm", {"median_nm": 0.5, "p90_nm": 0.9}), "run_id")
+
+
+def shape_report(images: DataFrame, by: tuple[str, ...] = ("run_id",), width: str = "w", height: str = "h") -> DataFrame:
+    """Whether all images of a run have one shape: ``images``, ``shapes``, the commonest shape (``width``, ``height``; ties: the smaller), ``others`` (images of another shape), ``uniform``.
+
+    Images are counted by shape first, so a run's rows do not meet in one task.  An image without a width
+    or height has a shape of its own, which is never the commonest unless no other is there.
+    """
+    shapes = images.groupBy(*by, F.col(width).alias("__w"), F.col(height).alias("__h")).agg(F.count("*").alias("__n"))
+    known = F.col("__w").isNotNull() & F.col("__h").isNotNull()
+    best = F.max_by(F.struct("__w", "__h", "__n"), F.struct(known.alias("k"), F.col("__n").alias("n"), (-F.col("__w")).alias("w"), (-F.col("__h")).alias("h")))
+    found = shapes.groupBy(*by).agg(F.sum("__n").alias("images"), F.count("*").alias("shapes"), best.alias("__b"))
+    return found.select(*by, "images", "shapes", F.col("__b.__w").alias("width"), F.col("__b.__h").alias("height"),
+                        (F.col("images") - F.col("__b.__n")).alias("others"), (F.col("shapes") == 1).alias("uniform"))
+
+
 def canvas_extent(poses: DataFrame, w: int, h: int, margin: int = CANVAS_MARGIN_PX,
                   by: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """Integer bounds of all poses and the canvas they need."""

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 _BIG = "bigint"
 PIECE = 1 << 16
+FIELD = (1 << 31) - 1  # a prime
+FINISH = (1, 2, 3)  # keys after the last one, which spread its low digits
+ANGLE, RADIUS, PICK = 1, 2, 3  # independent numbers of one point
 
 
 def _numbered(plans: DataFrame, count: Column) -> DataFrame:
@@ -69,16 +72,33 @@ def circle(plans: DataFrame) -> DataFrame:
                    F.col("y0") + (F.col("radius_nm") * F.sin(angle)).cast(_BIG))
 
 
-def _uniform(seed: int, salt: str) -> Column:
-    """A reproducible number in [0, 1) for each (plan, seq): stable when a task is run again."""
-    h = F.xxhash64(F.col("plan_id"), F.col("seq"), F.lit(seed), F.lit(salt))
-    return F.pmod(h, F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+def mixed(keys: list[Column]) -> Column:
+    """A whole number within [0, ``FIELD``) that depends on all ``keys`` (null counts as 0).
+
+    Each key is added to the state and the sum raised to the fifth power modulo the prime ``FIELD``, which
+    permutes the field since 5 does not divide ``FIELD`` - 1.  Products stay below 2**62, so any engine with
+    64-bit integers gives the same number.
+    """
+    def fifth(state: Column, key: Column) -> Column:
+        a = (state + key) % FIELD
+        square = a * a % FIELD
+        return square * square % FIELD * a % FIELD
+
+    halves = [h for k in keys for h in (F.pmod(k, F.lit(FIELD)), F.pmod(F.call_function("div", k, F.lit(FIELD)), F.lit(FIELD)))]
+    return F.aggregate(F.array(*[F.coalesce(h, F.lit(0).cast(_BIG)) for h in halves], *[F.lit(c).cast(_BIG) for c in FINISH]),
+                       F.lit(0).cast(_BIG), fifth)
+
+
+def _uniform(seed: int, salt: int) -> Column:
+    """A reproducible number in [0, 1) for each (plan, seq), from the plan's number or, for other types, a hash of it."""
+    plan = F.expr("CASE WHEN typeof(plan_id) IN ('tinyint', 'smallint', 'int', 'bigint') THEN try_cast(plan_id AS bigint) ELSE xxhash64(plan_id) END")
+    return mixed([F.lit(seed).cast(_BIG), F.lit(salt).cast(_BIG), plan, F.col("seq").cast(_BIG)]).cast("double") / F.lit(float(FIELD))
 
 
 def random_walk(plans: DataFrame, seed: int = 0, min_radius: int = 0) -> DataFrame:
     """I4: the start, then ``n`` independent jumps around it, radius uniform in [min_radius, radius_nm]."""
-    angle = _uniform(seed, "angle") * 2.0 * math.pi
-    length = F.lit(float(min_radius)) + _uniform(seed, "radius") * (F.col("radius_nm") - min_radius)
+    angle = _uniform(seed, ANGLE) * 2.0 * math.pi
+    length = F.lit(float(min_radius)) + _uniform(seed, RADIUS) * (F.col("radius_nm") - min_radius)
     moved, zero = F.col("seq") > 0, F.lit(0).cast(_BIG)
     return _points(_numbered(plans, F.col("n") + 1),
                    F.col("x0") + F.when(moved, (length * F.cos(angle)).cast(_BIG)).otherwise(zero),
@@ -87,7 +107,7 @@ def random_walk(plans: DataFrame, seed: int = 0, min_radius: int = 0) -> DataFra
 
 def poi_jumps(plans: DataFrame, seed: int = 0) -> DataFrame:
     """``n`` random picks from the plan's ``points`` (array of x, y structs)."""
-    pick = F.floor(_uniform(seed, "pick") * F.size("points")).cast("int")
+    pick = F.floor(_uniform(seed, PICK) * F.size("points")).cast("int")
     rows = _numbered(plans, F.col("n")).withColumn("__p", F.get("points", pick))
     return _points(rows, F.col("__p.x"), F.col("__p.y"))
 

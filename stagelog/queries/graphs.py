@@ -12,6 +12,7 @@ from stagelog.operators.pairs import neighbor_pairs
 from stagelog.operators.pixels import preprocess_tiles
 from stagelog.operators.registration import CircularParams, register_pairs
 from stagelog.queries import query
+from stagelog.schema import NM_PER_PX
 from stagelog.session import cut_lineage
 from stagelog.sources.tiles import tiles_from_vectors
 
@@ -183,6 +184,18 @@ def canvas_extent(spark, folder):
     return Q.canvas_extent(targets(spark, folder), W, H)
 
 
+@query("correction_summary", f"""WITH {A.LAYOUT_SQL}, m AS (SELECT run_id, sqrt(CAST((tile_id*31%401-200)*(tile_id*31%401-200) + (tile_id*17%301-150)*(tile_id*17%301-150) AS DOUBLE))/CAST(4 AS DOUBLE)
+  *CAST({NM_PER_PX} AS DOUBLE) AS d FROM layout)
+SELECT run_id, count(*) AS tiles, round(quantile_cont(d, 0.5), 6) AS median_nm, round(quantile_cont(d, 0.9), 6) AS p90_nm, round(max(d), 6) AS max_nm,
+  count(*) FILTER (d > 500) AS beyond FROM m GROUP BY 1""")
+def correction_summary(spark, folder):
+    """How far placed tiles lie from where they were sent."""
+    t = F.col("tile_id")
+    moved = targets(spark, folder).withColumns({"x": F.col("x") + (t * 31 % 401 - 200) / 4.0, "y": F.col("y") + (t * 17 % 301 - 150) / 4.0})
+    out = Q.correction_summary(moved, targets(spark, folder), limit_nm=500.0)
+    return out.withColumns({c: F.round(c, 6) for c in ("median_nm", "p90_nm", "max_nm")})
+
+
 def _rounded_poses(df, *more):
     return df.select("run_id", "tile_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), *more)
 

@@ -14,6 +14,7 @@ from stagelog.queries import query
 from stagelog.session import shared_folder
 from stagelog.sources import logs as L
 from stagelog.sources.sinks import write_positions, write_steps
+from stagelog.workflows import recalculate_and_segment
 
 T = 0.3  # segmentation threshold that gives segments of mixed length
 B, D = "bigint", "double"
@@ -151,6 +152,20 @@ _FILE_SQL = """run_id || '_part' || lpad(CAST(part AS VARCHAR), CAST(greatest(3,
   || lpad(CAST(last_step AS VARCHAR), CAST(greatest(4, length(CAST(last_step AS VARCHAR))) AS INTEGER), '0')"""
 
 
+@query("recalculated_segments", _RECALC_SQL + f""", marked AS (SELECT r.*, coalesce(p.confidence, 0) < {T} OR p.confidence IS NULL AS rejected,
+  CAST(sum(CASE WHEN p.confidence IS NULL OR p.confidence < {T} THEN 1 ELSE 0 END) OVER (PARTITION BY r.run_id ORDER BY r.source_index) AS BIGINT) AS segment
+  FROM recalculated r JOIN steps s ON s.run_id = r.run_id AND s.source_index = r.source_index
+  LEFT JOIN positions p ON s.run_id = p.run_id AND replace(s.img_path, 'temp\\', '') = p.filename),
+whole AS (SELECT run_id, min(source_index) AS first_index, count(*) AS records, count(*) FILTER (updated) AS updated, CAST(sum(x_actual_abs) AS BIGINT) AS x_sum,
+  CAST(sum(y_actual_abs) AS BIGINT) AS y_sum FROM marked WHERE NOT rejected GROUP BY run_id, segment HAVING count(*) >= 2)
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY first_index) AS part, records, updated, x_sum, y_sum FROM whole""")
+def recalculated_segments(spark, folder):
+    """Recalculation, then segments by the confidence of the measured positions."""
+    found = recalculate_and_segment(steps(spark, folder), positions(spark, folder), min_confidence=T, min_length=2)
+    return found.rows.groupBy("run_id", "part").agg(
+        F.count("*").alias("records"), F.count_if("updated").alias("updated"), F.sum("x_actual_abs").alias("x_sum"), F.sum("y_actual_abs").alias("y_sum"))
+
+
 @query("segment_plan", _segments_sql() + f"""
 SELECT run_id, part, {_FILE_SQL} AS segment_file, records, first_step, last_step FROM summary WHERE part IS NOT NULL""")
 def segment_plan(spark, folder):
@@ -405,6 +420,17 @@ def image_metadata(spark, folder):
     return out.withColumns({"width": F.col("width").cast(B), "height": F.col("height").cast(B)})
 
 
+@query("image_shapes", """WITH n AS (SELECT p_brand AS run_id, CAST(p_size*16 AS BIGINT) AS w, CAST(p_size*12 AS BIGINT) AS h, count(*) AS n FROM part GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, w, h) AS place FROM n)
+SELECT run_id, CAST(sum(n) AS BIGINT) AS images, count(*) AS shapes, max(w) FILTER (place = 1) AS width, max(h) FILTER (place = 1) AS height,
+  CAST(coalesce(sum(n) FILTER (place > 1), 0) AS BIGINT) AS others, CAST(count(*) = 1 AS BIGINT) AS uniform FROM r GROUP BY 1""")
+def image_shapes(spark, folder):
+    """Image shapes of each run, the commonest one and how many differ from it."""
+    images = A.table(spark, folder, "part").select(
+        F.col("p_brand").alias("run_id"), (F.col("p_size") * 16).cast(B).alias("w"), (F.col("p_size") * 12).cast(B).alias("h"))
+    return Q.shape_report(images).withColumn("uniform", F.col("uniform").cast(B))
+
+
 @query("file_labels", r"""WITH n AS (SELECT page_id, regexp_extract(url, '[^/\\]*$', 0) AS filename FROM pages)
 SELECT page_id, filename, CASE WHEN regexp_full_match(filename, '\d+') THEN lpad(filename, CAST(greatest(4, length(filename)) AS INTEGER), '0')
     ELSE regexp_replace(filename, '[^A-Za-z0-9_.-]+', '_', 'g') END AS label,

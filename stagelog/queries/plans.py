@@ -53,13 +53,30 @@ def circle_waypoints(spark, folder):
     return Tr.expand_plans(p, "circle")
 
 
-@query("random_walk_waypoints")
+def _uniform_sql(rows: str, seed: int, **salts: int) -> str:
+    """``rows`` (plan_id and seq not negative) with a column of numbers in [0, 1) for each salt."""
+    m, a = Tr.FIELD, f"((x + y) % {Tr.FIELD})"
+    fifth = f"({a} * {a} % {m}) * ({a} * {a} % {m}) % {m} * {a} % {m}"
+
+    def number(salt: int) -> str:
+        keys = [seed, 0, salt, 0, f"plan_id % {m}", f"plan_id // {m}", f"seq % {m}", f"seq // {m}", *Tr.FINISH]
+        return f"CAST(list_reduce([{', '.join(f'CAST({k} AS BIGINT)' for k in [0, *keys])}], lambda x, y: {fifth}) AS DOUBLE) / CAST({m} AS DOUBLE)"
+
+    return f"SELECT *, {', '.join(f'{number(salt)} AS {name}' for name, salt in salts.items())} FROM {rows}"
+
+
+@query("random_walk_waypoints", f"""WITH {PLAN_SQL}, r AS (SELECT plan_id, x0, y0, size, t.t AS seq FROM plans, LATERAL (SELECT unnest(range(n+1)) AS t) t),
+u AS ({_uniform_sql("r", 7, angle=Tr.ANGLE, radius=Tr.RADIUS)}), s AS (SELECT *, angle*CAST(2 AS DOUBLE)*pi() AS a, radius*(size*1000) AS d FROM u)
+SELECT plan_id, seq, x0 + CASE WHEN seq > 0 THEN CAST(trunc(d*cos(a)) AS BIGINT) ELSE 0 END AS x_nm,
+  y0 + CASE WHEN seq > 0 THEN CAST(trunc(d*sin(a)) AS BIGINT) ELSE 0 END AS y_nm FROM s""")
 def random_walk_waypoints(spark, folder):
-    """I4: bounds and counts are checked in tests; values follow a hash."""
+    """I4: the same random numbers in both engines."""
     return Tr.expand_plans(plans(spark, folder).withColumn("radius_nm", F.col("size") * 1000), "random_walk", seed=7)
 
 
-@query("poi_waypoints")
+@query("poi_waypoints", f"""WITH {PLAN_SQL}, r AS (SELECT plan_id, x0, y0, t.t AS seq FROM plans, LATERAL (SELECT unnest(range(n)) AS t) t),
+u AS ({_uniform_sql("r", 7, pick=Tr.PICK)}), s AS (SELECT *, CAST(floor(pick*3) AS BIGINT)*100 AS d FROM u)
+SELECT plan_id, seq, x0+d AS x_nm, y0-d AS y_nm FROM s""")
 def poi_waypoints(spark, folder):
     """Random picks from three points per plan."""
     point = [F.struct((F.col("x0") + d).alias("x"), (F.col("y0") - d).alias("y")) for d in (0, 100, 200)]
