@@ -261,16 +261,28 @@ def owners(places: DataFrame) -> DataFrame:
         sort, "key bigint, runs array<struct<lo:int,hi:int,first:bigint>>")
 
 
-def exact_copies(base: DataFrame) -> DataFrame:
-    """``doc, size`` of documents whose whole text an earlier one has."""
-    sums = cut_lineage(base.select("doc", F.octet_length("t").alias("size"), F.xxhash64("t").alias("a"), F.xxhash64(F.lit(3), "t").alias("b")))
+def text_sums(base: DataFrame) -> DataFrame:
+    """``doc, size, a, b``: the size and a 128-bit hash of each row's text."""
+    return base.select("doc", F.octet_length("t").alias("size"), F.xxhash64("t").alias("a"), F.xxhash64(F.lit(3), "t").alias("b"))
+
+
+def of_several_texts(sums: DataFrame) -> DataFrame:
+    """``doc`` of those that rows with different texts share."""
+    return sums.groupBy("doc").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("doc")
+
+
+def exact_copies(sums: DataFrame, several: DataFrame) -> DataFrame:
+    """``doc, size`` of documents whose whole text an earlier one has; those ``of_several_texts`` are left out."""
     key = ["a", "b", "size"]
     many = cut_lineage(sums.where(f"size >= {LENGTH}").groupBy(*key).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
-    return cut_lineage(sums.join(many, key).where("doc > first").select("doc", "size").distinct())
+    found = sums.join(many, key).where("doc > first").select("doc", "size").distinct()
+    return cut_lineage(found.join(several.hint("merge"), "doc", "left_anti"))
 
 
 def repeated_spans(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``doc, spans``: per document (by :func:`key_of`) the byte ranges [from, to) to remove; may touch or overlap.
+    """``doc, text_key, spans``: per document (by :func:`key_of`) the byte ranges [from, to) to remove; may touch or overlap.
+
+    ``text_key`` is 0 where one text has the id; where several do, their ranges are told apart by the texts' ``xxhash64``.
 
     Every string of 50 bytes has an anchor.  Anchors whose gram is in two documents are found first; the
     bytes around those, their contexts, meet by gram, and tasks sort all their strings.  Equal neighbours
@@ -280,27 +292,30 @@ def repeated_spans(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """
     base = docs.select(key_of(F.col("doc_id"), F.col(text)).alias("doc"), F.col(text).alias("t"))
     total = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    copies = exact_copies(base)
+    sums = cut_lineage(text_sums(base))
+    several = cut_lineage(of_several_texts(sums))
+    copies = exact_copies(sums, several)
     found = cut_lineage(shared_anchors(base, max(1024, total >> 23)))
     spots = found.join(copies.hint("merge"), "doc", "left_anti").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "hash")).alias("spots"))
-    rows = base.join(spots.hint("merge"), "doc")
+    spots = spots.join(several.select("doc", F.lit(True).alias("several")).hint("merge"), "doc", "left")
+    rows = base.join(spots.hint("merge"), "doc").withColumn("text_key", F.when(F.col("several"), F.xxhash64("t")).otherwise(F.lit(0).cast("bigint")))
 
     def contexts(batches):
         for b in batches:
             lists = b.column("spots")
             at, flat = lists.offsets.to_numpy(), lists.values
             start, n, hashes = (flat.field(k).to_numpy() for k in range(3))
-            docs, pieces, keep = b.column("doc").to_numpy(), [], []
+            docs, keys, pieces, keep = b.column("doc").to_numpy(), b.column("text_key").to_numpy(), [], []
             for k, t in enumerate(b.column("t").to_pylist()):
-                t, s = t.encode(), slice(at[k], at[k + 1])
+                t, s = (t or "").encode(), slice(at[k], at[k + 1])
                 a = start[s]
                 e = a + n[s] + (LENGTH - 1)
                 pieces += [t[x:y] for x, y in zip(a.tolist(), e.tolist())]
                 keep.append(e <= len(t))
             if keep:
                 keep = np.flatnonzero(np.concatenate(keep))
-                own = np.repeat(docs, np.diff(at))
-                out = pa.RecordBatch.from_arrays([pa.array(hashes[at[0]:at[-1]]), pa.array(own), pa.array(start[at[0]:at[-1]]), pa.array(pieces, pa.binary())], ["hash", "doc", "start", "context"])
+                own, kind = np.repeat(docs, np.diff(at)), np.repeat(keys, np.diff(at))
+                out = pa.RecordBatch.from_arrays([pa.array(hashes[at[0]:at[-1]]), pa.array(own), pa.array(kind), pa.array(start[at[0]:at[-1]]), pa.array(pieces, pa.binary())], ["hash", "doc", "text_key", "start", "context"])
                 yield out.take(pa.array(keep))
 
     def once(batches):
@@ -308,17 +323,17 @@ def repeated_spans(docs: DataFrame, *, text: str = "text") -> DataFrame:
             if len(b):
                 yield _distinct(b)
 
-    places = rows.mapInArrow(contexts, "hash int, doc bigint, start int, context binary").withColumn("key", F.xxhash64("context"))
+    places = rows.mapInArrow(contexts, "hash int, doc bigint, text_key bigint, start int, context binary").withColumn("key", F.xxhash64("context"))
     distinct = places.select("hash", "key", "context", F.col("doc").alias("low"), F.col("doc").alias("high")).mapInArrow(
         once, "hash int, key bigint, context binary, low bigint, high bigint")
     owned = cut_lineage(owners(distinct))
-    hits = places.select("key", "doc", "start").join(owned.hint("merge"), "key").select("doc", "start", F.explode(F.filter("runs", lambda r: r["first"] < F.col("doc"))).alias("r"))
-    spans = hits.groupBy("doc").agg(F.collect_list(F.struct(
+    hits = places.select("key", "doc", "text_key", "start").join(owned.hint("merge"), "key").select("doc", "text_key", "start", F.explode(F.filter("runs", lambda r: r["first"] < F.col("doc"))).alias("r"))
+    spans = hits.groupBy("doc", "text_key").agg(F.collect_list(F.struct(
         (F.col("start") + F.col("r.lo")).alias("a"), (F.col("start") + F.col("r.hi") + LENGTH).alias("b"))).alias("spans"))
-    whole = copies.select("doc", F.array(F.struct(F.lit(0).alias("a"), F.col("size").cast("int").alias("b"))).alias("spans"))
+    whole = copies.select("doc", F.lit(0).cast("bigint").alias("text_key"), F.array(F.struct(F.lit(0).alias("a"), F.col("size").cast("int").alias("b"))).alias("spans"))
     spans = cut_lineage(spans.unionByName(whole))
-    release(found)
-    release(owned)
+    for df in (found, owned, sums, several, copies):
+        release(df)
     return spans
 
 
@@ -347,22 +362,25 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", digest: bool = True,
     Texts are UTF-8 bytes and strings are judged on the input.  Adds ``n_bytes, n_removed, n_spans`` and, as
     asked, ``kept_sha256``, ``rest`` (the remaining bytes) and ``rest_text`` (the same as text; parts of cut
     characters become replacement characters).  Documents are ordered by ``doc_id``; rows without
-    one come last, by a hash of their text; rows with the same id do not remove each other's bytes, and
-    if their texts differ, spans found in one are also taken from the other.  Null texts are empty.
+    one come last, by a hash of their text; rows with the same id do not remove each other's bytes;
+    each is cut by its own repeats.  (Texts of one id look at each other's places, too, which costs time where an
+    id has very many texts.)  Null texts are empty.
     Existing columns of these names are replaced.
     """
     added = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint"} | ({"kept_sha256": "string"} if digest else {}) | ({"rest": "binary"} if rest else {}) | ({"rest_text": "string"} if rest_text else {})
     spans = repeated_spans(docs, text=text)
     names = [c for c in docs.columns if c not in added]
     base = docs.select(*names, key_of(F.col("doc_id"), F.col(text)).alias("__k"))
-    joined = base.join(spans.withColumnRenamed("doc", "__d").hint("merge"), F.col("__k") == F.col("__d"), "left").drop("__k", "__d")
+    spans = spans.select(F.col("doc").alias("__d"), F.col("text_key").alias("__t"), F.col("spans").alias("__spans"))
+    own = (F.col("__k") == F.col("__d")) & ((F.col("__t") == 0) | (F.col("__t") == F.xxhash64(text)))
+    joined = base.join(spans.hint("merge"), own, "left").drop("__k", "__d", "__t")
     schema = docs.select(*names).withColumns({n: F.lit(None).cast(t) for n, t in added.items()}).schema
 
     def run(batches):
         for b in batches:
             out = {n: [] for n in added}
             texts = [(t or "").encode() for t in b.column(text).to_pylist()]
-            for t, merged in zip(texts, _merged(b.column("spans"), [len(t) for t in texts])):
+            for t, merged in zip(texts, _merged(b.column("__spans"), [len(t) for t in texts])):
                 bounds = [0, *[x for m in merged for x in m], len(t)]
                 left = b"".join(t[bounds[k]:bounds[k + 1]] for k in range(0, len(bounds), 2))
                 values = {"n_bytes": len(t), "n_removed": len(t) - len(left), "n_spans": len(merged), "kept_sha256": hashlib.sha256(left).hexdigest() if digest else None, "rest": left, "rest_text": left.decode("utf-8", "replace") if rest_text else None}

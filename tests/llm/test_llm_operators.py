@@ -302,6 +302,28 @@ def test_suffixes_of_a_document_in_two_chunks(spark, monkeypatch):
         assert {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(rows).collect()} == removed
 
 
+def test_suffixes_of_one_id_with_several_texts(spark):
+    """Each text is cut by its own repeats; copies and nulls under a shared id, repeated rows and null ids are no exception."""
+    configure_llm(spark)
+    rng = np.random.default_rng(23)
+    a, x, y, z = ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 300)) for _ in range(4))
+    s = a[:120]
+    rows = [(1, s), (5, s + x), (5, y), (5, None), (5, s), (6, z), (6, z), (7, y + z), (7, x), (None, x), (None, None), (8, ""), (9, z[100:200] + s + y[50:]), (9, s)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), rest=True).collect()
+
+    def expected(doc, text):
+        earlier = [(t or "").encode() for d, t in rows if d is not None and (doc is None or d < doc)]
+        seen = {t[k:k + 50] for t in earlier for k in range(len(t) - 49)}
+        b = (text or "").encode()
+        cover = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if b[k:k + 50] in seen:
+                cover[k:k + 50] = b"\1" * 50
+        return bytes(c for c, m in zip(b, cover) if not m)
+
+    assert Counter((r["doc_id"], r["text"], bytes(r["rest"])) for r in got) == Counter((d, t, expected(d, t)) for d, t in rows)
+
+
 def test_deep_shallow_sorts():
     rng = np.random.default_rng(2)
     rows = rng.integers(97, 99, (500, 50), dtype=np.uint8)
