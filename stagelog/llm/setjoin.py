@@ -13,6 +13,7 @@ from stagelog.operators.graph import connected_components
 HOT = 1 << 16  # shingles ordered by frequency; all others are ordered by hash
 SEEN = 1 << 19  # vertices a task remembers so that copies are indexed once
 TALLY = 1 << 21  # shingles counted together before counts are sent on
+MARKS = [f"s{k}" for k in range(4)]  # 256 bits: whether an odd number of a set's shingles falls on each
 
 
 def _encoded(batch, text):
@@ -24,20 +25,37 @@ def _vertex(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(hashing.mix(np.array([a + np.uint64(len(s))]))[0].astype(np.int64))), len(s)
 
 
+def _marks(s: np.ndarray) -> np.ndarray:
+    odd = (np.bincount((s & np.uint64(64 * len(MARKS) - 1)).astype(np.int64), minlength=64 * len(MARKS)) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _may_link(left: str = "a", right: str = "b") -> Column:
+    """Whether the marks of two sets leave room for a link.
+
+    Each bit in which they differ stands for at least one shingle that only one set has, so twice the overlap
+    is at most the sum of the sizes less those bits.  No pair that links is lost.
+    """
+    apart = sum(F.bit_count(F.col(f"{m}{left}").bitwiseXOR(F.col(f"{m}{right}"))) for m in MARKS)
+    return 9 * apart <= F.col(f"n{left}") + F.col(f"n{right}")
+
+
 def prefix_length(n: int) -> int:
     """Two sets with a Jaccard similarity of 0.8 share one of so many first members."""
     return n - (4 * n + 4) // 5 + 1
 
 
 def vertices(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, text_key, v, n``: a key of each row's shingle set and the set's size; empty sets have size 0."""
+    """``doc_id, text_key, v, n`` and ``MARKS``: a key of each row's shingle set, its size and marks; empty sets have size 0."""
+    added = ["v", "n", *MARKS]
+
     def run(batches):
         for b in batches:
-            found = [_vertex(s) for s in _sets(_encoded(b, text))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([v for v, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "text_key", "v", "n"])
+            found = [(*_vertex(s), *_marks(s).tolist()) for s in _sets(_encoded(b, text))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *[pa.array([f[k] for f in found], pa.int64()) for k in range(len(added))]], ["doc_id", "text_key", *added])
 
     key = _text_key(text).alias("text_key")
-    schema = docs.select("doc_id", key, F.lit(0).cast("bigint").alias("v"), F.lit(0).cast("bigint").alias("n")).schema
+    schema = docs.select("doc_id", key, *[F.lit(0).cast("bigint").alias(c) for c in added]).schema
     return docs.select("doc_id", text, key).mapInArrow(run, schema)
 
 
@@ -78,7 +96,10 @@ def hot_shingles(docs: DataFrame, text: str = "text", most: int = HOT) -> np.nda
 
 
 def index_entries(docs: DataFrame, hot: np.ndarray, text: str = "text") -> DataFrame:
-    """``token, v, n, pos``: the first members of each set in the common order, with their positions."""
+    """``token, v, n, pos, hot``: the first members of each set in the common order, with their positions.
+
+    ``hot`` marks the shingles given.
+    """
     order = np.argsort(hot)
     keys, ranks = hot[order], order.astype(np.uint64) + np.uint64(1 << 63)
 
@@ -100,12 +121,26 @@ def index_entries(docs: DataFrame, hot: np.ndarray, text: str = "text") -> DataF
                 p = prefix_length(n)
                 first = np.argpartition(rank, p - 1)[:p] if p < n else np.arange(n)
                 first = first[np.argsort(rank[first], kind="stable")]
-                rows.append((s[first], np.full(p, v), np.full(p, n), np.arange(p)))
+                rows.append((s[first], np.full(p, v), np.full(p, n), np.arange(p), rank[first] >> np.uint64(63) != 0))
             if rows:
-                token, v, n, pos = (np.concatenate(x) for x in zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))], ["token", "v", "n", "pos"])
+                token, v, n, pos, frequent = (np.concatenate(x) for x in zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(frequent)], ["token", "v", "n", "pos", "hot"])
+
+    return docs.select(text).mapInArrow(run, "token bigint, v bigint, n int, pos int, hot boolean")
 
-    return docs.select(text).mapInArrow(run, "token bigint, v bigint, n int, pos int")
+
+def shared_lists(entries: DataFrame) -> DataFrame:
+    """``token, v, n, pos, x, y``: the entries of lists with two sets or more, x and y being a list's least and greatest.
+
+    Lists of frequent shingles are summed up first and joined, so none is held by one task.  All other
+    lists are met in one exchange.  They are short: a shingle that a thousandth of the sets have is counted in
+    a task, and only 65,536 of those can be more frequent.
+    """
+    of_list = W.partitionBy("token")
+    short = entries.where("NOT hot").select("token", "v", "n", "pos", F.min("v").over(of_list).alias("x"), F.max("v").over(of_list).alias("y"))
+    frequent = cut_lineage(entries.where("hot").select("token", "v", "n", "pos"))
+    ends = frequent.groupBy("token").agg(F.min("v").alias("x"), F.max("v").alias("y"))
+    return short.unionByName(frequent.join(ends.hint("merge"), "token")).where("x < y")
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -174,10 +209,8 @@ def _grouped(docs: DataFrame, text: str) -> DataFrame:
     """``doc_id, text_key, n, g`` of every row: the size of its set and the key of its component."""
     ids = cut_lineage(vertices(docs, text))
     hot = hot_shingles(docs, text)
-    entries = index_entries(docs, hot, text)
-    shared = cut_lineage(entries.groupBy("token").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x < y"))
     top = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
-    active = entries.join(shared.hint("merge"), "token").select("token", "v", "n", "pos", top.alias("own"), "x", "y").distinct()
+    active = shared_lists(index_entries(docs, hot, text)).select("token", "v", "n", "pos", top.alias("own"), "x", "y").distinct()
     own_lists = W.partitionBy("v").orderBy("x", "y", "token")
     active = cut_lineage(active.select(
         "token", "v", "n", "pos", "own", F.lag("token").over(own_lists).alias("before"), F.lead("token").over(own_lists).alias("after"),
@@ -189,25 +222,26 @@ def _grouped(docs: DataFrame, text: str) -> DataFrame:
     leaders = classed.groupBy(*key).agg(
         F.min("v").alias("l0"), F.max("v").alias("l1"), F.min_by("v", other).alias("l2"), F.max_by("v", other).alias("l3")).where("l0 < l1")
     leaders = cut_lineage(leaders.select(*key, F.explode(F.array_distinct(F.array("l0", "l1", "l2", "l3"))).alias("b")))
-    size_of = cut_lineage(active.groupBy("v").agg(F.first("n").alias("n")))
+    size_of = cut_lineage(ids.join(active.select("v").distinct(), "v", "left_semi").groupBy("v").agg(*[F.first(c).alias(c) for c in ("n", *MARKS)]))
     pairs = classed.join(leaders, key).where("v <> b").groupBy(
         F.least("v", "b").alias("a"), F.greatest("v", "b").alias("b")).agg(F.count("*").alias("m"))
-    pairs = cut_lineage(_sized(pairs, size_of).where(_reachable(F.col("m"))).drop("m"))
+    pairs = cut_lineage(_sized(pairs, size_of).where(_reachable(F.col("m")) & _may_link()).drop("m", *[f"{m}{end}" for m in MARKS for end in "ab"]))
     texts = _texts_of(docs, ids, pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text)
     known = cut_lineage(_links(pairs, texts).groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("na", "nb", "o")]))
     links = known.where(_linked()).select(F.col("a").alias("i"), F.col("b").alias("j"))
     first = cut_lineage(connected_components(links, by=()))
 
     labelled = classed.join(first.withColumnRenamed("tile_id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
-    labelled = cut_lineage(labelled)
-    x = labelled.select(*key, *[F.col(c).alias(f"{c}a") for c in ("v", "n", "pos", "own", "c", "before", "after", "k")])
-    y = labelled.select(*key, *[F.col(c).alias(f"{c}b") for c in ("v", "n", "pos", "own", "c", "before", "after")])
+    labelled = cut_lineage(labelled.join(size_of.select("v", *MARKS), "v"))
+    sides = ("v", "n", "pos", "own", "c", "before", "after", *MARKS)
+    x = labelled.select(*key, *[F.col(c).alias(f"{c}a") for c in (*sides, "k")])
+    y = labelled.select(*key, *[F.col(c).alias(f"{c}b") for c in sides])
     home = F.col("size_class") == F.greatest("owna", "ownb")
     room = F.least("posa", "posb") + 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
     begins, ends = ~F.col("beforea").eqNullSafe(F.col("beforeb")), ~F.col("aftera").eqNullSafe(F.col("afterb"))
     begins, ends = begins | F.col("beforea").isNull(), ends | F.col("aftera").isNull()
     rest = x.join(y, key).where((F.col("va") < F.col("vb")) & (F.col("ca") != F.col("cb")) & home & (9 * room >= 4 * (F.col("na") + F.col("nb")))
-                                & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (begins | ends))
+                                & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (begins | ends) & _may_link())
     run = F.when(ends, F.col("ka") + 1).otherwise(0) - F.when(begins, F.col("ka")).otherwise(0)
     rest = rest.groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum(run).alias("m"))
     rest = rest.where(_reachable(F.col("m"))).drop("m").join(known.select("a", "b"), ["a", "b"], "left_anti")
@@ -215,7 +249,7 @@ def _grouped(docs: DataFrame, text: str) -> DataFrame:
     more = _texts_of(docs, ids, rest.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text)
     found = cut_lineage(_links(rest, more)).where(_linked()).select(F.col("a").alias("i"), F.col("b").alias("j"))
     final = cut_lineage(connected_components(links.unionByName(found), by=()))
-    for df in (shared, active, leaders, labelled, texts, more):
+    for df in (active, leaders, labelled, texts, more, size_of, pairs, known, first, rest, found):
         release(df)
 
     rows = ids.join(final.withColumnRenamed("tile_id", "v"), "v", "left").withColumn("g", F.coalesce("component", "v"))
@@ -224,7 +258,7 @@ def _grouped(docs: DataFrame, text: str) -> DataFrame:
 
 def _sized(pairs: DataFrame, size_of: DataFrame) -> DataFrame:
     for end in "ab":
-        pairs = pairs.join(size_of.select(F.col("v").alias(end), F.col("n").alias(f"n{end}")), end)
+        pairs = pairs.join(size_of.select(F.col("v").alias(end), *[F.col(c).alias(f"{c}{end}") for c in ("n", *MARKS)]), end)
     return pairs
 
 
