@@ -231,19 +231,21 @@ def _grouped(docs: DataFrame, text: str) -> DataFrame:
     links = known.where(_linked()).select(F.col("a").alias("i"), F.col("b").alias("j"))
     first = cut_lineage(connected_components(links, by=()))
 
-    labelled = classed.join(first.withColumnRenamed("tile_id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
-    labelled = cut_lineage(labelled.join(size_of.select("v", *MARKS), "v"))
-    sides = ("v", "n", "pos", "own", "c", "before", "after", *MARKS)
-    x = labelled.select(*key, *[F.col(c).alias(f"{c}a") for c in (*sides, "k")])
-    y = labelled.select(*key, *[F.col(c).alias(f"{c}b") for c in sides])
+    labelled = active.join(size_of.select("v", *MARKS), "v").join(first.withColumnRenamed("tile_id", "v"), "v", "left")
+    labelled = labelled.withColumn("c", F.coalesce("component", "v")).drop("component")
+    labelled = cut_lineage(labelled.withColumn("size_class", F.explode(F.array("own", F.col("own") + 1))))
+    # the same columns on both sides, so that both read one exchange
+    sides = ("v", "n", "pos", "own", "c", "before", "after", "k", *MARKS)
+    x, y = (labelled.select(*key, *[F.col(c).alias(f"{c}{end}") for c in sides]) for end in "ab")
     home = F.col("size_class") == F.greatest("owna", "ownb")
     room = F.least("posa", "posb") + 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
     begins, ends = ~F.col("beforea").eqNullSafe(F.col("beforeb")), ~F.col("aftera").eqNullSafe(F.col("afterb"))
     begins, ends = begins | F.col("beforea").isNull(), ends | F.col("aftera").isNull()
     rest = x.join(y, key).where((F.col("va") < F.col("vb")) & (F.col("ca") != F.col("cb")) & home & (9 * room >= 4 * (F.col("na") + F.col("nb")))
                                 & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (begins | ends) & _may_link())
-    run = F.when(ends, F.col("ka") + 1).otherwise(0) - F.when(begins, F.col("ka")).otherwise(0)
-    rest = rest.groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum(run).alias("m"))
+    places = F.col("ka") + F.col("kb")  # a run is as long in one set's lists as in the other's
+    run = F.when(ends, places + 2).otherwise(0) - F.when(begins, places).otherwise(0)
+    rest = rest.groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.shiftright(F.sum(run), 1).alias("m"))
     rest = rest.where(_reachable(F.col("m"))).drop("m").join(known.select("a", "b"), ["a", "b"], "left_anti")
     rest = cut_lineage(_not_derived(rest, known))
     more = _texts_of(docs, ids, rest.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text)
