@@ -193,7 +193,9 @@ def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     first and the last of such a run name the pair, with their places, so the number of shared lists is known.
     Of these pairs, one is skipped where its answer follows from the leader's: the overlap with y is at most
     the leader's overlap with y plus the members that the leader lacks.  The rest is computed in full.
-    No group emits all its pairs, and every link between different components is found.
+    Every set carries 256 marks, which bound a pair's overlap from above: pairs that cannot link by them are dropped in
+    the join of lists and before any text is read.  The bound is weak for sets of a thousand shingles and more.
+    A list's sets are compared across components only, and every link between different components is found.
 
     Null, empty and blank texts have no shingles and link with nothing: their component is their own id.
     Fully repeated rows each get a row; null ids count only where a component has no other id; other
