@@ -399,6 +399,8 @@ def score(docs: DataFrame, *, text: str = "text", held_out=None) -> DataFrame:
     base = base.withColumn("chunk", F.coalesce(F.expr(f"cast(doc_id as bigint) div {CHUNK}L"), spare))
     vocabulary = cut_lineage(numbered(word_counts(base), F.desc("c"), F.col("h"), name="id"))
     steps = vocabulary.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
+    if sum(r["n"] for r in steps) > START_ID:  # ids from 0 on must stay below the two reserved ones
+        raise ValueError(f"more than {START_ID} distinct words: their ids have 32 bits")
     words = Words([(r["c"], r["n"]) for r in steps], texts)
     coded = as_ids(base, vocabulary, words)
 

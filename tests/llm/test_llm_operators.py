@@ -391,6 +391,14 @@ def test_katz(docs, none, texts):
     assert katz.score(none).count() == 0
 
 
+def test_katz_refuses_more_words_than_ids(spark, monkeypatch):
+    configure_llm(spark)
+    rows = spark.createDataFrame([(1, "one two three"), (3, "four five")], "doc_id bigint, text string")
+    monkeypatch.setattr(katz, "START_ID", 4)
+    with pytest.raises(ValueError, match="distinct words"):
+        katz.score(rows, held_out=F.lit(False))
+
+
 def test_convnet_learns(spark, none):
     rng = np.random.default_rng(4)
     rows = [(i, "".join(rng.choice(list("abcdef "), 1500)) + (" ###" * 5 if i % 2 else ""), 1 - i % 2) for i in range(800)]  # enough for some hundred steps
