@@ -9,6 +9,8 @@ called once per task, which suits a model that has to be loaded.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stagelog.functions.rows import distance
 from stagelog.operators.features import model_windows
+from stagelog.session import cut_lineage
 
 _FIELDS = ("tx", "ty", "ax", "ay")
 
@@ -97,17 +100,24 @@ def best_command_expr(
 ) -> DataFrame:
     """C8 + I13 + J2 with the predictor as column expressions over ``x_command`` and ``y_command``.
 
-    The constant-size grid explodes in place and the minimum per target combines
-    before the shuffle, so one row per target and task leaves the map side.
+    The constant-size grid explodes in place, twice: once for the least error of each target and once for the
+    first candidate that has it.  Both are plain numbers, which combine in a hash table before the shuffle; a
+    struct of them would have every candidate sorted.
     """
     n = hi - lo
-    ordinal = F.explode(F.sequence(F.lit(0), F.lit(n * n - 1)))
-    cand = targets.withColumn("ord", ordinal).withColumns({
-        "x_command": F.col("x_target") + (F.expr(f"ord div {n}") + lo) * step_nm,
-        "y_command": F.col("y_target") + (F.col("ord") % n + lo) * step_nm})
-    err = distance(predict_x - F.col("x_target"), predict_y - F.col("y_target"))
-    cand = cand.withColumn("err", err)
-    best = cand.groupBy(*key, "x_target", "y_target").agg(F.min_by(
-        F.struct("x_command", "y_command", "err"), F.struct("err", "ord")).alias("b"))
-    return best.select(*key, "x_target", "y_target", F.col("b.x_command").cast("bigint").alias("x_command"),
-                       F.col("b.y_command").cast("bigint").alias("y_command"), F.col("b.err").cast("bigint").alias("error_nm"))
+    group = [*key, "x_target", "y_target"]
+    x = F.col("x_target") + (F.expr(f"ord div {n}") + lo) * step_nm
+    y = F.col("y_target") + (F.col("ord") % n + lo) * step_nm
+    targets = cut_lineage(targets)
+
+    def tried(rows: DataFrame) -> DataFrame:
+        cand = rows.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1)))).withColumns({"x_command": x, "y_command": y})
+        return cand.withColumn("err", distance(predict_x - F.col("x_target"), predict_y - F.col("y_target")))
+
+    least = tried(targets).groupBy(*group).agg(F.min("err").alias("__least"), F.count_if(F.col("err").isNull()).alias("__null"))
+    # an error that is null comes before all others
+    least = least.select(*[F.col(c).alias(f"__{c}") for c in group], F.when(F.col("__null") == 0, F.col("__least")).alias("__least"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group])
+    best = tried(targets.join(least, same)).where(F.col("err").eqNullSafe(F.col("__least"))).groupBy(*group, "__least").agg(F.min("ord").alias("ord"))
+    return best.select(*group, x.cast("bigint").alias("x_command"), y.cast("bigint").alias("y_command"),
+                       F.col("__least").cast("bigint").alias("error_nm"))
