@@ -5,25 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stagelog.functions.rows import distance
+from stagelog.session import cut_lineage
 
 _FINE = 4  # cells per radius
 
 
 def agreement_cluster(
     df: DataFrame, group: list[str], x: str, y: str, quality: str, weight: str, radius: float,
-    min_support: int, order: str, pair_limit: int = 64,
+    min_support: int, order: str, pair_limit: int = 1024,
 ) -> DataFrame:
     """Per group, the weighted mean of the points around its best-supported point.
 
     The best point has the most points within ``radius``, then the largest
     quality sum, then the smallest ``order``.  Points are compared pair by pair
-    only where the largest group has at most ``pair_limit`` of them.
+    in groups of at most ``pair_limit`` of them, where that stays in one place and moves no pair; larger groups
+    are summed by cells.
     """
     pts = df.select(
         *group, F.col(x).alias("px"), F.col(y).alias("py"), F.col(quality).alias("q"), F.col(weight).alias("wt"),
         F.col(order).alias("o"))
-    fullest = pts.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    supported = _by_pairs(pts, group, radius) if fullest <= pair_limit else _by_cells(pts, group, radius, min_support)
+    sizes = pts.groupBy(*group).count()
+    least, most = sizes.agg(F.min("count"), F.max("count")).first()
+    if (most or 0) <= pair_limit:
+        supported = _by_pairs(pts, group, radius)
+    elif least > pair_limit:
+        supported = _by_cells(pts, group, radius, min_support)
+    else:
+        large = cut_lineage(sizes.where(F.col("count") > pair_limit).select(*group))
+        supported = _by_pairs(pts.join(large, group, "left_anti"), group, radius).unionByName(
+            _by_cells(pts.join(large, group, "left_semi"), group, radius, min_support))
     best = supported.groupBy(*group).agg(F.max_by(
         F.struct("sx", "sy", "support"), F.struct(F.col("support"), F.col("quality"), -F.col("so"))).alias("s"))
     best = best.where(F.col("s.support") >= min_support)
@@ -56,16 +66,19 @@ def _by_cells(pts: DataFrame, group: list[str], radius: float, min_support: int)
     cells = pts.groupBy(*group, "cx", "cy").agg(F.count("*").alias("n"), F.sum("q").alias("q"))
 
     reach = _FINE + 1
-    span = F.sequence(F.lit(-reach), F.lit(reach))
-    around = (
-        cells.select(*group, F.col("cx").alias("ax"), F.col("cy").alias("ay"))
-        .withColumn("ox", F.explode(span)).withColumn("oy", F.explode(span)))
     near = distance(F.greatest(F.abs("ox") - 1, F.lit(0)), F.greatest(F.abs("oy") - 1, F.lit(0)))
     far = distance(F.abs("ox") + 1, F.abs("oy") + 1)
-    around = around.withColumns({"possible": near <= _FINE, "sure": far < _FINE}).where("possible").withColumns({
-        "cx": F.col("ax") + F.col("ox"), "cy": F.col("ay") + F.col("oy")})
-    links = around.join(cells, [*group, "cx", "cy"]).select(
-        *group, "ax", "ay", "cx", "cy", "n", "q", "sure")
+    blocks = cells.withColumns({"bx": F.floor(F.col("cx") / reach), "by": F.floor(F.col("cy") / reach)})
+
+    def reached(from_cells: DataFrame) -> DataFrame:
+        """The cells that points of each cell may reach: cells meet in blocks of ``reach`` of them and the blocks around."""
+        step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        around = from_cells.select(*group, "ax", "ay").withColumn("sx", step).withColumn("sy", step).select(
+            *group, "ax", "ay", (F.floor(F.col("ax") / reach) + F.col("sx")).alias("bx"), (F.floor(F.col("ay") / reach) + F.col("sy")).alias("by"))
+        met = around.join(blocks, [*group, "bx", "by"]).withColumns({"ox": F.col("cx") - F.col("ax"), "oy": F.col("cy") - F.col("ay")})
+        return met.where(near <= _FINE).select(*group, "ax", "ay", "cx", "cy", "n", "q", (far < _FINE).alias("sure"))
+
+    links = reached(cells.select(*group, F.col("cx").alias("ax"), F.col("cy").alias("ay")))
     zero = F.lit(0)
     bounds = links.groupBy(*group, "ax", "ay").agg(
         F.sum(F.when(F.col("sure"), F.col("n")).otherwise(zero)).alias("low"),
@@ -77,8 +90,7 @@ def _by_cells(pts: DataFrame, group: list[str], radius: float, min_support: int)
 
     seeds = pts.select(*group, F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("px").alias("sx"),
                        F.col("py").alias("sy"), F.col("o").alias("so")).join(contenders, [*group, "ax", "ay"])
-    unsure = links.where(~F.col("sure")).select(*group, "ax", "ay", "cx", "cy")
-    reachable = contenders.select(*group, "ax", "ay").join(unsure, [*group, "ax", "ay"])
+    reachable = reached(contenders).where(~F.col("sure")).select(*group, "ax", "ay", "cx", "cy")
     others = reachable.join(pts, [*group, "cx", "cy"]).select(*group, "ax", "ay", "px", "py", "q")
     extra = (
         seeds.join(others, [*group, "ax", "ay"])

@@ -1,8 +1,10 @@
 """What keeps single steps in proportion to their input."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from stagelog.operators import scoring as Sc
+from stagelog.operators import cluster as C, scoring as Sc
 
 
 def plan(df):
@@ -18,3 +20,27 @@ def test_candidates_are_not_sorted(spark, frame):
     got = {r.source_index: (r.run_id, r.x_command, r.y_command, r.error_nm) for r in found.collect()}
     assert got == {1: ("a", 0, -200, 3), 2: ("a", 107, -204, 20), 3: (None, 5, -195, 0), 4: ("b", -199, -199, None),
                    5: ("b", None, -198, None), 6: ("c", 10, -200, 0)}
+
+
+def test_one_large_group_does_not_send_small_ones_to_cells(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    g = np.repeat([0, 1, 2], [400, 30, 20])
+    pts, q = rng.normal(0, 2.0, (450, 2)), rng.integers(1, 9, 450).astype(float)
+    df = spark.createDataFrame(pd.DataFrame(dict(g=g, o=np.arange(450), x=pts[:, 0], y=pts[:, 1], q=q)))
+    seen, by_cells = [], C._by_cells
+
+    def watched(points, *more):
+        seen.append({r.g for r in points.select("g").distinct().collect()})
+        return by_cells(points, *more)
+
+    monkeypatch.setattr(C, "_by_cells", watched)
+    got = {r.g: r for r in C.agreement_cluster(df, ["g"], "x", "y", "q", "q", 1.5, 3, "o", 100).collect()}
+    assert seen == [{0}]
+    for k in range(3):
+        at = np.flatnonzero(g == k)
+        p, w = pts[at], q[at]
+        near = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)) <= 1.5
+        best = max(range(len(at)), key=lambda a: (near[a].sum(), w[near[a]].sum(), -a))
+        m = near[best]
+        assert got[k].support == m.sum()
+        assert np.allclose((got[k].x, got[k].y), (p[m] * w[m, None]).sum(0) / w[m].sum())
