@@ -13,6 +13,7 @@ from stagelog.functions.units import safe_label, with_filename
 from stagelog.operators.ordered import CHUNK, chunk_of, running_sum
 from stagelog.operators.quality import attach_positions
 from stagelog.schema import RAW_STEP
+from stagelog.sources.sinks import COMMIT, in_ranges
 
 _RUN = ["run_id"]
 
@@ -120,10 +121,9 @@ def write_segments(
     record = [F.col("confidence_text").alias(f) if f == "confidence" and "confidence_text" in rows.columns
               else F.col(f) for f in fields]
     named = rows.join(names, ["run_id", "part"]).select("run_id", "part", "source_index", "segment_file", *record)
-    ordered = named.repartitionByRange("run_id", "part", "source_index").sortWithinPartitions(
-        "run_id", "part", "source_index").drop("part", "source_index")
+    ordered = in_ranges(named, "run_id", "part", "source_index").drop("part", "source_index")
     mode = "overwrite" if overwrite else "errorifexists"
-    ordered.write.mode(mode).partitionBy("run_id", "segment_file").json(out)
+    ordered.write.options(**COMMIT).mode(mode).partitionBy("run_id", "segment_file").json(out)
 
 
 def build_manifest(
@@ -178,5 +178,4 @@ def write_manifest(header: DataFrame, entries: DataFrame, out: str, overwrite: b
     """Counts as one JSON line per run, lists as ordered JSON lines per run and section."""
     mode = "overwrite" if overwrite else "errorifexists"
     header.write.mode(mode).json(f"{out}/header")
-    entries.repartitionByRange("run_id", "section", "ordinal").sortWithinPartitions(
-        "run_id", "section", "ordinal").write.mode(mode).partitionBy("run_id", "section").json(f"{out}/entries")
+    in_ranges(entries, "run_id", "section", "ordinal").write.options(**COMMIT).mode(mode).partitionBy("run_id", "section").json(f"{out}/entries")

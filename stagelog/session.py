@@ -65,12 +65,14 @@ def release(df: DataFrame) -> None:
 
 # Runtime SQL settings for sessions built elsewhere: split a skewed join side
 # even where that costs one more shuffle (a hot run meeting a per-run row).
+# Folders of many small files are listed by few tasks with many paths each.
 RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "256",
 }
 
 

@@ -12,6 +12,7 @@ from stagelog.functions.rows import normalise_steps
 from stagelog.functions.units import with_filename
 from stagelog.operators.ordered import dense_position
 from stagelog.schema import BACKLASH_FLAT, BACKLASH_NESTED, POSITION_VALUE, RAW_STEP, STREAM_STEP
+from stagelog.session import cut_lineage
 
 
 def _stem(path: Column) -> Column:
@@ -87,12 +88,21 @@ def read_steps(
     ``json`` (arrays or objects of flat records, split at closing braces).
     ``permissive`` skips malformed records: see :func:`skipped_records`.
     """
-    return _read(spark, path, mode, layout, run_from)[0]
+    # a position is counted and then scanned: files are opened once, the records they gave are read twice
+    good = cut_lineage(_read(spark, path, mode, layout)[0].withColumn("run_id", _run_of(F.col("file"), run_from)).select("run_id", "file", "block", "piece", "r"))
+    keys = ["run_id"] if run_from == "folder" else ["run_id", "file"]
+    rows = dense_position(good, keys, "piece", "source_index", chunk=F.struct("file", "block"))
+    rows = rows.select("run_id", "source_index",
+                       *[F.col(f"r.{n}").alias(n) for n in RAW_STEP.fieldNames()])
+    rows = rows.withColumns({
+        "step_text": F.col("step"), "confidence_text": F.col("confidence"),
+        "event_time": F.timestamp_micros((F.col("timestamp") * 1e6).cast("bigint"))})
+    return with_filename(normalise_steps(rows))
 
 
 def skipped_records(spark: SparkSession, path: str | list[str], layout: str = "auto") -> DataFrame:
     """A2: the malformed records a permissive read leaves out, with their file."""
-    return _read(spark, path, "permissive", layout, "file")[1]
+    return _read(spark, path, "permissive", layout)[1]
 
 
 def _run_of(file: Column, run_from: str) -> Column:
@@ -101,7 +111,7 @@ def _run_of(file: Column, run_from: str) -> Column:
     return _stem(file)
 
 
-def _read(spark, path, mode, layout, run_from) -> tuple[DataFrame, DataFrame]:
+def _read(spark, path, mode, layout) -> tuple[DataFrame, DataFrame]:
     if layout == "auto":
         kinds = detect_layout(spark, path)
         lines = _parse(_records(spark, kinds.where("layout = 'jsonl'"), path, "\n"), mode)
@@ -111,21 +121,14 @@ def _read(spark, path, mode, layout, run_from) -> tuple[DataFrame, DataFrame]:
         good, bad = _parse(_records(spark, None, path, "\n" if layout == "jsonl" else "}"), mode)
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    good = good.withColumn("run_id", _run_of(F.col("file"), run_from))
-    keys = ["run_id"] if run_from == "folder" else ["run_id", "file"]
-    rows = dense_position(good, keys, "piece", "source_index", chunk=F.struct("file", "block"))
-    rows = rows.select("run_id", "source_index",
-                       *[F.col(f"r.{n}").alias(n) for n in RAW_STEP.fieldNames()])
-    rows = rows.withColumns({
-        "step_text": F.col("step"), "confidence_text": F.col("confidence"),
-        "event_time": F.timestamp_micros((F.col("timestamp") * 1e6).cast("bigint"))})
-    return with_filename(normalise_steps(rows)), bad
+    return good, bad
 
 
 def read_positions(spark: SparkSession, path: str | list[str], run_from: str = "file") -> DataFrame:
     """A3: position entries keyed by file name; anything but an object of objects is an error.
 
-    ``entry`` follows the order in the file, so the last of two equal names can win.
+    ``entry`` follows the order in the file, so the last of two equal names can win; with ``run_from="folder"``
+    it goes on from file to file of the folder, in name order.
     """
     blank = F.col("value").rlike(r"^[\s\x{FEFF}]*\{?\s*$")
     pieces = _pieces(spark, path, "}").where(~blank)
@@ -135,9 +138,12 @@ def read_positions(spark: SparkSession, path: str | list[str], run_from: str = "
     rows = pieces.where(ok.isNull()).withColumn("p", value)
     sound = F.assert_true(
         blank | F.col("p.confidence").isNotNull(), F.concat(F.lit("no numeric confidence: "), F.col("value")))
-    rows = dense_position(rows.where(sound.isNull()), ["file"], "piece", "entry", chunk=F.col("block"))
     name = F.from_json(F.concat(F.lit('{"k":"'), F.regexp_extract("value", key, 1), F.lit('"}')), "k string")["k"]
-    return rows.select(_run_of(F.col("file"), run_from).alias("run_id"), name.alias("filename"), "entry", "p.*")
+    rows = cut_lineage(rows.where(sound.isNull()).select(
+        _run_of(F.col("file"), run_from).alias("run_id"), name.alias("filename"), "file", "block", "piece", "p"))
+    keys = ["run_id"] if run_from == "folder" else ["run_id", "file"]
+    rows = dense_position(rows, keys, "piece", "entry", chunk=F.struct("file", "block"))
+    return rows.select("run_id", "filename", "entry", "p.*")
 
 
 def read_backlash(spark: SparkSession, path: str | list[str], layout: str = "flat") -> DataFrame:

@@ -12,15 +12,28 @@ from pyspark.sql import DataFrame, functions as F
 from stagelog.schema import RAW_STEP
 
 
+# Tasks put their own files in place; otherwise the driver renames every file, one after the other.
+COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """Rows sorted into as many ranges as a shuffle has partitions.
+
+    Writing a file for each key takes time by files, not bytes, so small ranges must not be merged into a few tasks.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+
+
 def _ordered(df: DataFrame, order: str) -> DataFrame:
-    return df.repartitionByRange("run_id", order).sortWithinPartitions("run_id", order).drop(order)
+    return in_ranges(df, "run_id", order).drop(order)
 
 
 def write_steps(steps: DataFrame, out: str, overwrite: bool = False) -> None:
     """Records as JSON lines in source order, one folder per run."""
     text = {"confidence": "confidence_text", "step": "step_text"}
     fields = [F.col(text[f] if text.get(f) in steps.columns else f).alias(f) for f in RAW_STEP.fieldNames() if f in steps.columns]
-    _ordered(steps.select("run_id", "source_index", *fields), "source_index").write.mode(
+    _ordered(steps.select("run_id", "source_index", *fields), "source_index").write.options(**COMMIT).mode(
         "overwrite" if overwrite else "errorifexists").partitionBy("run_id").json(out)
 
 
@@ -32,5 +45,5 @@ def write_positions(positions: DataFrame, out: str, overwrite: bool = False) ->
     line = F.concat(
         F.when(F.col("entry") == F.col("first"), "{").otherwise(","), name, F.lit(": "), body,
         F.when(F.col("entry") == F.col("last"), "}").otherwise(""))
-    _ordered(positions.join(ends, "run_id").select("run_id", "entry", line.alias("value")), "entry").write.mode(
+    _ordered(positions.join(ends, "run_id").select("run_id", "entry", line.alias("value")), "entry").write.options(**COMMIT).mode(
         "overwrite" if overwrite else "errorifexists").partitionBy("run_id").text(out)

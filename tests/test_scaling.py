@@ -5,6 +5,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from stagelog.operators import cluster as C, scoring as Sc
+from stagelog.sources import logs as L
+from stagelog.sources.sinks import in_ranges, write_positions
 
 
 def plan(df):
@@ -44,3 +46,18 @@ def test_one_large_group_does_not_send_small_ones_to_cells(spark, monkeypatch):
         m = near[best]
         assert got[k].support == m.sum()
         assert np.allclose((got[k].x, got[k].y), (p[m] * w[m, None]).sum(0) / w[m].sum())
+
+
+def test_small_runs_are_written_by_many_tasks(spark, frame):
+    rows = spark.range(80).selectExpr("concat('r', id) AS run_id", "id AS source_index")
+    used = in_ranges(rows, "run_id", "source_index").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 1 and used <= 8
+
+
+def test_entries_go_on_over_the_files_of_a_run(spark, tmp_path):
+    schema = "run_id string, filename string, entry bigint, x bigint, y bigint, w bigint, h bigint, confidence double"
+    rows = [("r", f"{i}.bmp", i, i, -i, 10, 20, 0.5) for i in range(40)] + [("r", "7.bmp", 40, 99, 0, 10, 20, 0.5)]
+    write_positions(spark.createDataFrame(rows, schema), str(tmp_path / "p"))
+    assert len(list((tmp_path / "p" / "run_id=r").glob("*.txt"))) > 1
+    back = L.read_positions(spark, str(tmp_path / "p/*/*.txt"), run_from="folder").select("filename", "entry", "x").collect()
+    assert sorted((r.entry, r.filename, r.x) for r in back) == [(r[2], r[1], r[3]) for r in rows]
