@@ -36,7 +36,8 @@ def test_one_large_group_does_not_send_small_ones_to_cells(spark, monkeypatch):
         return by_cells(points, *more)
 
     monkeypatch.setattr(C, "_by_cells", watched)
-    got = {r.g: r for r in C.agreement_cluster(df, ["g"], "x", "y", "q", "q", 1.5, 3, "o", 100).collect()}
+    monkeypatch.setattr(C, "_TOGETHER", 100)
+    got = {r.g: r for r in C.agreement_cluster(df, ["g"], "x", "y", "q", "q", 1.5, 3, "o").collect()}
     assert seen == [{0}]
     for k in range(3):
         at = np.flatnonzero(g == k)
@@ -48,6 +49,18 @@ def test_one_large_group_does_not_send_small_ones_to_cells(spark, monkeypatch):
         assert np.allclose((got[k].x, got[k].y), (p[m] * w[m, None]).sum(0) / w[m].sum())
 
 
+def test_groups_in_place_are_those_by_cells_with_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    pts = pd.DataFrame(dict(g=np.repeat([0, 1], 60), o=np.tile(np.arange(60), 2), px=rng.normal(0, 2, 120), py=rng.normal(0, 2, 120),
+                            q=rng.integers(1, 9, 120).astype(float), wt=1.0))
+    pts = spark.createDataFrame(pd.concat([pts, pts[::7], pts[::11].assign(px=0.3)]))
+
+    def rows(found):
+        return {tuple(r) for r in found.select("g", "so", "sx", "sy", "support", "quality").collect()}
+
+    assert rows(C._in_place(pts, ["g"], 1.5, 3)) == rows(C._by_cells(pts, ["g"], 1.5, 3))
+
+
 def test_small_runs_are_written_by_many_tasks(spark, frame):
     rows = spark.range(80).selectExpr("concat('r', id) AS run_id", "id AS source_index")
     used = in_ranges(rows, "run_id", "source_index").select(F.spark_partition_id().alias("p")).distinct().count()
