@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stagelog.functions.rows import distance
 from stagelog.operators.cluster import agreement_cluster
 from stagelog.operators.graph import (
     connected_components, consensus_core, degrees, edge_residuals, keep_edges, largest_component)
-from stagelog.operators.solve import solve_poses
+from stagelog.operators.solve import LOCAL_EDGES, solve_poses
 from stagelog.schema import (
     AGREE_PX, MAX_CORRECTION_NM, MAX_RESIDUAL_PX, MIN_NEIGHBOURS, NM_PER_PX, POSE_ANCHOR)
 from stagelog.session import cut_lineage, release
 
 _KEYS = ["run_id", "component"]
 _SEED = [*_KEYS, "seed"]
+_DEGREE = 512  # links of a tile, for components that a task takes whole
+_PAIRS = 1 << 21  # pairs of offers compared together
+_GROWN = "run_id string, component bigint, seed int, tile_id bigint, x double, y double, quality double, wave int"
 
 
 def triangle_quality(edges: DataFrame, tri: DataFrame) -> DataFrame:
@@ -79,17 +84,144 @@ def _attempted(seeds: DataFrame, grown: DataFrame) -> DataFrame:
     return in_order.select(*_KEYS, F.explode(tried).alias("seed"))
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges of so many from each start, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _agreed(group: np.ndarray, ox: np.ndarray, oy: np.ndarray, w: np.ndarray, src: np.ndarray, radius: float, k: int) -> tuple[np.ndarray, ...]:
+    """:func:`agreement_cluster` of offers sorted by group: the groups with ``k`` agreeing ones, and where they put their tile."""
+    cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(cut, len(group)))
+    piece = np.cumsum(size * size) // _PAIRS
+    found = []
+    for p in np.unique(piece):
+        own = np.flatnonzero(piece == p)
+        seeds = _ranges(cut[own], size[own])
+        per = np.repeat(size[own], size[own])
+        left, right = np.repeat(seeds, per), _ranges(np.repeat(cut[own], size[own]), per)
+        near = np.sqrt((ox[right] - ox[left]) ** 2 + (oy[right] - oy[left]) ** 2) <= radius
+        left, right = left[near], right[near]
+        first = seeds[0]
+        support = np.bincount(left - first, minlength=len(seeds))
+        quality = np.round(np.bincount(left - first, w[right], len(seeds)), 9)
+        order = np.lexsort([src[seeds], -quality, -support, group[seeds]])
+        best = order[np.append(True, group[seeds][order][1:] != group[seeds][order][:-1])]
+        best = best[support[best] >= k]
+        place = np.full(len(seeds), -1)
+        place[best] = np.arange(len(best))
+        at = place[left - first]
+        right, at = right[at >= 0], at[at >= 0]
+        weight = np.bincount(at, w[right], len(best))
+        weight = np.where(weight != 0, weight, np.nan)
+        found.append((group[seeds[best]], *[np.bincount(at, o[right] * w[right], len(best)) / weight for o in (ox, oy)]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _largest_grown(rows: pd.DataFrame, k: int, agree_px: float, limit_px: float, max_residual: float) -> pd.DataFrame:
+    """The largest set of one component: every seed is grown, best first, but those inside a set already grown.
+
+    ``rows`` has the tiles (kind 0: id, place), edges (1: both ends, displacement, weight) and triangles (2: corners, quality).
+    """
+    tiles, edges, tri = (rows[rows["kind"] == n] for n in range(3))
+    tri = tri.sort_values(["x", "a", "b", "c"], ascending=[False, True, True, True])
+    ids = np.unique(np.concatenate([tiles["a"], edges["a"], edges["b"]]))
+    n = len(ids)
+    target = np.full((2, n), np.nan)
+    target[:, np.searchsorted(ids, tiles["a"])] = tiles[["x", "y"]].to_numpy().T
+    i, j = (np.searchsorted(ids, edges[c]) for c in "ab")
+    src, dst = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.lexsort([src, dst])
+    src, dst = src[order], dst[order]
+    dx, dy = (np.concatenate([edges[c], -edges[c]])[order] for c in "xy")
+    w = np.concatenate([edges["w"]] * 2)[order]
+    links = np.bincount(dst, minlength=n)
+    start = np.cumsum(links) - links
+    link = dst * n + src  # sorted
+    l, m, r = (np.searchsorted(ids, tri[c]) for c in "abc")
+    by_l = np.argsort(l, kind="stable")
+    corners = np.bincount(l, minlength=n)
+    first = np.cumsum(corners) - corners
+    inside = np.zeros(len(l), bool)
+    placed, x, y = np.zeros(n, bool), np.zeros(n), np.zeros(n)
+    best, most = None, (0, 0)
+    for seed in range(len(l)):
+        if inside[seed] or np.isnan(target[0, l[seed]]):
+            continue
+        fresh = np.array([l[seed], m[seed], r[seed]])
+        step = np.searchsorted(link, fresh[1:] * n + fresh[0])
+        x[fresh] = target[0, fresh[0]] + np.append(0.0, dx[step])
+        y[fresh] = target[1, fresh[0]] + np.append(0.0, dy[step])
+        placed[fresh] = True
+        members = [fresh]
+        while len(fresh):
+            near = src[_ranges(start[fresh], links[fresh])]
+            exposed = np.unique(near[~placed[near]])
+            at = _ranges(start[exposed], links[exposed])
+            at = at[placed[src[at]]]
+            if not len(at):
+                break
+            cut = np.flatnonzero(np.append(True, dst[at][1:] != dst[at][:-1]))
+            offers = np.diff(np.append(cut, len(at)))
+            at = at[np.repeat(offers >= k, offers)]
+            if not len(at):
+                break
+            tile, nx, ny = _agreed(dst[at], x[src[at]] + dx[at], y[src[at]] + dy[at], w[at], src[at], agree_px, k)
+            near = np.sqrt((nx - target[0, tile]) ** 2 + (ny - target[1, tile]) ** 2) <= limit_px
+            fresh = tile[near]
+            x[fresh], y[fresh], placed[fresh] = nx[near], ny[near], True
+            members.append(fresh)
+        members = np.concatenate(members)
+        own = by_l[_ranges(first[members], corners[members])]
+        inside[own[placed[m[own]] & placed[r[own]]]] = True
+        if len(members) >= most[0]:
+            at = _ranges(start[members], links[members])
+            at = at[placed[src[at]]]
+            gap = np.sqrt((x[dst[at]] - x[src[at]] - dx[at]) ** 2 + (y[dst[at]] - y[src[at]] - dy[at]) ** 2)
+            size = (len(members), int((gap <= max_residual).sum()))
+            if size > most:
+                most, best = size, (seed, members, x[members], y[members])
+        placed[members] = False
+    if best is None:
+        best = (0, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    seed, members, x, y = best
+    out = {"run_id": rows["run_id"].iloc[0], "component": rows["component"].iloc[0], "seed": seed + 1, "tile_id": ids[members], "x": x, "y": y,
+           "quality": tri["x"].iloc[seed] if len(tri) else 0.0, "wave": 0}
+    return pd.DataFrame(out, columns=list(out))
+
+
+def _fit_a_task(at: DataFrame, links: DataFrame, tri: DataFrame, local_edges: int) -> DataFrame:
+    """The components that one task can hold: of bounded size, and without repeated tiles or edges."""
+    ends = links.groupBy(*_KEYS, "src", "dst").agg(F.count("*").alias("n"), F.count_if(F.isnull(F.col("dx") + F.col("dy") + F.col("base_weight"))).alias("bare"))
+    ends = ends.groupBy(*_KEYS, "src").agg(F.sum("n").alias("degree"), F.max("n").alias("copies"), F.max("bare").alias("bare"))
+    ends = ends.groupBy(*_KEYS).agg(F.sum("degree").alias("ends"), F.max("degree").alias("degree"), F.max("copies").alias("copies"), F.max("bare").alias("bare"))
+    twice = at.groupBy(*_KEYS, "tile_id").count().where("count > 1").select(*_KEYS).distinct()
+    many = tri.groupBy(*_KEYS).count().where(F.col("count") <= 5 * local_edges).select(*_KEYS)
+    fit = (F.col("ends") <= 2 * local_edges) & (F.col("degree") <= _DEGREE) & (F.col("copies") == 1) & (F.col("bare") == 0)
+    return ends.where(fit).select(*_KEYS).join(many, _KEYS, "left_semi").join(twice, _KEYS, "left_anti")
+
+
+def _grow_whole(at: DataFrame, edges: DataFrame, tri: DataFrame, **limits) -> DataFrame:
+    """The largest set of every component, one task a component."""
+    zero, no_id = F.lit(0.0), F.lit(0).cast("bigint")
+    rows = at.select(*_KEYS, F.lit(0).alias("kind"), F.col("tile_id").alias("a"), no_id.alias("b"), no_id.alias("c"), "x", "y", zero.alias("w"))
+    rows = rows.unionByName(edges.select(*_KEYS, F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), no_id.alias("c"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("base_weight").alias("w")))
+    rows = rows.unionByName(tri.select(*_KEYS, F.lit(2).alias("kind"), F.col("l").alias("a"), F.col("m").alias("b"), F.col("r").alias("c"), F.col("quality").alias("x"), zero.alias("y"), zero.alias("w")))
+    return rows.groupBy(*_KEYS).applyInPandas(lambda df: _largest_grown(df, **limits), _GROWN)
+
+
 def grow_components(
     tiles: DataFrame, edges: DataFrame, triangles: DataFrame, k: int = MIN_NEIGHBOURS,
     agree_px: float = AGREE_PX, max_correction_nm: float = MAX_CORRECTION_NM, max_seeds: int | None = None,
     max_residual: float = MAX_RESIDUAL_PX, nm_per_px: float = NM_PER_PX, batch: int = 16,
+    local_edges: int = LOCAL_EDGES,
 ) -> tuple[DataFrame, DataFrame]:
     """The run's largest set of tiles that can be placed from one seed triangle.
 
     A tile joins when at least ``k`` placed neighbours agree on its position and
-    that lies near its commanded place.  All runs and all connected parts grow
-    together, one level of neighbours per round; the result does not depend on
-    the order of edges.  Seeds are tried best first, skipping triangles inside a
+    that lies near its commanded place, one level of neighbours per round; the result does not depend on
+    the order of edges.  Connected parts of at most ``local_edges`` edges grow in one task each, all larger ones
+    together as joins.  Seeds are tried best first, skipping triangles inside a
     set already grown, until no triangle is left: the best of each part alone,
     then ``batch`` at a time, twice as many each round, of which those inside
     another's set do not count as tried.  ``max_seeds`` ends it after so many
@@ -99,13 +231,19 @@ def grow_components(
     comp = cut_lineage(connected_components(edges))
     at = cut_lineage(tiles.join(comp, ["run_id", "tile_id"]))
     back = edges.select("run_id", F.col("j").alias("src"), F.col("i").alias("dst"), (-F.col("dx")).alias("dx"),
-                        (-F.col("dy")).alias("dy"), "base_weight")
-    links = edges.select("run_id", F.col("i").alias("src"), F.col("j").alias("dst"), "dx", "dy", "base_weight").unionByName(back)
+                        (-F.col("dy")).alias("dy"), "base_weight", F.lit(False).alias("forward"))
+    links = edges.select("run_id", F.col("i").alias("src"), F.col("j").alias("dst"), "dx", "dy", "base_weight",
+                         F.lit(True).alias("forward")).unionByName(back)
     links = cut_lineage(links.join(comp.withColumnRenamed("tile_id", "src"), ["run_id", "src"]))
     open_tri = cut_lineage(triangle_quality(edges, triangles).join(comp.withColumnRenamed("tile_id", "l"), ["run_id", "l"]))
     limit_px = max_correction_nm / nm_per_px
     best_first = W.partitionBy(*_KEYS).orderBy(F.col("quality").desc(), "l", "m", "r")
     tries: list[DataFrame] = []
+    if max_seeds is None:  # the limit counts the tries of a whole run
+        fit = cut_lineage(_fit_a_task(at, links, open_tri, local_edges))
+        own = [df.join(fit, _KEYS, "left_semi") for df in (at, links.where("forward"), open_tri)]
+        tries.append(cut_lineage(_grow_whole(*own, k=k, agree_px=agree_px, limit_px=limit_px, max_residual=max_residual)))
+        open_tri = cut_lineage(open_tri.join(fit, _KEYS, "left_anti"))
     for wave in count():
         many = batch << min(wave - 1, 6) if wave else 1
         seeds = cut_lineage(
