@@ -45,23 +45,23 @@ def triangles(edges: DataFrame, closure_px: float | None = CLOSURE_PX) -> DataFr
 
     Each edge is owned by its end of smaller degree (ties by id), so an owner
     has at most about sqrt(2·edges) owned edges however large the hubs are, and
-    wedges are built only at owners.
+    wedges are built only at owners.  No side is broadcast: all grow with the edges.
     """
     deg = degrees(edges)
-    di, dj = (deg.select("run_id", F.col("tile_id").alias(e), F.col("degree").alias(f"d{e}")) for e in "ij")
+    di, dj = (deg.select("run_id", F.col("tile_id").alias(e), F.col("degree").alias(f"d{e}")).hint("merge") for e in "ij")
     low_i = (F.col("di") < F.col("dj")) | ((F.col("di") == F.col("dj")) & (F.col("i") < F.col("j")))
     owned = edges.select("run_id", "i", "j").join(di, ["run_id", "i"]).join(dj, ["run_id", "j"]).select(
         "run_id", F.when(low_i, F.col("i")).otherwise(F.col("j")).alias("u"),
         F.when(low_i, F.col("j")).otherwise(F.col("i")).alias("v"))
-    wedges = owned.join(owned.withColumnRenamed("v", "w"), ["run_id", "u"]).where(F.col("v") < F.col("w"))
+    wedges = owned.join(owned.withColumnRenamed("v", "w").hint("merge"), ["run_id", "u"]).where(F.col("v") < F.col("w"))
     closed = wedges.join(
-        edges.select("run_id", F.col("i").alias("v"), F.col("j").alias("w")), ["run_id", "v", "w"], "left_semi")
+        edges.select("run_id", F.col("i").alias("v"), F.col("j").alias("w")).hint("merge"), ["run_id", "v", "w"], "left_semi")
     ordered = closed.select("run_id", F.sort_array(F.array("u", "v", "w")).alias("t")).select(
         "run_id", F.col("t")[0].alias("l"), F.col("t")[1].alias("m"), F.col("t")[2].alias("r"))
 
     def side(a: str, b: str) -> DataFrame:
         return edges.select("run_id", F.col("i").alias(a), F.col("j").alias(b),
-                            F.struct("dx", "dy").alias(f"{a}{b}"))
+                            F.struct("dx", "dy").alias(f"{a}{b}")).hint("merge")
 
     out = (
         ordered.join(side("l", "m"), ["run_id", "l", "m"])
@@ -89,14 +89,16 @@ def cycle_filter(
     sides = triangle_sides(tri)
     support = sides.groupBy("run_id", "i", "j").agg(F.count("*").alias("cycle_support")).where(
         F.col("cycle_support") >= min_support)
+    support = cut_lineage(support)
     median = exact_percentiles(
-        sides.join(support.select("run_id", "i", "j"), ["run_id", "i", "j"], "left_semi"), ["run_id", "i", "j"], "closure_error", {"cycle_error_median": 0.5})
+        sides.join(support.select("run_id", "i", "j").hint("merge"), ["run_id", "i", "j"], "left_semi"), ["run_id", "i", "j"], "closure_error",
+        {"cycle_error_median": 0.5}, many_keys=True)
     boost = F.least(F.lit(2.0), F.lit(1.0) + F.lit(0.15) * F.col("cycle_support"))
-    kept = edges.join(support, ["run_id", "i", "j"]).join(median, ["run_id", "i", "j"]).withColumn(
+    kept = edges.join(support.hint("merge"), ["run_id", "i", "j"]).join(median.hint("merge"), ["run_id", "i", "j"]).withColumn(
         "base_weight", F.col("base_weight") * boost)
     pairs = support.select("run_id", "i", "j")
     for a, b in ("lm", "mr", "lr"):
-        tri = tri.join(pairs.select("run_id", F.col("i").alias(a), F.col("j").alias(b)), ["run_id", a, b], "left_semi")
+        tri = tri.join(pairs.select("run_id", F.col("i").alias(a), F.col("j").alias(b)).hint("merge"), ["run_id", a, b], "left_semi")
     return kept, tri
 
 

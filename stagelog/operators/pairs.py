@@ -76,7 +76,8 @@ def nearest_earlier(
         pool = heads.select(
             *keys, F.col("tile_id").alias("i"), "x", "y", _cell("x", size).alias("cx"), _cell("y", size).alias("cy"))
         dx, dy = F.col("x") - F.col("jx"), F.col("y") - F.col("jy")
-        found = queries.join(pool, [*keys, "cx", "cy"]).where(F.col("i") < F.col("j")).withColumn(
+        # a tile meets hundreds of others: a broadcast would leave them in the few tasks that small tables have
+        found = queries.join(pool.hint("merge"), [*keys, "cx", "cy"]).where(F.col("i") < F.col("j")).withColumn(
             "d2", dx * dx + dy * dy).where(F.col("d2") <= size * size)
         by_tile = W.partitionBy("run_id", "j")
         best = found.withColumn("__r", F.row_number().over(by_tile.orderBy("d2", "i"))).where(F.col("__r") <= k)
@@ -136,7 +137,7 @@ def neighbor_pairs(
     at = base.select("run_id", "tile_id", "x", "y")
     out = (
         merged.distinct()
-        .join(at.select("run_id", F.col("tile_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi")), ["run_id", "i"])
-        .join(at.select("run_id", F.col("tile_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")), ["run_id", "j"]))
+        .join(at.select("run_id", F.col("tile_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi")).hint("merge"), ["run_id", "i"])
+        .join(at.select("run_id", F.col("tile_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")).hint("merge"), ["run_id", "j"]))
     out = out.withColumns({"dx": F.col("xj") - F.col("xi"), "dy": F.col("yj") - F.col("yi")})
     return out.where(overlaps(F.col("dx"), F.col("dy"), w, h, min_overlap)).select("run_id", "i", "j", "dx", "dy")

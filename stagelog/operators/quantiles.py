@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 def exact_percentiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], *, accuracy: int = 10_000,
+    many_keys: bool = False,
 ) -> DataFrame:
     """Linear-interpolated exact percentiles per key.
 
     A mergeable sketch brackets each wanted rank; values outside the bracket are
     only counted, and the few distinct values inside are ranked exactly.  Groups
-    of at most ``accuracy`` values use their full range.
+    of at most ``accuracy`` values use their full range.  With ``many_keys`` the
+    brackets, one row a key, are never broadcast.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     margin = 5.0 / accuracy
@@ -30,6 +32,7 @@ def exact_percentiles(
             F.when(small, F.col("__max")).otherwise(F.col("__b")[2 * k + 1]).alias("hi"),
         ) for k, n in enumerate(names)])
     brackets = stats.select(*keys, wanted.alias("__w"))
+    brackets = brackets.hint("merge") if many_keys else brackets
     hits = (
         rows.join(brackets, keys)
         .select(*keys, "__v", F.explode("__w").alias("__w"))

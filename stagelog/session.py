@@ -66,7 +66,9 @@ def release(df: DataFrame) -> None:
 # Runtime SQL settings for sessions built elsewhere: split a skewed join side
 # even where that costs one more shuffle (a hot run meeting a per-run row).
 # Folders of many small files are listed by few tasks with many paths each.
+# Joined partitions are small, as sorted rows take many times the room of shuffled ones.
 RUNTIME = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
