@@ -17,7 +17,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def configure_llm(spark: SparkSession) -> SparkSession:
     """Settings of these queries: Arrow batches bounded by rows and bytes, since texts can be long."""
     configure(spark)
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, spark.sparkContext.getConf().get(size, "64m"))  # as the session was built
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     # each step ends in a written table, so its shuffle files can go at once

@@ -15,9 +15,9 @@ from stagelog.llm.common import cut_lineage, release
 LENGTH = 50  # bytes of a repeated string
 GRAM = 24  # bytes hashed at an anchor
 SPAN = LENGTH - GRAM + 1  # grams of one string; the least of them is its anchor
-CHUNK = 1 << 20  # anchors compared within a task before they are sent on
-SORTED = 1 << 15  # contexts sorted together
-PIECE = 1 << 20  # bytes hashed together
+CHUNK = 1 << 19  # anchors compared within a task before they are sent on
+SORTED = 1 << 13  # contexts sorted together
+PIECE = 1 << 18  # bytes hashed together; hashing takes over 100 bytes of memory for each
 _NONE = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 21) - 1)
 _ENTRY = [("hash", np.uint64), ("doc", np.int64), ("start", np.uint32), ("n", np.uint32)]

@@ -249,3 +249,18 @@ def test_registered_columns(spark):
     assert kinds["op12_tokenizer_alignment"] == dict(
         doc_id="bigint", n_a="bigint", n_b="bigint", n_groups="bigint", n_links="bigint", n_best="bigint", count_sum="bigint", groups_sha256="string")
     assert kinds["op13_language"] == dict(doc_id="bigint", held_out="boolean", lang_pred="string", score="double")
+
+
+def test_hashing_a_piece_takes_bounded_memory():
+    """op7: six tasks hash pieces at once within an executor."""
+    import tracemalloc
+
+    from stagelog.llm import suffixes
+
+    text = bytes(range(32, 127)) * (suffixes.PIECE // 95)
+    suffixes.anchors([text])  # tables of powers are kept
+    tracemalloc.start()
+    suffixes.anchors([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
