@@ -13,6 +13,8 @@ from stagelog.operators.graph import connected_components
 HOT = 1 << 16  # shingles ordered by frequency; all others are ordered by hash
 SEEN = 1 << 19  # vertices a task remembers so that copies are indexed once
 TALLY = 1 << 21  # shingles counted together before counts are sent on
+LIST = ["token", "size_class"]
+MEMBER = ["v", "n", "pos", "own", "r", "shared"]  # a set in a list: its key, size, place, size class, and the members it shares before and in all
 MARKS = [f"s{k}" for k in range(4)]  # 256 bits: whether an odd number of a set's shingles falls on each
 
 
@@ -40,6 +42,18 @@ def _may_link(left: str = "a", right: str = "b") -> Column:
     return 9 * apart <= F.col(f"n{left}") + F.col(f"n{right}")
 
 
+def _room() -> Column:
+    """Whether a shared member at places ``posa`` and ``posb`` leaves room for a link, in the larger set's list.
+
+    Common members before it stand in both prefixes, so both sets share them with others: they are at most as many
+    as the members ``ra``, ``rb`` that the sets share with any set before these places.  So are all members of
+    both prefixes at most the ``shareda``, ``sharedb`` that the sets share with any set.
+    """
+    overlap = F.least("ra", "rb") + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
+    return ((F.col("size_class") == F.greatest("owna", "ownb")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+            & (9 * overlap >= 4 * (F.col("na") + F.col("nb"))) & _reachable(F.least("shareda", "sharedb")))
+
+
 def prefix_length(n: int) -> int:
     """Two sets with a Jaccard similarity of 0.8 share one of so many first members."""
     return n - (4 * n + 4) // 5 + 1
@@ -184,11 +198,13 @@ def components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     union; ``component_id`` is the smallest ``doc_id`` reachable by links.  Shingles and sets are compared by
     64-bit hashes.  Equal sets are one vertex.  An inverted index holds the first members of each set in a
     common order, frequent ones last.  Lists are blocked by size class, so sets that cannot be similar in
-    size never meet, and by position: a pair is skipped where the members left after its positions cannot
-    reach the overlap needed.
+    size never meet, and by position: a pair is skipped where the members left after its positions, and those
+    before them that each shares with any other set, cannot reach the overlap needed.
 
-    First each list's sets meet four leaders of the list only.  A set that proves highly similar to a
-    leader takes over the leader's component, that is its answers; only pairs across components are left.
+    First each list's sets meet four leaders of the list only, one of them the set that shares the largest part
+    of its prefix, since most of a group of near copies link with those in its middle.  A set that proves highly
+    similar to a leader takes over the leader's component, that is its answers; only pairs across components are
+    left.
     Where two sets share lists that follow one another in both, as those of a common passage do, just the
     first and the last of such a run name the pair, with their places, so the number of shared lists is known.
     Of these pairs, one is skipped where its answer follows from the leader's: the overlap with y is at most
@@ -216,50 +232,68 @@ def _grouped(docs: DataFrame, text: str) -> DataFrame:
     own_lists = W.partitionBy("v").orderBy("x", "y", "token")
     active = cut_lineage(active.select(
         "token", "v", "n", "pos", "own", F.lag("token").over(own_lists).alias("before"), F.lead("token").over(own_lists).alias("after"),
-        F.row_number().over(own_lists).alias("k")))
+        F.row_number().over(own_lists).alias("k"), (F.row_number().over(W.partitionBy("v").orderBy("pos")) - 1).alias("r"),
+        F.count("*").over(W.partitionBy("v")).cast("int").alias("shared")))
     classed = active.withColumn("size_class", F.explode(F.array("own", F.col("own") + 1)))
 
-    key = ["token", "size_class"]
-    other = F.xxhash64("v")
-    leaders = classed.groupBy(*key).agg(
-        F.min("v").alias("l0"), F.max("v").alias("l1"), F.min_by("v", other).alias("l2"), F.max_by("v", other).alias("l3")).where("l0 < l1")
-    leaders = cut_lineage(leaders.select(*key, F.explode(F.array_distinct(F.array("l0", "l1", "l2", "l3"))).alias("b")))
     size_of = cut_lineage(ids.join(active.select("v").distinct(), "v", "left_semi").groupBy("v").agg(*[F.first(c).alias(c) for c in ("n", *MARKS)]))
-    pairs = classed.join(leaders, key).where("v <> b").groupBy(
-        F.least("v", "b").alias("a"), F.greatest("v", "b").alias("b")).agg(F.count("*").alias("m"))
-    pairs = cut_lineage(_sized(pairs, size_of).where(_reachable(F.col("m")) & _may_link()).drop("m", *[f"{m}{end}" for m in MARKS for end in "ab"]))
-    texts = _texts_of(docs, ids, pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text)
-    known = cut_lineage(_links(pairs, texts).groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("na", "nb", "o")]))
-    links = known.where(_linked()).select(F.col("a").alias("i"), F.col("b").alias("j"))
-    first = cut_lineage(connected_components(links, by=()))
+    # a set that shares much of its prefix stands near the middle of its group
+    middle, member = F.struct(F.col("shared") / F.col("n"), "v"), F.struct(*MEMBER)
+    pairs = _met(classed, [F.min(member), F.max(member), F.max_by(member, middle), F.max_by(member, F.xxhash64("v"))])
+    known = _compared(pairs, size_of, docs, ids, text)
+    labels = _merged(size_of.select("v", F.col("v").alias("c")), known.where(_linked()))
 
-    labelled = active.join(size_of.select("v", *MARKS), "v").join(first.withColumnRenamed("tile_id", "v"), "v", "left")
-    labelled = labelled.withColumn("c", F.coalesce("component", "v")).drop("component")
+    labelled = active.join(size_of.select("v", *MARKS), "v").join(labels, "v")
     labelled = cut_lineage(labelled.withColumn("size_class", F.explode(F.array("own", F.col("own") + 1))))
     # the same columns on both sides, so that both read one exchange
-    sides = ("v", "n", "pos", "own", "c", "before", "after", "k", *MARKS)
-    x, y = (labelled.select(*key, *[F.col(c).alias(f"{c}{end}") for c in sides]) for end in "ab")
-    home = F.col("size_class") == F.greatest("owna", "ownb")
-    room = F.least("posa", "posb") + 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
+    sides = (*MEMBER, "c", "before", "after", "k", *MARKS)
+    x, y = (labelled.select(*LIST, *[F.col(c).alias(f"{c}{end}") for c in sides]) for end in "ab")
     begins, ends = ~F.col("beforea").eqNullSafe(F.col("beforeb")), ~F.col("aftera").eqNullSafe(F.col("afterb"))
     begins, ends = begins | F.col("beforea").isNull(), ends | F.col("aftera").isNull()
-    rest = x.join(y, key).where((F.col("va") < F.col("vb")) & (F.col("ca") != F.col("cb")) & home & (9 * room >= 4 * (F.col("na") + F.col("nb")))
-                                & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (begins | ends) & _may_link())
+    rest = x.join(y, LIST).where((F.col("va") < F.col("vb")) & (F.col("ca") != F.col("cb")) & _room() & (begins | ends) & _may_link())
     places = F.col("ka") + F.col("kb")  # a run is as long in one set's lists as in the other's
     run = F.when(ends, places + 2).otherwise(0) - F.when(begins, places).otherwise(0)
     rest = rest.groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.shiftright(F.sum(run), 1).alias("m"))
     rest = rest.where(_reachable(F.col("m"))).drop("m").join(known.select("a", "b"), ["a", "b"], "left_anti")
     rest = cut_lineage(_not_derived(rest, known))
-    more = _texts_of(docs, ids, rest.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text)
-    found = cut_lineage(_links(rest, more)).where(_linked()).select(F.col("a").alias("i"), F.col("b").alias("j"))
-    final = cut_lineage(connected_components(links.unionByName(found), by=()))
-    for df in (active, leaders, labelled, texts, more, size_of, pairs, known, first, rest, found):
+    found = _links(rest, _texts_of(docs, ids, rest.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text))
+    final = _merged(labels, found.where(_linked()))
+    for df in (active, labelled, size_of, known, labels, rest):
         release(df)
 
-    rows = ids.join(final.withColumnRenamed("tile_id", "v"), "v", "left").withColumn("g", F.coalesce("component", "v"))
+    rows = ids.join(final, "v", "left").withColumn("g", F.coalesce("c", "v"))
     return cut_lineage(rows.select("doc_id", "text_key", "n", "g"))
 
 
+def _met(entries: DataFrame, leaders: list[Column]) -> DataFrame:
+    """``a, b``: pairs of a set and one of the ``leaders`` of its lists that may link."""
+    names = [f"l{k}" for k in range(len(leaders))]
+    found = entries.groupBy(*LIST).agg((F.min("v") < F.max("v")).alias("shared"), *[x.alias(name) for x, name in zip(leaders, names)]).where("shared")
+    found = found.select(*LIST, F.explode(F.array_distinct(F.array(*names))).alias("l"))
+    both = entries.select(*LIST, *[F.col(c).alias(f"{c}a") for c in MEMBER]).join(found.select(*LIST, *[F.col(f"l.{c}").alias(f"{c}b") for c in MEMBER]), LIST)
+    return both.where((F.col("va") != F.col("vb")) & _room()).select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b")).distinct()
+
+
+def _compared(pairs: DataFrame, size_of: DataFrame, docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """``a, b, na, nb, o``: the overlaps of those pairs that may link by their marks."""
+    pairs = cut_lineage(_sized(pairs, size_of).where(_may_link()).select("a", "b", "na", "nb"))
+    texts = _texts_of(docs, ids, pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), text)
+    out = cut_lineage(_links(pairs, texts))
+    release(pairs)
+    release(texts)
+    return out
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``v, c``: the components ``c`` of sets, joined along links ``a, b``."""
+    edges = links.join(labels.select(F.col("v").alias("a"), F.col("c").alias("i")), "a").join(labels.select(F.col("v").alias("b"), F.col("c").alias("j")), "b")
+    edges = cut_lineage(edges.where("i <> j").select("i", "j").distinct())
+    found = connected_components(edges, by=())
+    out = cut_lineage(labels.join(found.withColumnRenamed("tile_id", "c"), "c", "left").select("v", F.coalesce("component", "c").alias("c")))
+    release(edges)
+    return out
+
+
 def _sized(pairs: DataFrame, size_of: DataFrame) -> DataFrame:
     for end in "ab":
         pairs = pairs.join(size_of.select(F.col("v").alias(end), *[F.col(c).alias(f"{c}{end}") for c in ("n", *MARKS)]), end)

@@ -253,6 +253,26 @@ def test_set_join(docs, none, texts):
     assert kept == {i for i, (n, c) in enumerate(components(texts)) if c == i or not n}
 
 
+def test_set_join_meets_the_middle_of_a_group(spark, monkeypatch):
+    """Copies that link with a few middle texts only: pairs read grow with the copies, not with their square."""
+    configure_llm(spark)
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(150)]
+
+    def copy(i, changed):
+        words = list(base)
+        for at in rng.choice(np.arange(5, 145), changed, replace=False):
+            words[at] = f"c{i}at{at}"
+        return " ".join(words)
+
+    texts = [copy(i, 1 if i % 15 == 7 else 2) for i in range(180)]
+    read, links = [], setjoin._links
+    monkeypatch.setattr(setjoin, "_links", lambda pairs, of: (read.append(pairs.count()), links(pairs, of))[1])
+    got = by_id(setjoin.components(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == components(texts)
+    assert sum(read) <= 12 * len(texts)
+
+
 def test_one_of_each_by_id_and_text(spark):
     """Ids with two texts, null ids and repeated rows: one row of each component is left."""
     configure_llm(spark)
