@@ -12,7 +12,9 @@ WORDS = 5
 BITS, BLOCK_BITS = 128, 8
 BLOCKS = BITS // BLOCK_BITS
 RADIUS = 2 * BLOCKS - 1  # within it, some block of two fingerprints differs by one bit at most
-LANE, LANES = 20, 3  # bit counters packed into one long
+LANE, LANES = 21, 3  # bit counters packed into one long, of which the highest bit stays free
+ONES = 1 | 1 << LANE | 1 << 2 * LANE  # the lowest bit of each lane
+SPREAD = 1 | 1 << (LANE - 1) | 1 << 2 * (LANE - 1)  # times this, bits 0, 1 and 2 stand in lanes 0, 1 and 2, among others
 PUNCTUATION = ".,;:!?\"'()[]{}"
 
 
@@ -33,37 +35,38 @@ def shingles(text: Column, width: int) -> Column:
 def fingerprints(sets: DataFrame, key: list[str], hashes: str) -> DataFrame:
     """128-bit SimHash (``f0, f1``) of each row's hashes; repeated hashes weigh more.
 
-    Bits are counted in packed lanes: one long sums three of them, up to a million hashes a row.
+    Bits are counted in packed lanes: one long sums three of them, up to a million hashes a row.  Three bits are
+    spread over the lanes, and three majorities gathered again, by one operation each: written out bit by bit, the
+    expressions alone took the driver seconds and hundreds of MB.
     """
-    def bit(k: int) -> Column:
-        return F.shiftrightunsigned(F.col("x") if k < 64 else F.col("y"), k % 64).bitwiseAND(F.lit(1).cast("bigint"))
-
-    def lanes(first: int) -> Column:
-        return sum(F.shiftleft(bit(k), LANE * (k - first)) for k in range(first, min(BITS, first + LANES)))
+    def lanes(half: str, first: int) -> Column:
+        three = F.shiftrightunsigned(half, first).bitwiseAND(F.lit((1 << LANES) - 1))
+        return (three * F.lit(SPREAD)).bitwiseAND(F.lit(ONES))
 
     rows = sets.select(*key, F.explode(hashes).alias("x")).withColumn("y", F.xxhash64(F.lit(77), "x"))
-    counted = rows.groupBy(*key).agg(F.count("*").alias("n"), *[F.sum(lanes(k)).alias(f"lane{k}") for k in range(0, BITS, LANES)])
+    starts = range(0, BITS // 2, LANES)
+    # a lane's highest bit gets set where its count, raised by this, is more than half of all
+    bias = ((F.lit((1 << (LANE - 1)) - 1) - F.shiftright(F.count("*"), 1)) * F.lit(ONES)).alias("bias")
+    counted = rows.groupBy(*key).agg(bias, *[F.sum(lanes(h, k)).alias(f"{h}{k}") for h in ("x", "y") for k in starts])
 
-    def count(k: int) -> Column:
-        return F.shiftright(F.col(f"lane{k - k % LANES}"), LANE * (k % LANES)).bitwiseAND(F.lit((1 << LANE) - 1))
+    def half(h: str) -> Column:
+        def three(k: int) -> Column:
+            flags = F.shiftrightunsigned(F.col(f"{h}{k}") + F.col("bias"), LANE - 1).bitwiseAND(F.lit(ONES))
+            return F.shiftleft(flags % F.lit((1 << (LANE - 1)) - 1), k)  # 2**LANE leaves 2: flags come to stand side by side
 
-    def half(first: int) -> Column:
-        flags = [F.when(2 * count(k) > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), k - first)).otherwise(F.lit(0).cast("bigint"))
-                 for k in range(first, first + 64)]
-        return reduce(lambda a, b: a.bitwiseOR(b), flags)
+        return reduce(lambda a, b: a.bitwiseOR(b), [three(k) for k in starts])
 
-    return counted.select(*key, half(0).alias("f0"), half(64).alias("f1"))
+    return counted.select(*key, half("x").alias("f0"), half("y").alias("f1"))
 
 
-def blocks(near: bool) -> Column:
-    """(block, value) pairs of a fingerprint; with ``near`` also all values one bit away."""
-    out = []
-    for b in range(BLOCKS):
-        half = F.col("f0") if b < BLOCKS // 2 else F.col("f1")
-        value = F.shiftrightunsigned(half, BLOCK_BITS * (b % (BLOCKS // 2))).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-        flips = [0, *[1 << k for k in range(BLOCK_BITS)]] if near else [0]
-        out += [F.struct(F.lit(b).alias("block"), value.bitwiseXOR(F.lit(f)).alias("value")) for f in flips]
-    return F.array(*out)
+def in_blocks(prints: DataFrame, f0: str, f1: str, near: bool) -> DataFrame:
+    """Each row once for every (``block``, ``value``) of its fingerprint; with ``near`` also for all values one bit away."""
+    values = [F.shiftrightunsigned(half, k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for half in (f0, f1) for k in range(0, BITS // 2, BLOCK_BITS)]
+    rows = prints.select("*", F.posexplode(F.array(*values)).alias("block", "value"))
+    if not near:
+        return rows
+    flips = F.array(*[F.lit(f).cast("bigint") for f in (0, *[1 << k for k in range(BLOCK_BITS)])])
+    return rows.withColumn("flip", F.explode(flips)).withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -105,10 +108,9 @@ def find_leaks(
     content = windows.groupBy("size", "c0", "c1").agg(F.first("hashes").alias("hashes"))
     content = cut_lineage(content)
     key = ["size", "c0", "c1"]
-    seen = fingerprints(content, key, "hashes").select(*key, "f0", "f1", F.explode(blocks(False)).alias("at")).select(*key, "f0", "f1", "at.*")
+    seen = in_blocks(fingerprints(content, key, "hashes"), "f0", "f1", near=False)
     probes = fingerprints(items.select("item_id", "size", "hashes").withColumn("row", F.xxhash64("hashes")), ["item_id", "size", "row"], "hashes")
-    probes = cut_lineage(probes.select("item_id", "size", "row", F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.explode(blocks(True)).alias("at"))
-                         .select("item_id", "size", "row", "g0", "g1", "at.*"))
+    probes = cut_lineage(in_blocks(probes.withColumnsRenamed({"f0": "g0", "f1": "g1"}), "g0", "g1", near=True))
     apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
     pairs = seen.join(probes, ["size", "block", "value"]).where(apart <= RADIUS).select(*key, "item_id", "row").distinct()
     exact = pairs.join(content, key).join(
