@@ -19,8 +19,10 @@ FLUSH = 1 << 18  # rows a task holds before it sends them on
 TALLY = 1 << 21  # words or pairs a task looks through together
 FREQUENT = 1 << 16  # pairs that are added up apart
 _ENTRY = [("w1", np.uint32), ("w2", np.uint32), ("row", np.int64), ("n", np.uint32)]
-PART = "kind string, a bigint, n bigint, x double, m array<bigint>, data binary"
-_PART = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("n", pa.int64()), ("x", pa.float64()), ("m", pa.list_(pa.int64())), ("data", pa.binary())])
+TEXT, UNSEEN, CONTEXT, COUNTS, PAIRS = range(5)  # kinds of parts
+_TIMES = [f"m{r}" for r in range(1, LARGEST + 1)]
+_PART = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("x", pa.float64()), *[(m, pa.int32()) for m in _TIMES], ("data", pa.binary())])
+PART = "kind tinyint, a bigint, b bigint, n bigint, x double, " + ", ".join(f"{m} int" for m in _TIMES) + ", data binary"
 
 
 def good_turing(counts: dict[int, int]) -> dict[int, float]:
@@ -70,17 +72,15 @@ class Words:
         return self.log[self.step(ids)]
 
 
-def _text_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    out = []
+def _hashed(texts: list[bytes]):
+    """For pieces of ``texts``: the word hashes of all their texts, an end after each, and how many each text has."""
     for s, e in hashing.pieces(texts):
         h, counts = hashing.word_hashes(texts[s:e])
-        for part in np.split(h, np.cumsum(counts)[:-1]):
-            out.append(np.append(part, END))
-    return out
+        yield np.insert(h, np.cumsum(counts), END), counts + 1
 
 
 def _texts(batch):
-    return [(t or "").encode() for t in batch.column("t").to_pylist()]
+    return [t or b"" for t in batch.column("t").cast(pa.binary()).to_pylist()]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for b in batches:
-            for h in _text_hashes(_texts(b)):
+            for h, _ in _hashed(_texts(b)):
                 held.append(h)
                 size += len(h)
             if size > FLUSH:
@@ -114,9 +114,13 @@ def as_ids(docs: DataFrame, vocabulary: DataFrame, words: Words) -> DataFrame:
         held: dict[int, list] = {}
         size = 0
         for b in batches:
-            for chunk, h in zip(b.column("chunk").to_pylist(), _text_hashes(_texts(b))):
-                held.setdefault(chunk, []).append(np.unique(h))
-                size += len(h)
+            chunks, at = b.column("chunk").to_numpy(zero_copy_only=False), 0
+            for h, counts in _hashed(_texts(b)):
+                own = chunks[at:at + len(counts)]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))  # texts of one chunk mostly stand together
+                for chunk, part in zip(own[first].tolist(), np.split(h, np.concatenate([[0], np.cumsum(counts)])[first[1:]])):
+                    held.setdefault(chunk, []).append(np.unique(part))
+                at, size = at + len(counts), size + len(h)
             if size > TALLY:
                 yield asked(held)
                 held, size = {}, 0
@@ -135,14 +139,15 @@ def as_ids(docs: DataFrame, vocabulary: DataFrame, words: Words) -> DataFrame:
         h, ids = h[order], right.column("id").to_numpy()[order]
         out = {n: [] for n in ("n_tokens", "n_known", "base", "ids")}
         known_log = np.log10((words.all + 1) / (words.n + words.v + 1))
-        for t in left.column("t").to_pylist():
-            own = _text_hashes([(t or "").encode()])[0].astype(np.int64)
+        for own, counts in _hashed(_texts(left)):
+            own = own.astype(np.int64)
             at = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
             found = np.where(h[at] == own, ids[at], UNKNOWN) if len(h) else np.full(len(own), UNKNOWN)
-            out["n_tokens"].append(len(own))
-            out["n_known"].append(int((found != UNKNOWN).sum()))
-            out["base"].append(float(known_log[words.step(found)].sum()))
-            out["ids"].append(found.astype(np.uint32).tobytes())
+            cut = np.cumsum(counts)[:-1]
+            out["n_tokens"].extend(counts.tolist())
+            out["n_known"].extend(np.add.reduceat((found != UNKNOWN).astype(np.int64), np.concatenate([[0], cut])).tolist())
+            out["base"].extend(float(part.sum()) for part in np.split(known_log[words.step(found)], cut))
+            out["ids"].extend(part.tobytes() for part in np.split(found.astype(np.uint32), cut))
         return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()),
                          pa.array(out["base"], pa.float64()), pa.array(out["ids"], pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "ids"])
 
@@ -153,11 +158,14 @@ def as_ids(docs: DataFrame, vocabulary: DataFrame, words: Words) -> DataFrame:
     return cut_lineage(coded.withColumn("row", F.monotonically_increasing_id()))
 
 
-def _pairs(ids: bytes) -> np.ndarray:
-    """Each word after the one before it, as one number a pair."""
-    w2 = np.frombuffer(ids, np.uint32).astype(np.uint64)
-    w1 = np.concatenate([np.array([START_ID], np.uint64), w2[:-1]])
-    return (w1 << np.uint64(32)) | w2
+def _pairs(texts: list[bytes]):
+    """For pieces of ``texts``: each word after the one before it, as one number a pair, and the text's place in the list."""
+    for s, e in hashing.pieces(texts):
+        sizes = np.array([len(ids) // 4 for ids in texts[s:e]])
+        w2 = np.frombuffer(b"".join(texts[s:e]), np.uint32).astype(np.uint64)
+        w1 = np.concatenate([np.zeros(1, np.uint64), w2[:-1]])
+        w1[(np.cumsum(sizes) - sizes)[sizes > 0]] = START_ID
+        yield (w1 << np.uint64(32)) | w2, np.repeat(np.arange(s, e), sizes)
 
 
 class Frequent:
@@ -189,9 +197,9 @@ def frequent_pairs(coded: DataFrame, words: Words, most: int = FREQUENT, least:
     def piles(batches):
         held, size = [], 0
         for b in batches:
-            for ids in b.column("ids").to_pylist():
-                held.append(_pairs(ids))
-                size += len(held[-1])
+            for pair, _ in _pairs(b.column("ids").to_pylist()):
+                held.append(pair)
+                size += len(pair)
                 if size > TALLY:
                     yield np.concatenate(held)
                     held, size = [], 0
@@ -226,8 +234,11 @@ def _with_frequent(coded: DataFrame, frequent: Frequent) -> DataFrame:
     """``row, x``: what frequent pairs give each text."""
     def run(batches):
         for b in batches:
-            x = [float(frequent.values[frequent.places(_pairs(ids))[1]].sum()) for ids in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(x, pa.float64())], ["row", "x"])
+            x = np.zeros(b.num_rows)
+            for pair, text in _pairs(b.column("ids").to_pylist()):
+                hit, at = frequent.places(pair)
+                x += np.bincount(text[hit], frequent.values[at], b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(x)], ["row", "x"])
 
     return coded.select("row", "ids").mapInArrow(run, "row bigint, x double")
 
@@ -235,37 +246,38 @@ def _with_frequent(coded: DataFrame, frequent: Frequent) -> DataFrame:
 def pair_parts(coded: DataFrame, words: Words, frequent: Frequent, buckets: int) -> DataFrame:
     """Counts of all but the frequent word pairs, bucket by bucket, and what they give texts and contexts.
 
-    Kinds: ``text`` (a: row; x, m: its pairs seen in training), ``unseen`` (a: row, n: times, m: [context]; x),
-    ``context`` (a: word; n: count beyond ``LARGEST``, m: pairs by count, x: probability of its successors as
-    words), ``counts`` (m: numbers of pairs by count) and ``pairs`` (the table of counts itself).
+    Kinds: ``TEXT`` (a: row; x and, by count, m1 to m5: its pairs seen in training), ``UNSEEN`` (a: row, b: context,
+    n: times; x), ``CONTEXT`` (a: word; n: count beyond ``LARGEST``, m1 to m5: pairs by count, x: probability of its
+    successors as words), ``COUNTS`` (a: count, n: number of pairs that have it) and ``PAIRS`` (the table of counts itself).
     """
     def spread(batches):
         held, size = [], 0
         for b in batches:
-            for row, held_out, ids in zip(b.column("row").to_pylist(), b.column("held_out").to_pylist(), b.column("ids").to_pylist()):
-                pair = _pairs(ids)
+            rows, out = b.column("row").to_numpy(), b.column("held_out").to_numpy(zero_copy_only=False)
+            for pair, text in _pairs(b.column("ids").to_pylist()):
                 rare = ~frequent.places(pair)[0]
-                if held_out:
-                    rare &= (pair >> np.uint64(32) != UNKNOWN) & (pair & np.uint64(0xFFFFFFFF) != UNKNOWN)
-                pair = pair[rare]
-                u, c = np.unique(pair, return_counts=True)
-                part = np.empty(len(u), _ENTRY)
-                part["w1"], part["w2"], part["row"], part["n"] = u >> np.uint64(32), u & np.uint64(0xFFFFFFFF), row, 2 * c + held_out
-                held.append(part)
-                size += len(u)
+                rare &= ~out[text] | ((pair >> np.uint64(32) != UNKNOWN) & (pair & np.uint64(0xFFFFFFFF) != UNKNOWN))
+                held.append((pair[rare], rows[text[rare]], out[text[rare]]))
+                size += len(held[-1][0])
                 if size >= FLUSH:
-                    yield sent(np.concatenate(held))
+                    yield sent(*map(np.concatenate, zip(*held)))
                     held, size = [], 0
         if held:
-            yield sent(np.concatenate(held))
-
-    def sent(e):
-        at = hashing.mix((e["w1"].astype(np.uint64) << np.uint64(32)) | e["w2"]) % np.uint64(buckets)
-        order = np.lexsort([e["w2"], e["w1"], at])
-        e, at = e[order], at[order]
+            yield sent(*map(np.concatenate, zip(*held)))
+
+    def sent(pair, row, out):
+        order = np.argsort(pair, kind="stable")  # a text's equal pairs stay together
+        at = (hashing.mix(pair) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint64)
+        order = order[np.argsort(at[order], kind="stable")]
+        pair, row, out, at = pair[order], row[order], out[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])])) if len(pair) else np.zeros(0, np.int64)
+        e = np.empty(len(first), _ENTRY)
+        e["w1"], e["w2"], e["row"] = pair[first] >> np.uint64(32), pair[first] & np.uint64(0xFFFFFFFF), row[first]
+        e["n"] = 2 * np.diff(np.append(first, len(pair))) + out[first]
+        at = at[first]
         cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-        rows = [_planes(e[s:t]) for s, t in zip(cut, np.append(cut[1:], len(at)))]
-        return pa.RecordBatch.from_arrays([pa.array(at[cut].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "data"])
+        data = [_planes(e[s:t]) for s, t in zip(cut, np.append(cut[1:], len(at)))]
+        return pa.RecordBatch.from_arrays([pa.array(at[cut].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
 
     def gather(batches):
         bucket, held, sums = None, [], Sums(words)
@@ -308,8 +320,7 @@ class Sums:
         self.counts = np.zeros(LARGEST + 2, np.int64)
 
     def add(self, bucket: int, e: np.ndarray):
-        order = np.lexsort([e["w2"], e["w1"]])
-        e = e[order]
+        e = e[np.argsort((e["w1"].astype(np.uint64) << np.uint64(32)) | e["w2"], kind="stable")]
         new = np.concatenate([[True], (e["w1"][1:] != e["w1"][:-1]) | (e["w2"][1:] != e["w2"][:-1])])
         cut = np.flatnonzero(new)
         held, n = (e["n"] & 1).astype(bool), (e["n"] >> 1).astype(np.int64)
@@ -324,16 +335,25 @@ class Sums:
         r, w1, w2 = r[r > 0], e["w1"][known].astype(np.int64), e["w2"][known]
         self.contexts.append(self.compact(w1, np.where(r > LARGEST, r, 0), 10 ** self.words.log_p(w2), r, np.ones(len(r), np.int64)))
         self.counts += np.bincount(np.minimum(r, LARGEST + 2), minlength=LARGEST + 3)[:LARGEST + 2]
-        yield self.batch([{"kind": "pairs", "a": bucket, "n": len(r), "x": None, "m": None, "data": w1.astype(np.uint32).tobytes() + w2.tobytes() + r.astype(np.uint32).tobytes()}])
-        for kind, held in (("text", self.texts), ("context", self.contexts)):
+        yield self.batch(PAIRS, [bucket], n=[len(r)], data=[w1.astype(np.uint32).tobytes() + w2.tobytes() + r.astype(np.uint32).tobytes()])
+        for kind, held in ((TEXT, self.texts), (CONTEXT, self.contexts)):
             if sum(len(part[0]) for part in held) > 2 * FLUSH:
                 held[:] = [self.merge(*(np.concatenate(c) for c in zip(*held)))]
                 if len(held[0][0]) > FLUSH:
                     yield from self.out(kind, held)
 
-    @classmethod
-    def compact(cls, a, n, x, r, times):
-        return cls.merge(a, n, x, np.where(r[:, None] == np.arange(1, LARGEST + 1), times[:, None], 0))
+    @staticmethod
+    def compact(a, n, x, r, times):
+        """Sums of n and x by a, and of times by a and r."""
+        if not len(a):
+            return a, n, x, np.zeros((0, LARGEST), np.int64)
+        order = np.argsort(a, kind="stable")
+        a, r = a[order], r[order]
+        new = np.concatenate([[True], a[1:] != a[:-1]])
+        cut, few = np.flatnonzero(new), r <= LARGEST
+        place = (np.cumsum(new) - 1)[few] * LARGEST + r[few] - 1
+        m = np.bincount(place, times[order][few], len(cut) * LARGEST).astype(np.int64).reshape(-1, LARGEST)
+        return a[cut], np.add.reduceat(n[order], cut), np.add.reduceat(x[order], cut), m
 
     @staticmethod
     def merge(a, n, x, m):
@@ -347,33 +367,26 @@ class Sums:
     def unseen(self, e, n):
         for s in range(0, len(e), 1 << 16):
             part, times = e[s:s + (1 << 16)], n[s:s + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(["unseen"] * len(part)), pa.array(part["row"].copy()), pa.array(times), pa.array(times * self.words.log_p(part["w2"])),
-                self.lists(part["w1"].astype(np.int64)[:, None]), pa.nulls(len(part), pa.binary())], schema=_PART)
-
-    @staticmethod
-    def lists(m):
-        flat = pa.array(np.ascontiguousarray(m).ravel().astype(np.int64))
-        return pa.ListArray.from_arrays(pa.array((np.arange(len(m) + 1) * m.shape[1]).astype(np.int32)), flat).cast(_PART.field("m").type)
+            yield self.batch(UNSEEN, part["row"].copy(), b=part["w1"].astype(np.int64), n=times, x=times * self.words.log_p(part["w2"]))
 
     @staticmethod
-    def batch(rows):
-        return pa.RecordBatch.from_pylist(rows, _PART)
+    def batch(kind, a, **columns):
+        columns |= {"kind": np.full(len(a), kind, np.int8), "a": a}
+        return pa.RecordBatch.from_arrays([
+            pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(a), f.type) for f in _PART], schema=_PART)
 
     def out(self, kind, held):
         if held:
             a, n, x, m = self.merge(*(np.concatenate(c) for c in zip(*held)))
             for s in range(0, len(a), 1 << 16):
                 part = slice(s, s + (1 << 16))
-                size = len(a[part])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([kind] * size), *[pa.array(c[part]) for c in (a, n, x)], self.lists(m[part]), pa.nulls(size, pa.binary())], schema=_PART)
+                yield self.batch(kind, a[part], n=n[part], x=x[part], **{c: np.ascontiguousarray(m[part, k]).astype(np.int32) for k, c in enumerate(_TIMES)})
         held.clear()
 
     def rest(self):
-        yield from self.out("text", self.texts)
-        yield from self.out("context", self.contexts)
-        yield self.batch([{"kind": "counts", "a": 0, "n": 0, "x": None, "m": self.counts[1:].tolist(), "data": None}])
+        yield from self.out(TEXT, self.texts)
+        yield from self.out(CONTEXT, self.contexts)
+        yield self.batch(COUNTS, np.arange(1, LARGEST + 2), n=self.counts[1:])
 
 
 def score(docs: DataFrame, *, text: str = "text", held_out=None) -> DataFrame:
@@ -406,16 +419,16 @@ def score(docs: DataFrame, *, text: str = "text", held_out=None) -> DataFrame:
 
     frequent = frequent_pairs(coded, words)
     parts = cut_lineage(pair_parts(coded, words, frequent, max(1024, total >> 23)))
-    counts = parts.where("kind = 'counts'").agg(*[F.sum(F.col("m")[k]).alias(f"c{k + 1}") for k in range(LARGEST + 1)]).first()
-    d = good_turing({k: counts[f"c{k}"] or 0 for k in range(1, LARGEST + 2)})
+    counts = parts.where(F.col("kind") == COUNTS).groupBy("a").agg(F.sum("n").alias("n"))
+    d = good_turing({r["a"]: r["n"] for r in counts.collect()})
     logs = [math.log10(d[r] * r) for r in range(1, LARGEST + 1)]
 
     def weighted(values):
-        return sum(F.col("m")[k] * F.lit(v) for k, v in enumerate(values))
+        return sum(F.col(m) * F.lit(v) for m, v in zip(_TIMES, values))
 
     often = coded.sparkSession.createDataFrame(
         pa.table({"a": frequent.w1, "kept": frequent.counts.astype(np.float64), "x": 10 ** words.log_p(frequent.w2)}), "a bigint, kept double, x double")
-    contexts = parts.where("kind = 'context'").select("a", (F.col("n") + weighted([d[r] * r for r in range(1, LARGEST + 1)])).alias("kept"), "x")
+    contexts = parts.where(F.col("kind") == CONTEXT).select("a", (F.col("n") + weighted([d[r] * r for r in range(1, LARGEST + 1)])).alias("kept"), "x")
     contexts = contexts.unionByName(often).groupBy("a").agg(F.sum("kept").alias("kept"), F.sum("x").alias("known"))
 
     def alpha(batches):
@@ -426,10 +439,10 @@ def score(docs: DataFrame, *, text: str = "text", held_out=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a"), pa.array(value)], ["context", "alpha"])
 
     weights = cut_lineage(contexts.mapInArrow(alpha, "context bigint, alpha double"))
-    unseen = parts.where("kind = 'unseen'").select(F.col("a").alias("row"), F.col("m")[0].alias("context"), "n", "x")
+    unseen = parts.where(F.col("kind") == UNSEEN).select(F.col("a").alias("row"), F.col("b").alias("context"), "n", "x")
     backed = unseen.unionByName(_with_unknown(coded, words)).join(weights, "context", "left").select(
         "row", (F.col("x") + F.col("n") * F.coalesce("alpha", F.lit(0.0))).alias("x"))
-    seen = parts.where("kind = 'text'").select(F.col("a").alias("row"), (F.col("x") + weighted(logs)).alias("x"))
+    seen = parts.where(F.col("kind") == TEXT).select(F.col("a").alias("row"), (F.col("x") + weighted(logs)).alias("x"))
     sums = seen.unionByName(backed).unionByName(_with_frequent(coded, frequent)).groupBy("row").agg(F.sum("x").alias("score"))
     out = coded.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(words.n).cast("bigint").alias("train_tokens"),

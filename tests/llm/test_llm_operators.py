@@ -377,6 +377,29 @@ def test_leaks(spark, docs, none, texts):
     assert decontaminate.without_leaks(docs, benchmark.limit(0)).count() == len(texts)
 
 
+def test_fingerprints_in_a_small_plan(spark):
+    rng = np.random.default_rng(8)
+    values = [int(v) for v in rng.integers(-(1 << 63), (1 << 63) - 1, 60)]
+    sets = [values[:1], [-1], values[:2], values[:2] * 3, values[:7], values, values[5:40] + values[5:9] * 4, [values[0], -1 - values[0]]]
+    rows = spark.createDataFrame(list(enumerate(sets)), "k bigint, h array<bigint>")
+    found = decontaminate.fingerprints(rows, ["k"], "h")
+    other = {r["x"]: r["y"] for r in rows.select(F.explode("h").alias("x")).select("x", F.xxhash64(F.lit(77), "x").alias("y")).collect()}
+
+    def majority(hashes):
+        bits = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+        return bits - (bits >> 63 << 64)
+
+    got = {r["k"]: (r["f0"], r["f1"]) for r in found.collect()}
+    assert got == {k: (majority(s), majority([other[x] for x in s])) for k, s in enumerate(sets)}
+    prints = found.select("k", "f0", "f1")
+    near = decontaminate.in_blocks(prints, "f0", "f1", near=True).groupBy("k", "block").agg(F.collect_set("value").alias("v"))
+    for r in near.collect():
+        byte = got[r["k"]][r["block"] // 8] >> 8 * (r["block"] % 8) & 255
+        assert set(r["v"]) == {byte, *[byte ^ 1 << k for k in range(8)]}
+    assert near.count() == 16 * len(sets)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 10_000  # written out bit by bit it had 16,482
+
+
 def test_katz(docs, none, texts):
     import math
     import zlib
@@ -411,6 +434,22 @@ def test_katz(docs, none, texts):
     assert katz.score(none).count() == 0
 
 
+def test_katz_takes_texts_in_pieces(texts):
+    data = [(t or "").encode() for t in texts]
+    pieces = list(katz._hashed(data * 40))
+    h, counts = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
+    own = [np.append(katz.hashing.word_hashes([t])[0], katz.END) for t in data] * 40
+    assert counts.tolist() == [len(o) for o in own] and (h == np.concatenate(own)).all()
+    assert len(pieces) < 3
+
+    ids = [np.array(x, np.uint32).tobytes() for x in ([7, 8, 1], [], [9], [1, 1])]
+    (pair, text), = katz._pairs(ids)
+    start = katz.START_ID
+    assert [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pair] == [(start, 7), (7, 8), (8, 1), (start, 9), (start, 1), (1, 1)]
+    assert text.tolist() == [0, 0, 0, 2, 3, 3]
+    assert "array" not in katz.PART  # counts are flat columns, which Spark writes and reads faster
+
+
 def test_katz_refuses_more_words_than_ids(spark, monkeypatch):
     configure_llm(spark)
     rows = spark.createDataFrame([(1, "one two three"), (3, "four five")], "doc_id bigint, text string")
