@@ -13,7 +13,8 @@ from stagelog.functions.units import safe_label, with_filename
 from stagelog.operators.ordered import CHUNK, chunk_of, running_sum
 from stagelog.operators.quality import attach_positions
 from stagelog.schema import RAW_STEP
-from stagelog.sources.sinks import COMMIT, in_ranges
+from stagelog.session import cut_lineage
+from stagelog.sources.sinks import COMMIT, in_ranges, write_text
 
 _RUN = ["run_id"]
 
@@ -64,7 +65,7 @@ def segment_runs(
     min_length: int = 1, confidence_field: str | None = "position_confidence", width: int = CHUNK,
 ) -> tuple[DataFrame, DataFrame]:
     """The records of every long-enough segment with its ``part``, and the discarded records."""
-    marked = mark_segments(steps, positions, min_confidence, width)
+    marked = cut_lineage(mark_segments(steps, positions, min_confidence, width))  # read four times
     parts = segment_summary(marked, min_length, width).where(F.col("part").isNotNull())
     where = _pieces(marked, width).select("run_id", "segment", "piece").join(
         parts.select("run_id", "segment", "part"), ["run_id", "segment"])
@@ -121,9 +122,7 @@ def write_segments(
     record = [F.col("confidence_text").alias(f) if f == "confidence" and "confidence_text" in rows.columns
               else F.col(f) for f in fields]
     named = rows.join(names, ["run_id", "part"]).select("run_id", "part", "source_index", "segment_file", *record)
-    ordered = in_ranges(named, "run_id", "part", "source_index").drop("part", "source_index")
-    mode = "overwrite" if overwrite else "errorifexists"
-    ordered.write.options(**COMMIT).mode(mode).partitionBy("run_id", "segment_file").json(out)
+    write_text(named, out, ["run_id", "segment_file"], ["run_id", "part", "source_index"], "json", overwrite)
 
 
 def build_manifest(

@@ -11,7 +11,7 @@ from stagelog.functions import rows as R, units as U
 from stagelog.operators import features as Fe, quality as Q, scoring as Sc, segments as S
 from stagelog.operators.cluster import agreement_cluster
 from stagelog.queries import query
-from stagelog.session import shared_folder
+from stagelog.session import cut_lineage, shared_folder
 from stagelog.sources import logs as L
 from stagelog.sources.sinks import write_positions, write_steps
 from stagelog.workflows import recalculate_and_segment
@@ -204,12 +204,12 @@ SELECT m.run_id, f.segment_file, count(*) AS records, CAST(sum(m.x_target_abs) A
 FROM marked m JOIN files f ON m.run_id = f.run_id AND m.segment = f.segment WHERE NOT rejected GROUP BY 1, 2""")
 def written_segments(spark, folder):
     """Write all segments, then read the written lines back."""
-    marked = S.mark_segments(steps(spark, folder), min_confidence=T)
-    rows, _ = S.segment_runs(steps(spark, folder), min_confidence=T, min_length=2)
+    log = cut_lineage(steps(spark, folder))
+    plan = S.plan_segments(S.segment_summary(cut_lineage(S.mark_segments(log, min_confidence=T)), 2))
+    rows, _ = S.segment_runs(log, min_confidence=T, min_length=2)
     out = _new_folder(spark)
-    S.write_segments(rows, S.plan_segments(S.segment_summary(marked, 2)), out)
-    kind = "step bigint, x_target_abs bigint, run_id string, segment_file string"
-    return spark.read.schema(kind).json(out).groupBy("run_id", "segment_file").agg(
+    S.write_segments(rows, plan, out)
+    return L.read_segment_lines(spark, out, "step bigint, x_target_abs bigint").groupBy("run_id", "segment_file").agg(
         F.count("*").alias("records"), F.sum("x_target_abs").alias("x_sum"),
         F.min("step").alias("first_step"), F.max("step").alias("last_step"))
 

@@ -13,6 +13,7 @@ from stagelog.functions.units import with_filename
 from stagelog.operators.ordered import dense_position
 from stagelog.schema import BACKLASH_FLAT, BACKLASH_NESTED, POSITION_VALUE, RAW_STEP, STREAM_STEP
 from stagelog.session import cut_lineage
+from stagelog.sources.folders import folder_pieces
 
 
 def _stem(path: Column) -> Column:
@@ -21,7 +22,8 @@ def _stem(path: Column) -> Column:
 
 def _pieces(spark: SparkSession, path: str | list[str], separator: str) -> DataFrame:
     """Text pieces with their file, its block and their order inside the block."""
-    return (
+    found = folder_pieces(spark, path, separator)
+    return found if found is not None else (
         spark.read.option("lineSep", separator).text(path)
         .select("value", F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("block"))
@@ -100,6 +102,16 @@ def read_steps(
     return with_filename(normalise_steps(rows))
 
 
+def read_segment_lines(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """The lines that ``write_segments`` wrote, as ``schema`` with ``run_id`` and ``segment_file``."""
+    keys = ("run_id", "segment_file")
+    lines = folder_pieces(spark, out + "/*/*/*.json", "\n", keys)
+    if lines is None:
+        return spark.read.schema(", ".join([schema, *[f"{k} string" for k in keys]])).json(out)
+    row = F.from_json("value", schema, {"mode": "PERMISSIVE"})
+    return lines.where(F.trim("value") != "").select(row.alias("r"), *keys).select("r.*", *keys)
+
+
 def skipped_records(spark: SparkSession, path: str | list[str], layout: str = "auto") -> DataFrame:
     """A2: the malformed records a permissive read leaves out, with their file."""
     return _read(spark, path, "permissive", layout)[1]

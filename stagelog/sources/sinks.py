@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stagelog.schema import RAW_STEP
+from stagelog.sources.folders import mounted, write_folders
 
 
 # Tasks put their own files in place; otherwise the driver renames every file, one after the other.
@@ -25,16 +26,22 @@ def in_ranges(df: DataFrame, *order: str) -> DataFrame:
     return df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
 
-def _ordered(df: DataFrame, order: str) -> DataFrame:
-    return in_ranges(df, "run_id", order).drop(order)
+def write_text(df: DataFrame, out: str, keys: list[str], order: list[str], form: str, overwrite: bool) -> None:
+    """Rows in ranges of ``order``, in one folder for each value of ``keys``: the column ``value`` as text, or all others as JSON lines."""
+    ordered = in_ranges(df, *order)
+    if mounted(df.sparkSession, out) is None:
+        mode = "overwrite" if overwrite else "errorifexists"
+        writer = ordered.drop(*[c for c in order if c not in keys]).write.options(**COMMIT).mode(mode).partitionBy(*keys)
+        return writer.json(out) if form == "json" else writer.text(out)
+    value = F.to_json(F.struct(*[c for c in df.columns if c not in keys and c not in order])) if form == "json" else F.col("value")
+    write_folders(ordered.select(*keys, value.alias("value")), out, keys, ".json" if form == "json" else ".txt", overwrite)
 
 
 def write_steps(steps: DataFrame, out: str, overwrite: bool = False) -> None:
     """Records as JSON lines in source order, one folder per run."""
     text = {"confidence": "confidence_text", "step": "step_text"}
     fields = [F.col(text[f] if text.get(f) in steps.columns else f).alias(f) for f in RAW_STEP.fieldNames() if f in steps.columns]
-    _ordered(steps.select("run_id", "source_index", *fields), "source_index").write.options(**COMMIT).mode(
-        "overwrite" if overwrite else "errorifexists").partitionBy("run_id").json(out)
+    write_text(steps.select("run_id", "source_index", *fields), out, ["run_id"], ["run_id", "source_index"], "json", overwrite)
 
 
 def write_positions(positions: DataFrame, out: str, overwrite: bool = False) -> None:
@@ -45,5 +52,4 @@ def write_positions(positions: DataFrame, out: str, overwrite: bool = False) ->
     line = F.concat(
         F.when(F.col("entry") == F.col("first"), "{").otherwise(","), name, F.lit(": "), body,
         F.when(F.col("entry") == F.col("last"), "}").otherwise(""))
-    _ordered(positions.join(ends, "run_id").select("run_id", "entry", line.alias("value")), "entry").write.options(**COMMIT).mode(
-        "overwrite" if overwrite else "errorifexists").partitionBy("run_id").text(out)
+    write_text(positions.join(ends, "run_id").select("run_id", "entry", line.alias("value")), out, ["run_id"], ["run_id", "entry"], "text", overwrite)

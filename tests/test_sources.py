@@ -132,3 +132,67 @@ def test_tiles(spark, tmp_path):
     assert [(r.run_id, r.filename, r.tile_id, r.w, r.h) for r in rows] == [("run1", "a.bmp", 0, 6, 10), ("run1", "b.bmp", 1, 6, 10)]
     assert bytes(rows[0].pixels) == image[:10].tobytes()
     assert sorted(r.filename for r in bad.collect()) == ["c.bmp", "d.bmp"]
+
+
+def test_folders_are_written_and_listed_by_tasks(spark, tmp_path):
+    """Names, files and pieces are those of Spark's writer and reader, which go through the driver."""
+    from stagelog.sources import folders
+
+    keys = ["a b%c=d", "e:1", "", None, "x"]
+    rows = spark.createDataFrame([(k, f"p{i % 3}", i, f'{{"n": {i}}}') for k in keys for i in range(9)], "run_id string, part string, n int, value string")
+    rows = rows.repartition(3).sortWithinPartitions("run_id", "part", "n")
+    rows.drop("n").where("run_id IS NULL OR run_id != ''").write.partitionBy("run_id", "part").json(str(tmp_path / "spark"))
+    folders.write_folders(rows.select("run_id", "part", "value"), str(tmp_path / "own"), ["run_id", "part"], ".json")
+    names = [sorted(str(p.relative_to(tmp_path / x)) for p in (tmp_path / x).glob("*/*")) for x in ("spark", "own")]
+    assert names[0] == names[1] and len(names[0]) == 12
+    assert not [p for p in tmp_path.rglob("*") if p.is_file() and p.name[0] == "." and not p.name.endswith(".crc")]
+    path = str(tmp_path / "own") + "/*/*/*.json"
+    for separator in "\n}":
+        lines = folders.folder_pieces(spark, path, separator, ("run_id", "part"))
+        read = spark.read.option("lineSep", separator).text(path).selectExpr("value", "_metadata.file_path AS file")
+        assert sorted(lines.select("value", "file").collect()) == sorted(read.collect())
+    lines = folders.folder_pieces(spark, path, "\n", ("run_id", "part"))
+    want = [(k or None, f"p{i % 3}", f'{{"n": {i}}}') for k in keys for i in range(9)]
+    assert sorted(map(str, lines.select("run_id", "part", "value").collect())) == sorted(map(str, spark.createDataFrame(want, "run_id string, part string, value string").collect()))
+    assert folders.folder_pieces(spark, str(tmp_path / "own/*/*.json"), "\n") is None and folders.folder_pieces(spark, str(tmp_path / "none/*/*.json"), "\n") is None
+
+
+def test_pieces_over_ranges_of_a_file(tmp_path):
+    from stagelog.sources.folders import _cut
+
+    rng = np.random.default_rng(2)
+    for text in (b"", b"}", b"ab", b"}}a}", *[bytes(rng.choice(list(b"ab}\n"), n)) for n in (5, 17, 40) for _ in range(20)], b"x" * 30 + b"}y"):
+        (tmp_path / "f").write_bytes(text)
+        for step in (1, 3, 8, 100):
+            got = []
+            with open(tmp_path / "f", "rb") as file:
+                for begin in range(0, len(text), step):
+                    at, pieces = _cut(file, begin, min(begin + step, len(text)), len(text), b"}")
+                    for p in pieces:
+                        got.append((at, p))
+                        at += len(p) + 1
+            whole = text.split(b"}")
+            whole = whole[:-1] if not whole[-1] else whole
+            assert [p for _, p in got] == whole and all(text[at:at + len(p)] == p for at, p in got)
+
+
+def test_a_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from stagelog.sources import folders
+
+    monkeypatch.setattr(folders, "RANGE", 300)
+    (tmp_path / "r" / "run_id=1").mkdir(parents=True)
+    (tmp_path / "r" / "run_id=1" / "a.json").write_text("\n".join(json.dumps(record(i)) for i in range(50)))
+    (tmp_path / "r" / "run_id=1" / "b.json").write_text("\n".join(json.dumps(record(i)) for i in range(50, 70)) + "\n")
+    rows = L.read_steps(spark, str(tmp_path / "r") + "/*/*.json", layout="jsonl", run_from="folder").collect()
+    assert sorted((r.source_index, r.step) for r in rows) == [(i, i) for i in range(70)]
+
+
+def test_written_folders_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    """The driver neither lists the folders nor makes a task of every few files."""
+    schema = "run_id string, filename string, entry bigint, x bigint, y bigint, w bigint, h bigint, confidence double"
+    pos = spark.createDataFrame([(f"r{i // 2}", f"{i}.bmp", i, i, i, 1, 1, 0.5) for i in range(600)], schema)
+    write_positions(pos, str(tmp_path / "p"))
+    back = L.read_positions(spark, str(tmp_path / "p/*/*.txt"), run_from="folder")
+    pieces = L._pieces(spark, str(tmp_path / "p/*/*.txt"), "}")
+    assert pieces.inputFiles() == [] and pieces.rdd.getNumPartitions() == 8
+    assert sorted(map(tuple, back.select(pos.columns).drop("entry").collect())) == sorted(map(tuple, pos.drop("entry").collect()))
