@@ -119,7 +119,7 @@ def skipped_records(spark: SparkSession, path: str | list[str], layout: str = "a
 
 def _run_of(file: Column, run_from: str) -> Column:
     if run_from == "folder":
-        return F.regexp_extract(file, r"([^/=]*)/[^/]*$", 1)
+        return F.substring_index(F.substring_index(F.substring_index(file, "/", -2), "/", 1), "=", -1)
     return _stem(file)
 
 
@@ -144,15 +144,18 @@ def read_positions(spark: SparkSession, path: str | list[str], run_from: str = "
     """
     blank = F.col("value").rlike(r"^[\s\x{FEFF}]*\{?\s*$")
     pieces = _pieces(spark, path, "}").where(~blank)
-    key = r'^[\s\x{FEFF}]*[{,]\s*"((?:[^"\\]|\\.)*)"\s*:\s*(\{[\s\S]*)$'
-    value = F.from_json(F.concat(F.regexp_extract("value", key, 2), F.lit("}")), POSITION_VALUE)
-    ok = F.assert_true(blank | F.col("value").rlike(key), F.concat(F.lit("not a positions object: "), F.col("file")))
-    rows = pieces.where(ok.isNull()).withColumn("p", value)
-    sound = F.assert_true(
-        blank | F.col("p.confidence").isNotNull(), F.concat(F.lit("no numeric confidence: "), F.col("value")))
-    name = F.from_json(F.concat(F.lit('{"k":"'), F.regexp_extract("value", key, 1), F.lit('"}')), "k string")["k"]
-    rows = cut_lineage(rows.where(sound.isNull()).select(
-        _run_of(F.col("file"), run_from).alias("run_id"), name.alias("filename"), "file", "block", "piece", "p"))
+    head = F.regexp_extract("value", r'^[\s\x{FEFF}]*[{,]\s*"(?:[^"\\]++|\\.)*+"\s*:\s*(?=\{)', 0)
+    rows = pieces.withColumn("head", head)
+    value = F.from_json(F.concat(F.col("value").substr(F.length("head") + 1, F.length("value")), F.lit("}")), POSITION_VALUE)
+    strange = F.raise_error(F.concat(F.lit("not a positions object: "), F.col("file")))
+    quoted = F.regexp_extract("head", r'(?s)"(.*)"', 1)
+    rows = rows.withColumns({"p": F.when(F.col("head") == "", strange).otherwise(value), "quoted": quoted})
+    bare = F.raise_error(F.concat(F.lit("no numeric confidence: "), F.col("value")))
+    name = F.when(F.col("quoted").rlike(r"[\\\x00-\x1f]"), F.from_json(F.concat(F.lit('{"k":"'), F.col("quoted"), F.lit('"}')), "k string")["k"]).otherwise(F.col("quoted"))
+    # checked where the values are made: a filter would make them once more for every mention
+    rows = cut_lineage(rows.select(
+        _run_of(F.col("file"), run_from).alias("run_id"), name.alias("filename"), "file", "block", "piece",
+        F.when(F.col("p.confidence").isNull(), bare).otherwise(F.col("p")).alias("p")))
     keys = ["run_id"] if run_from == "folder" else ["run_id", "file"]
     rows = dense_position(rows, keys, "piece", "entry", chunk=F.struct("file", "block"))
     return rows.select("run_id", "filename", "entry", "p.*")

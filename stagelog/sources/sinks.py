@@ -47,7 +47,8 @@ def write_steps(steps: DataFrame, out: str, overwrite: bool = False) -> None:
 def write_positions(positions: DataFrame, out: str, overwrite: bool = False) -> None:
     """Position maps keyed by file name: the files of a run's folder, in order, form one JSON object."""
     ends = positions.groupBy("run_id").agg(F.min("entry").alias("first"), F.max("entry").alias("last"))
-    name = F.regexp_extract(F.to_json(F.struct(F.col("filename").alias("k"))), r"^\{\"k\":(.*)\}$", 1)
+    named = F.to_json(F.struct(F.col("filename").alias("k")))
+    name = F.when(F.col("filename").isNull(), "").otherwise(named.substr(F.lit(6), F.length(named) - 6))
     body = F.to_json(F.struct("x", "y", "w", "h", "confidence"))
     line = F.concat(
         F.when(F.col("entry") == F.col("first"), "{").otherwise(","), name, F.lit(": "), body,

@@ -196,3 +196,25 @@ def test_written_folders_do_not_pass_through_the_driver(spark, tmp_path, monkeyp
     pieces = L._pieces(spark, str(tmp_path / "p/*/*.txt"), "}")
     assert pieces.inputFiles() == [] and pieces.rdd.getNumPartitions() == 8
     assert sorted(map(tuple, back.select(pos.columns).drop("entry").collect())) == sorted(map(tuple, pos.drop("entry").collect()))
+
+
+def _plans(monkeypatch):
+    seen, cut = [], L.cut_lineage
+
+    def watched(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(L, "cut_lineage", watched)
+    return seen
+
+
+def test_positions_are_parsed_once(spark, tmp_path, monkeypatch):
+    names = ["a.bmp", 'q"b', "tab\\t", "ü x", "", "x" * 3000]
+    pos = spark.createDataFrame([("r=1", n, i, i, -i, 10, 20, 0.5) for i, n in enumerate(names)],
+                                "run_id string, filename string, entry bigint, x bigint, y bigint, w bigint, h bigint, confidence double")
+    write_positions(pos, str(tmp_path / "p"))
+    seen = _plans(monkeypatch)
+    back = L.read_positions(spark, str(tmp_path / "p/*/*.txt"), run_from="folder").collect()
+    assert {(r.run_id, r.entry, r.filename, r.y) for r in back} == {("r%3D1".replace("%", "%25"), i, n, -i) for i, n in enumerate(names)}
+    assert len(seen) == 1 and seen[0].count("from_json(StructField(x,") == 1
