@@ -54,9 +54,9 @@ def _parse(pieces: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
     # The layout takes part in the test so that no check runs before files are told apart.
     wrong = (F.col("layout") != "") & (
         F.col(f"r.{field}").isNotNull() | F.col("r").isNull() | ~F.col("text").startswith("{"))
-    if mode == "strict":
+    if mode == "strict":  # checked where the record is made: a filter would parse it once more for every mention
         message = F.concat(F.lit("malformed record in "), F.col("file"), F.lit(": "), F.col("text"))
-        parsed = parsed.where(F.assert_true(~wrong, message).isNull())
+        parsed = parsed.withColumn("r", F.when(wrong, F.raise_error(message)).otherwise(F.col("r")))
         return parsed, pieces.limit(0).select("file", "text")
     if mode != "permissive":
         raise ValueError(f"unknown mode {mode!r}")
@@ -70,8 +70,9 @@ def _records(spark: SparkSession, files: DataFrame | None, path, separator: str)
     else:
         pieces = pieces.withColumn("layout", F.col("file"))
     if separator == "\n":
-        text = F.regexp_replace("value", r"^[\s\x{FEFF}]+|\s+$", "")
-        return pieces.withColumn("text", text).where(F.col("text") != "")
+        bare = F.col("value").startswith("{") & F.col("value").endswith("}")
+        text = F.when(bare, F.col("value")).otherwise(F.regexp_replace("value", r"^[\s\x{FEFF}]+|\s+$", ""))
+        return pieces.where(F.col("value").rlike(r"[^\s\x{FEFF}]")).withColumn("text", text)
     body = F.regexp_replace("value", r"^[\s\x{FEFF},\[]+", "")
     closed = ~body.rlike(r"^[\s\]]*$")
     return pieces.where(closed).withColumn("text", F.concat(body, F.lit("}")))

@@ -218,3 +218,17 @@ def test_positions_are_parsed_once(spark, tmp_path, monkeypatch):
     back = L.read_positions(spark, str(tmp_path / "p/*/*.txt"), run_from="folder").collect()
     assert {(r.run_id, r.entry, r.filename, r.y) for r in back} == {("r%3D1".replace("%", "%25"), i, n, -i) for i, n in enumerate(names)}
     assert len(seen) == 1 and seen[0].count("from_json(StructField(x,") == 1
+
+
+def test_records_are_parsed_once(spark, tmp_path, monkeypatch):
+    steps = spark.createDataFrame([("a", i, i, 5 * i) for i in range(20)], "run_id string, source_index bigint, step bigint, x_target_abs bigint")
+    write_steps(steps, str(tmp_path / "s"))
+    seen = _plans(monkeypatch)
+    path = str(tmp_path / "s") + "/*/*.json"
+    back = L.read_steps(spark, path, layout="jsonl", run_from="folder")
+    assert sorted(map(tuple, back.select(*steps.columns).collect())) == sorted(map(tuple, steps.collect()))
+    assert len(seen) == 1 and seen[0].count("from_json(StructField(timestamp,") == 1
+    some = sorted((tmp_path / "s" / "run_id=a").glob("*.json"))[0]
+    some.write_text(some.read_text() + " \n{oops\n")
+    with pytest.raises(Exception, match="malformed record"):
+        L.read_steps(spark, path, layout="jsonl", run_from="folder").collect()
