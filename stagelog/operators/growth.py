@@ -5,14 +5,14 @@ from __future__ import annotations
 from itertools import count
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stagelog.functions.rows import distance
 from stagelog.operators.cluster import agreement_cluster
 from stagelog.operators.graph import (
     connected_components, consensus_core, degrees, edge_residuals, keep_edges, largest_component)
-from stagelog.operators.solve import LOCAL_EDGES, solve_poses
+from stagelog.operators.solve import solve_poses
 from stagelog.schema import (
     AGREE_PX, MAX_CORRECTION_NM, MAX_RESIDUAL_PX, MIN_NEIGHBOURS, NM_PER_PX, POSE_ANCHOR)
 from stagelog.session import cut_lineage, release
@@ -20,6 +20,7 @@ from stagelog.session import cut_lineage, release
 _KEYS = ["run_id", "component"]
 _SEED = [*_KEYS, "seed"]
 _DEGREE = 512  # links of a tile, for components that a task takes whole
+_HELD = 3_000_000  # edges and triangles of a component that a task takes whole: about 200 bytes each
 _PAIRS = 1 << 21  # pairs of offers compared together
 _GROWN = "run_id string, component bigint, seed int, tile_id bigint, x double, y double, quality double, wave int"
 
@@ -118,27 +119,40 @@ def _agreed(group: np.ndarray, ox: np.ndarray, oy: np.ndarray, w: np.ndarray, sr
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _largest_grown(rows: pd.DataFrame, k: int, agree_px: float, limit_px: float, max_residual: float) -> pd.DataFrame:
+def _largest_grown(rows: pa.Table, k: int, agree_px: float, limit_px: float, max_residual: float) -> pa.Table:
     """The largest set of one component: every seed is grown, best first, but those inside a set already grown.
 
     ``rows`` has the tiles (kind 0: id, place), edges (1: both ends, displacement, weight) and triangles (2: corners, quality).
     """
-    tiles, edges, tri = (rows[rows["kind"] == n] for n in range(3))
-    tri = tri.sort_values(["x", "a", "b", "c"], ascending=[False, True, True, True])
-    ids = np.unique(np.concatenate([tiles["a"], edges["a"], edges["b"]]))
+    run, component = rows["run_id"][0].as_py(), rows["component"][0].as_py()
+    kind = rows["kind"].to_numpy()
+
+    def of(number: int, *names: str) -> list[np.ndarray]:
+        own = kind == number
+        return [rows[c].to_numpy()[own] for c in names]
+
+    tile, *target_at = of(0, "a", "x", "y")
+    first_end, other_end, shift_x, shift_y, weight = of(1, "a", "b", "x", "y", "w")
+    *corner, value = of(2, "a", "b", "c", "x")
+    del rows, kind
+    ids = np.unique(np.concatenate([tile, first_end, other_end]))
     n = len(ids)
     target = np.full((2, n), np.nan)
-    target[:, np.searchsorted(ids, tiles["a"])] = tiles[["x", "y"]].to_numpy().T
-    i, j = (np.searchsorted(ids, edges[c]) for c in "ab")
+    target[:, np.searchsorted(ids, tile)] = target_at
+    i, j = (np.searchsorted(ids, e) for e in (first_end, other_end))
     src, dst = np.concatenate([i, j]), np.concatenate([j, i])
     order = np.lexsort([src, dst])
     src, dst = src[order], dst[order]
-    dx, dy = (np.concatenate([edges[c], -edges[c]])[order] for c in "xy")
-    w = np.concatenate([edges["w"]] * 2)[order]
+    dx, dy = (np.concatenate([e, -e])[order] for e in (shift_x, shift_y))
+    w = np.concatenate([weight] * 2)[order]
     links = np.bincount(dst, minlength=n)
     start = np.cumsum(links) - links
     link = dst * n + src  # sorted
-    l, m, r = (np.searchsorted(ids, tri[c]) for c in "abc")
+    worst = np.where(np.isnan(value), np.inf, -value)
+    order = np.lexsort([*corner[::-1], worst])
+    value = value[order]
+    l, m, r = (np.searchsorted(ids, c[order]) for c in corner)
+    del first_end, other_end, shift_x, shift_y, weight, corner, worst, order
     by_l = np.argsort(l, kind="stable")
     corners = np.bincount(l, minlength=n)
     first = np.cumsum(corners) - corners
@@ -185,9 +199,10 @@ def _largest_grown(rows: pd.DataFrame, k: int, agree_px: float, limit_px: float,
     if best is None:
         best = (0, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     seed, members, x, y = best
-    out = {"run_id": rows["run_id"].iloc[0], "component": rows["component"].iloc[0], "seed": seed + 1, "tile_id": ids[members], "x": x, "y": y,
-           "quality": tri["x"].iloc[seed] if len(tri) else 0.0, "wave": 0}
-    return pd.DataFrame(out, columns=list(out))
+    grown = len(members)
+    out = {"run_id": pa.array([run] * grown, pa.string()), "component": np.full(grown, component, np.int64), "seed": np.full(grown, seed + 1, np.int32),
+           "tile_id": ids[members], "x": x, "y": y, "quality": np.full(grown, value[seed] if len(value) else 0.0), "wave": np.zeros(grown, np.int32)}
+    return pa.table(out)
 
 
 def _fit_a_task(at: DataFrame, links: DataFrame, tri: DataFrame, local_edges: int) -> DataFrame:
@@ -196,32 +211,32 @@ def _fit_a_task(at: DataFrame, links: DataFrame, tri: DataFrame, local_edges: in
     ends = ends.groupBy(*_KEYS, "src").agg(F.sum("n").alias("degree"), F.max("n").alias("copies"), F.max("bare").alias("bare"))
     ends = ends.groupBy(*_KEYS).agg(F.sum("degree").alias("ends"), F.max("degree").alias("degree"), F.max("copies").alias("copies"), F.max("bare").alias("bare"))
     twice = at.groupBy(*_KEYS, "tile_id").count().where("count > 1").select(*_KEYS).distinct()
-    many = tri.groupBy(*_KEYS).count().where(F.col("count") <= 5 * local_edges).select(*_KEYS)
-    fit = (F.col("ends") <= 2 * local_edges) & (F.col("degree") <= _DEGREE) & (F.col("copies") == 1) & (F.col("bare") == 0)
-    return ends.where(fit).select(*_KEYS).join(many, _KEYS, "left_semi").join(twice, _KEYS, "left_anti")
+    many = tri.groupBy(*_KEYS).agg(F.count("*").alias("triangles"))
+    fit = (F.col("ends") / 2 + F.col("triangles") <= local_edges) & (F.col("degree") <= _DEGREE) & (F.col("copies") == 1) & (F.col("bare") == 0)
+    return ends.join(many, _KEYS).where(fit).select(*_KEYS).join(twice, _KEYS, "left_anti")
 
 
 def _grow_whole(at: DataFrame, edges: DataFrame, tri: DataFrame, **limits) -> DataFrame:
     """The largest set of every component, one task a component."""
     zero, no_id = F.lit(0.0), F.lit(0).cast("bigint")
-    rows = at.select(*_KEYS, F.lit(0).alias("kind"), F.col("tile_id").alias("a"), no_id.alias("b"), no_id.alias("c"), "x", "y", zero.alias("w"))
-    rows = rows.unionByName(edges.select(*_KEYS, F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), no_id.alias("c"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("base_weight").alias("w")))
-    rows = rows.unionByName(tri.select(*_KEYS, F.lit(2).alias("kind"), F.col("l").alias("a"), F.col("m").alias("b"), F.col("r").alias("c"), F.col("quality").alias("x"), zero.alias("y"), zero.alias("w")))
-    return rows.groupBy(*_KEYS).applyInPandas(lambda df: _largest_grown(df, **limits), _GROWN)
+    rows = at.select(*_KEYS, F.lit(0).cast("byte").alias("kind"), F.col("tile_id").alias("a"), no_id.alias("b"), no_id.alias("c"), "x", "y", zero.alias("w"))
+    rows = rows.unionByName(edges.select(*_KEYS, F.lit(1).cast("byte").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), no_id.alias("c"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("base_weight").alias("w")))
+    rows = rows.unionByName(tri.select(*_KEYS, F.lit(2).cast("byte").alias("kind"), F.col("l").alias("a"), F.col("m").alias("b"), F.col("r").alias("c"), F.col("quality").alias("x"), zero.alias("y"), zero.alias("w")))
+    return rows.groupBy(*_KEYS).applyInArrow(lambda df: _largest_grown(df, **limits), _GROWN)
 
 
 def grow_components(
     tiles: DataFrame, edges: DataFrame, triangles: DataFrame, k: int = MIN_NEIGHBOURS,
     agree_px: float = AGREE_PX, max_correction_nm: float = MAX_CORRECTION_NM, max_seeds: int | None = None,
     max_residual: float = MAX_RESIDUAL_PX, nm_per_px: float = NM_PER_PX, batch: int = 16,
-    local_edges: int = LOCAL_EDGES,
+    local_edges: int = _HELD,
 ) -> tuple[DataFrame, DataFrame]:
     """The run's largest set of tiles that can be placed from one seed triangle.
 
     A tile joins when at least ``k`` placed neighbours agree on its position and
     that lies near its commanded place, one level of neighbours per round; the result does not depend on
-    the order of edges.  Connected parts of at most ``local_edges`` edges grow in one task each, all larger ones
-    together as joins.  Seeds are tried best first, skipping triangles inside a
+    the order of edges.  Connected parts of at most ``local_edges`` edges and triangles, counted together, grow in one
+    task each, all larger ones together as joins.  Seeds are tried best first, skipping triangles inside a
     set already grown, until no triangle is left: the best of each part alone,
     then ``batch`` at a time, twice as many each round, of which those inside
     another's set do not count as tried.  ``max_seeds`` ends it after so many
